@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+The data is a finite folder of files, and filling a gap needs the next valid
+reading, so there is nothing to run as a stream.
+"""
