@@ -8,6 +8,9 @@ shipped but had no return has a row with a missing reading.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvigrid.functions.text import clean_name
+from pluvigrid.session import shared_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,3 +34,34 @@ def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.sum(returned).alias("Avg_rainfall"))
     )
     return by_nation.join(places(spark, sf_dir), "n_nationkey").select("Date", "State", "District", "Avg_rainfall")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecast requests, one per customer: its nation, region and account balance.
+
+    Customers of two market segments name a district or state that does not exist.
+    """
+    segment = F.col("c_mktsegment")
+    district, state = clean_name(F.col("District")), clean_name(F.col("State"))
+    return (
+        table(spark, sf_dir, "customer")
+        .join(places(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(
+            F.col("c_custkey").alias("request_id"),
+            F.when(segment == "MACHINERY", segment).otherwise(district).alias("district_name"),
+            F.when(segment == "BUILDING", segment).otherwise(state).alias("state_name"),
+            F.col("c_acctbal").alias("june_rainfall_mm"),
+        )
+    )
+
+
+def write_csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The raw readings as CSV files of two header orders; early ones have no ``Note``."""
+    folder = shared_path(spark, "csv-readings")
+    raw = raw_readings(spark, sf_dir)
+    early = F.col("Date") < "1998-07-01"
+    first = raw.where(early).select("Date", "State", "District", "Avg_rainfall")
+    second = raw.where(~early).select("Date", "District", "State", "Avg_rainfall", F.col("State").alias("Note"))
+    first.write.csv(folder, header=True)
+    second.write.mode("append").csv(folder, header=True)
+    return folder

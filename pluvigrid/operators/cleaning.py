@@ -92,18 +92,18 @@ def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, checked.where(F.col("reject_reason").isNotNull())
 
 
-def clean_daily(
-    raw: DataFrame,
+def fill_daily(
+    standardised: DataFrame,
     series_key: Sequence[str] = ("district_name",),
     chunk: str = "month",
     keep_raw: bool = False,
 ) -> DataFrame:
-    """The daily table: standard names, calendar parts, gaps filled, no negatives.
+    """Gaps filled, no negatives, one row per input row.
 
     ``chunk="auto"`` runs one count per series and month to choose between calendar
     chunks and equal-size ones. ``keep_raw`` adds the unfilled reading as ``reading_mm``.
     """
-    df = standardise(raw)
+    df = standardised
     if chunk == "auto":
         chunk = choose_chunk(df, series_key)
     if keep_raw:
@@ -111,3 +111,13 @@ def clean_daily(
     filled = fill_gaps(df, series_key=series_key, chunk=chunk)
     clean = filled.withColumn("rainfall_mm", numbers.clip_negative(F.col("rainfall_mm")))
     return clean.drop("file_position")
+
+
+def clean_daily(
+    raw: DataFrame,
+    series_key: Sequence[str] = ("district_name",),
+    chunk: str = "month",
+    keep_raw: bool = False,
+) -> DataFrame:
+    """The daily table: standard names, calendar parts, gaps filled, no negatives."""
+    return fill_daily(standardise(raw), series_key, chunk, keep_raw)

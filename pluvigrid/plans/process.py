@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvigrid.operators.cleaning import clean_daily, split_rejects
+from pluvigrid.operators.cleaning import fill_daily, split_rejects, standardise
 from pluvigrid.operators.departure import (
     above_normal_probability,
     flag_above_normal,
@@ -13,6 +13,8 @@ from pluvigrid.operators.departure import (
     seasonal_departure,
 )
 from pluvigrid.operators.rollup import monthly_totals, seasonal_from_monthly
+from pluvigrid.session import shared_path
+from pluvigrid.sources.files import remove
 from pluvigrid.sources.processed import read_table, write_table
 from pluvigrid.sources.readings import read_daily_csv
 
@@ -26,7 +28,11 @@ def process_readings(
     chunk: str = "auto",
     quarantine_folder: str | None = None,
 ) -> dict[str, int]:
-    """Clean, fill, roll up, compare with the LPA, and write; returns rows per table."""
+    """Clean, fill, roll up, compare with the LPA, and write; returns rows per table.
+
+    With ``quarantine_folder``, rows with a malformed date or amount go there;
+    without it they stop the job.
+    """
     raw = read_daily_csv(spark, raw_folder)
     if quarantine_folder is not None:
         raw, rejected = split_rejects(raw)
@@ -39,16 +45,22 @@ def process_frame(
     out_folder: str,
     fmt: str = "parquet",
     series_key: Sequence[str] = ("district_name",),
-    chunk: str = "month",
+    chunk: str = "auto",
 ) -> dict[str, int]:
     """The same from a frame of raw readings.
 
-    Every stage reads the table the stage before it wrote: the daily rows are read
-    once more, by column, and all later tables are far smaller. A lost executor
-    never sends the job back to the raw files.
+    Gap filling reads its input more than once, so the parsed rows are first written
+    as columns to the shared folder. After that every stage reads the table the
+    stage before it wrote; a lost executor never sends the job back to the raw files.
     """
     spark = raw.sparkSession
-    counts = {"daily": write_table(clean_daily(raw, series_key, chunk), out_folder, "daily", fmt)}
+    parsed = shared_path(spark, "parsed-readings")
+    try:
+        standardise(raw).write.parquet(parsed)
+        daily = fill_daily(spark.read.parquet(parsed), series_key, chunk)
+        counts = {"daily": write_table(daily, out_folder, "daily", fmt)}
+    finally:
+        remove(spark, parsed)
     monthly = monthly_totals(read_table(spark, out_folder, "daily", fmt))
     counts["monthly"] = write_table(monthly_departure(monthly, series_key), out_folder, "monthly", fmt)
     seasonal = seasonal_from_monthly(read_table(spark, out_folder, "monthly", fmt))

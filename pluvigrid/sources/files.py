@@ -17,6 +17,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder this process wrote itself."""
+    fs, target = _path(spark, path)
+    fs.delete(target, True)
+
+
 def list_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
     """Paths of the files directly in ``folder`` with that suffix, sorted by name."""
     fs, target = _path(spark, folder)

@@ -1,7 +1,6 @@
 """Reading and writing the processed tables."""
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from pluvigrid.functions.fixed_values import TABLE_NAMES
 from pluvigrid.operators.cleaning import require_columns
@@ -23,27 +22,29 @@ def _location(folder: str, name: str, fmt: str) -> str:
 
 
 def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") -> int:
-    """Overwrite one processed table and return its row count, taken while writing.
+    """Overwrite one processed table and return its row count.
 
     Partitioned tables are rebalanced by their partition column: adaptive execution
     splits large partitions and merges small ones, so no task writes a whole year
     and files come out at the advisory size. Rows are sorted inside each file, which
-    lets Parquet skip row groups of other districts.
+    lets Parquet skip row groups of other districts. Counting the written Parquet
+    files only reads their footers.
     """
-    written = Observation()
-    counted = df.observe(written, F.count(F.lit(1)).alias("n_rows"))
+    order = SORT_COLUMNS[name]
+    if fmt == "csv" or name not in PARTITION_COLUMNS:
+        spread = df.repartitionByRange(*order)
+    else:
+        order = (PARTITION_COLUMNS[name], *order)
+        spread = df.hint("rebalance", PARTITION_COLUMNS[name])
+    writer = spread.sortWithinPartitions(*order).write.mode("overwrite")
     path = _location(folder, name, fmt)
     if fmt == "csv":
-        ordered = counted.repartitionByRange(*SORT_COLUMNS[name]).sortWithinPartitions(*SORT_COLUMNS[name])
-        ordered.write.mode("overwrite").csv(path, header=True)
+        writer.csv(path, header=True)
     elif name in PARTITION_COLUMNS:
-        part = PARTITION_COLUMNS[name]
-        spread = counted.hint("rebalance", part).sortWithinPartitions(part, *SORT_COLUMNS[name])
-        spread.write.mode("overwrite").partitionBy(part).parquet(path)
+        writer.partitionBy(PARTITION_COLUMNS[name]).parquet(path)
     else:
-        ordered = counted.repartitionByRange(*SORT_COLUMNS[name]).sortWithinPartitions(*SORT_COLUMNS[name])
-        ordered.write.mode("overwrite").parquet(path)
-    return written.get["n_rows"]
+        writer.parquet(path)
+    return read_table(df.sparkSession, folder, name, fmt).count()
 
 
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet") -> DataFrame:
