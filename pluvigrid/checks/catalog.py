@@ -365,12 +365,29 @@ def _model_metadata(spark, sf):
 
 
 def _write_report(spark, sf):
-    return spark.read.csv(f"{_trained(spark, sf)[1]}/importance.csv", header=True, schema="feature STRING, importance DOUBLE")
+    rows = _stored_matrix(spark, sf)
+    folder = shared_path(spark, "model")
+    models.write_report(forest.feature_importance(forest.train_forest(rows), rows), folder)
+    return spark.read.csv(f"{folder}/importance.csv", header=True, schema="feature STRING, importance DOUBLE")
 
 
 def _save_load_model(spark, sf):
-    saved = models.load_model(spark, _trained(spark, sf)[1])
-    return forest.feature_importance(saved.model, saved.districts)
+    """Predictions of the model after a round trip through storage."""
+    season_rows = seasonal_dep(spark, sf)
+    codes = (features.district_codes(season_rows), features.state_codes(season_rows))
+    rows = cut_lineage(features.feature_matrix(season_rows, monthly_dep(spark, sf), codes))
+    folder = shared_path(spark, "model")
+    model = forest.train_forest(rows)
+    in_sample = model.transform(rows).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(F.when(F.col("prediction") == F.col("target_above_normal"), 1)).alias("n_correct"),
+        F.avg((F.col("prediction") == F.col("target_above_normal")).cast("double")).alias("accuracy"),
+    )
+    summary = forest.cv_summary(in_sample)
+    models.save_model(model, forest.model_metadata(summary), *codes, folder)
+    return models.load_model(spark, folder).model.transform(rows).select(
+        "district_name", "state_name", "year", "target_above_normal", "prediction"
+    )
 
 
 def _score_requests(spark, sf):
