@@ -61,26 +61,46 @@ def kharif(spark: SparkSession, sf: str) -> DataFrame:
     return features.kharif_target(seasonal_dep(spark, sf))
 
 
+def stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Monthly and seasonal tables for queries that read them several times.
+
+    As in the real job, month totals are stored once and all else starts from them.
+    """
+    totals = cut_lineage(rollup.monthly_totals(daily(spark, sf)))
+    rounded = lambda df: _rounded(df, 6, "total_rainfall_mm")
+    seasons = departure.seasonal_departure(rounded(rollup.seasonal_from_monthly(totals)))
+    return departure.monthly_departure(rounded(totals)), departure.flag_above_normal(seasons)
+
+
 def joined(spark: SparkSession, sf: str) -> DataFrame:
-    return features.june_features_join(kharif(spark, sf), features.june_rows(monthly_dep(spark, sf)))
+    months, seasons = stored(spark, sf)
+    return features.june_features_join(features.kharif_target(seasons), features.june_rows(months))
+
+
+def joined_with_stats(spark: SparkSession, sf: str) -> DataFrame:
+    months, seasons = stored(spark, sf)
+    target = features.kharif_target(seasons)
+    rows = features.june_features_join(target, features.june_rows(months))
+    return features.district_stats_join(rows, features.district_stats(target))
 
 
 def matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return features.feature_matrix(seasonal_dep(spark, sf), monthly_dep(spark, sf))
+    months, seasons = stored(spark, sf)
+    return features.feature_matrix(seasons, months)
 
 
-def districts(spark: SparkSession, sf: str) -> DataFrame:
-    return seasonal_dep(spark, sf).select("district_name").distinct()
+def districts(seasons: DataFrame) -> DataFrame:
+    return seasons.select("district_name").distinct()
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
-    season_rows = seasonal_dep(spark, sf)
+    months, seasons = stored(spark, sf)
     return features.score_lookup(
         requests(spark, sf),
-        features.district_codes(season_rows),
-        features.state_codes(season_rows),
-        features.district_stats(features.kharif_target(season_rows)),
-        features.june_lpa(monthly_dep(spark, sf)),
+        features.district_codes(seasons),
+        features.state_codes(seasons),
+        features.district_stats(features.kharif_target(seasons)),
+        features.june_lpa(months),
     )
 
 
@@ -208,7 +228,7 @@ def _seasonal_lpa_join(spark, sf):
 
 
 def _district_stats_join(spark, sf):
-    return _stats_rounded(features.district_stats_join(joined(spark, sf), features.district_stats(kharif(spark, sf))))
+    return _stats_rounded(joined_with_stats(spark, sf))
 
 
 def _customer_share(spark, sf):
@@ -290,8 +310,7 @@ def _probability_band(spark, sf):
 
 
 def _all_features(spark, sf):
-    stats = features.district_stats(kharif(spark, sf))
-    return features.june_signals(features.district_stats_join(joined(spark, sf), stats))
+    return features.june_signals(joined_with_stats(spark, sf))
 
 
 def _vs_lpa_flag(spark, sf):
@@ -308,7 +327,8 @@ def _departure_sign_band(spark, sf):
 
 
 def _advice_text(spark, sf):
-    advice = reports.advice_points(districts(spark, sf), probability(spark, sf))
+    _, seasons = stored(spark, sf)
+    advice = reports.advice_points(districts(seasons), departure.above_normal_probability(seasons))
     return advice.withColumn("points", F.array_join("points", " | "))
 
 
@@ -373,9 +393,9 @@ def _write_report(spark, sf):
 
 def _save_load_model(spark, sf):
     """Predictions of the model after a round trip through storage."""
-    season_rows = seasonal_dep(spark, sf)
-    codes = (features.district_codes(season_rows), features.state_codes(season_rows))
-    rows = cut_lineage(features.feature_matrix(season_rows, monthly_dep(spark, sf), codes))
+    months, seasons = stored(spark, sf)
+    codes = (features.district_codes(seasons), features.state_codes(seasons))
+    rows = cut_lineage(features.feature_matrix(seasons, months, codes))
     folder = shared_path(spark, "model")
     model = forest.train_forest(rows)
     in_sample = model.transform(rows).agg(
@@ -406,6 +426,21 @@ def _overview_with_forecast(spark, sf):
     return reports.district_overview(tables["seasonal"], tables["probability"], scores)
 
 
+def _district_overview(spark, sf):
+    _, seasons = stored(spark, sf)
+    return reports.district_overview(seasons, departure.above_normal_probability(seasons))
+
+
+def _farmer_advice(spark, sf):
+    _, seasons = stored(spark, sf)
+    return reports.farmer_advice(districts(seasons), departure.above_normal_probability(seasons))
+
+
+def _input_defaults(spark, sf):
+    months, seasons = stored(spark, sf)
+    return reports.input_defaults(seasons, months)
+
+
 def queries():
     month_of = lambda date: F.month(date)
     return {
@@ -523,8 +558,8 @@ def queries():
         "save_load_model": _save_load_model,
         "run_trainer": _run_trainer,
         # Reports
-        "district_overview": lambda s, d: reports.district_overview(seasonal_dep(s, d), probability(s, d)),
+        "district_overview": _district_overview,
         "district_overview_forecast": _overview_with_forecast,
-        "farmer_advice": lambda s, d: reports.farmer_advice(districts(s, d), probability(s, d)),
-        "input_defaults": lambda s, d: reports.input_defaults(seasonal_dep(s, d), monthly_dep(s, d)),
+        "farmer_advice": _farmer_advice,
+        "input_defaults": _input_defaults,
     }
