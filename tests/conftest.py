@@ -7,7 +7,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from pluvigrid.session import local_session
 
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
