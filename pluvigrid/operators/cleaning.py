@@ -45,7 +45,7 @@ def _amount(df: DataFrame) -> Column:
 
 
 def standardise(raw: DataFrame) -> DataFrame:
-    """Rename, parse and derive calendar parts; readings are not yet filled.
+    """Rename, parse and add calendar parts; readings are not yet filled.
 
     A malformed date or amount stops the job. Use :func:`split_rejects` first to set
     such rows aside.
@@ -100,17 +100,20 @@ def fill_daily(
 ) -> DataFrame:
     """Gaps filled, no negatives, one row per input row.
 
+    Calendar parts follow from the date: they are added after the shuffle of gap
+    filling and not carried through it.
+
     ``chunk="auto"`` runs one count per series and month to choose between calendar
     chunks and equal-size ones. ``keep_raw`` adds the unfilled reading as ``reading_mm``.
     """
-    df = standardised
+    df = standardised.drop(*CALENDAR_PARTS)
     if chunk == "auto":
         chunk = choose_chunk(df, series_key)
     if keep_raw:
         df = df.withColumn("reading_mm", F.col("rainfall_mm"))
     filled = fill_gaps(df, series_key=series_key, chunk=chunk)
     clean = filled.withColumn("rainfall_mm", numbers.clip_negative(F.col("rainfall_mm")))
-    return clean.drop("file_position")
+    return add_calendar_parts(clean.drop("file_position"))
 
 
 def clean_daily(
