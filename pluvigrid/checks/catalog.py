@@ -198,23 +198,34 @@ def _drop_missing_june(spark, sf):
     return features.drop_missing_june(joined(spark, sf)).drop("target_above_normal")
 
 
+def _codes_shown(df):
+    """-1 for unknown, as comparing tools differ in how they show a missing integer."""
+    return df.fillna(-1, subset=[c for c in ("district_encoded", "state_encoded") if c in df.columns])
+
+
 def _known_district(spark, sf):
-    return features.known_district(requests(spark, sf), features.district_codes(seasonal_dep(spark, sf)))
+    codes = features.district_codes(seasonal_dep(spark, sf))
+    return _codes_shown(features.known_district(requests(spark, sf), codes))
 
 
 def _default_values(spark, sf):
-    return _rounded(_stats_rounded(features.default_values(found(spark, sf))), 6, "june_lpa_mm")
+    ready = features.default_values(found(spark, sf))
+    return _codes_shown(_rounded(_stats_rounded(ready), 6, "june_lpa_mm"))
 
 
 def _score_lookup(spark, sf):
-    return _rounded(found(spark, sf), 6, "district_mean_mm", "district_std_mm", "june_lpa_mm")
+    return _codes_shown(_rounded(found(spark, sf), 6, "district_mean_mm", "district_std_mm", "june_lpa_mm"))
+
+
+def _probability_lookup(spark, sf):
+    looked_up = reports.probability_lookup(requests(spark, sf), probability(spark, sf))
+    return looked_up.fillna(0, subset=["years_above_normal", "total_years"])
 
 
 def _serving_features(spark, sf):
     ready = features.serving_features(found(spark, sf))
-    return _rounded(_stats_rounded(ready), 6, "june_departure_pct", "june_vs_district_mean").select(
-        "request_id", *FEATURE_COLUMNS
-    )
+    rounded = _rounded(_stats_rounded(ready), 6, "june_departure_pct", "june_vs_district_mean")
+    return _codes_shown(rounded).select("request_id", *FEATURE_COLUMNS)
 
 
 def _monthly_lpa_join(spark, sf):
@@ -477,7 +488,7 @@ def queries():
         "june_features_join": joined,
         "district_stats_join": _district_stats_join,
         "score_lookup": _score_lookup,
-        "probability_lookup": lambda s, d: reports.probability_lookup(requests(s, d), probability(s, d)),
+        "probability_lookup": _probability_lookup,
         "advice_lookup": _advice_lookup,
         # Aggregations
         "monthly_totals": monthly,

@@ -264,10 +264,12 @@ def oracle_sql() -> dict[str, str]:
             "WHERE june_rainfall_mm IS NOT NULL AND june_departure_pct IS NOT NULL", "joined"),
         "not_null_values": _sql('SELECT * FROM raw WHERE "Avg_rainfall" IS NOT NULL', "raw"),
         "known_district": _sql(
-            "SELECT r.*, district_encoded, district_encoded IS NOT NULL AS district_known "
+            "SELECT r.*, coalesce(district_encoded, -1) AS district_encoded, "
+            "district_encoded IS NOT NULL AS district_known "
             "FROM requests r LEFT JOIN district_codes USING (district_name)", "requests", "district_codes"),
         "default_values": _sql(
-            f"""SELECT request_id, district_name, state_name, june_rainfall_mm, district_encoded, district_known,
+            f"""SELECT request_id, district_name, state_name, june_rainfall_mm,
+                coalesce(district_encoded, -1) AS district_encoded, district_known,
                 state_known, {_even('district_mean_mm', 6)} AS district_mean_mm,
                 {_even('district_std_mm', 6)} AS district_std_mm, {_even('district_cv', 6)} AS district_cv,
                 {_even('june_lpa_mm', 6)} AS june_lpa_mm, state_encoded FROM defaulted""", "defaulted"),
@@ -287,13 +289,16 @@ def oracle_sql() -> dict[str, str]:
                 {_even('district_std_mm', 6)} AS district_std_mm, {_even('district_cv', 6)} AS district_cv
                 FROM joined j LEFT JOIN stats USING (district_name)""", "joined", "stats"),
         "score_lookup": _sql(
-            f"""SELECT * EXCLUDE (district_mean_mm, district_std_mm, june_lpa_mm),
+            f"""SELECT * EXCLUDE (district_mean_mm, district_std_mm, june_lpa_mm, district_encoded, state_encoded),
+                coalesce(district_encoded, -1) AS district_encoded, coalesce(state_encoded, -1) AS state_encoded,
                 {_even('district_mean_mm', 6)} AS district_mean_mm, {_even('district_std_mm', 6)} AS district_std_mm,
                 {_even('june_lpa_mm', 6)} AS june_lpa_mm FROM found""", "found"),
         "probability_lookup": _sql(
-            """SELECT r.*, years_above_normal, total_years, coalesce(prob_above_normal_pct, 50.0e0) AS primary_prob
-               FROM requests r LEFT JOIN (SELECT * FROM probability WHERE season = 'Kharif') p USING (district_name)
-            """, "requests", "probability").replace("r.*, years", "r.request_id, r.district_name, r.state_name, r.june_rainfall_mm, years"),
+            """SELECT request_id, district_name, state_name, june_rainfall_mm,
+               coalesce(years_above_normal, 0) AS years_above_normal, coalesce(total_years, 0) AS total_years,
+               coalesce(prob_above_normal_pct, 50.0e0) AS primary_prob
+               FROM requests LEFT JOIN (SELECT * FROM probability WHERE season = 'Kharif') p USING (district_name)""",
+            "requests", "probability"),
         "advice_lookup": f"""
             SELECT c_custkey, {_CUSTOMER_SHARE} AS chance, {_band(_CUSTOMER_SHARE, FORECAST_BANDS, 1)} AS category,
                    {_band(_CUSTOMER_SHARE, FORECAST_BANDS, 2)} AS colour,
@@ -393,7 +398,8 @@ def oracle_sql() -> dict[str, str]:
                   AS june_vs_district_mean,
                 CASE WHEN {_departure('june_rainfall_mm', 'june_lpa_mm')} > 5 THEN 1 ELSE 0 END AS june_was_above_normal,
                 {_even('district_mean_mm', 6)} AS district_mean_mm, {_even('district_std_mm', 6)} AS district_std_mm,
-                {_even('district_cv', 6)} AS district_cv, district_encoded, state_encoded FROM defaulted""",
+                {_even('district_cv', 6)} AS district_cv, coalesce(district_encoded, -1) AS district_encoded,
+                state_encoded FROM defaulted""",
             "defaulted"),
         "probability_band": f"""
             SELECT c_custkey, {_band(_CUSTOMER_SHARE, FORECAST_BANDS, 1)} AS category,

@@ -26,7 +26,7 @@ from pluvigrid.functions.fixed_values import (
     TARGET_SEASON,
 )
 from pluvigrid.functions.numbers import round_even
-from pluvigrid.operators.features import balanced_weights, score_lookup, serving_features
+from pluvigrid.operators.features import KEYS, balanced_weights, score_lookup, serving_features
 
 _PARALLEL_FITS = 4
 # Both classes are declared, so training data with only one of them still fits.
@@ -50,11 +50,10 @@ def train_forest(features: DataFrame, trees: int = FOREST_TREES, seed: int = FOR
     same number of shuffle partitions.
     """
     parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["district_name", "year", "state_name"]
     weighted = balanced_weights(trainable_rows(features)).withColumn(
         "label", F.col("target_above_normal").cast("double").alias("label", metadata=_TWO_CLASSES)
     )
-    laid_out = weighted.repartition(parts, *keys).sortWithinPartitions(*keys)
+    laid_out = weighted.repartition(parts, *KEYS).sortWithinPartitions(*KEYS)
     vectors = _assembler("error").transform(laid_out).select("features", "label", "class_weight")
     forest = RandomForestClassifier(
         numTrees=trees,
@@ -73,10 +72,13 @@ def leave_one_out(
 ) -> DataFrame:
     """Accuracy on each held-out value of ``fold_column``, a few distributed fits at a time.
 
-    More folds than ``max_folds`` is an error: none are left out silently.
+    ``fold_column="row"`` holds out one row (district and year) at a time. More folds
+    than ``max_folds`` is an error: none are left out silently.
     """
     spark = features.sparkSession
     rows = trainable_rows(features)
+    if fold_column == "row":
+        rows = rows.withColumn("row", F.concat_ws("|", *KEYS))
     folds = [r[0] for r in rows.select(fold_column).distinct().orderBy(fold_column).limit(max_folds + 1).collect()]
     if len(folds) > max_folds:
         raise ValueError(f"{fold_column} has more than {max_folds} folds")

@@ -13,6 +13,8 @@ def local_session(cores: str = "*", **settings: str) -> SparkSession:
         .appName("pluvigrid")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        # Small data on one machine: merge less, so that all cores have work.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
     )

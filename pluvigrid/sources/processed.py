@@ -1,6 +1,7 @@
 """Reading and writing the processed tables."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pluvigrid.functions.fixed_values import TABLE_NAMES
 from pluvigrid.operators.cleaning import require_columns
@@ -32,7 +33,8 @@ def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") ->
     """
     order = SORT_COLUMNS[name]
     if fmt == "csv" or name not in PARTITION_COLUMNS:
-        spread = df.repartitionByRange(*order)
+        # The hash splits rows of equal keys, however many there are.
+        spread = df.repartitionByRange(*order, F.xxhash64(*df.columns))
     else:
         order = (PARTITION_COLUMNS[name], *order)
         spread = df.hint("rebalance", PARTITION_COLUMNS[name])

@@ -120,6 +120,12 @@ def test_leave_one_out(stored):
         forest.leave_one_out(stored, max_folds=2)
 
 
+def test_row_folds(stored):
+    some = stored.where("district_name = 'Nation_3'")
+    folds = forest.leave_one_out(some, fold_column="row", trees=2).collect()
+    assert len(folds) == forest.trainable_rows(some).count() and {r["n_rows"] for r in folds} == {1}
+
+
 def test_cv_summary(spark):
     folds = spark.createDataFrame([(1.0,), (0.5,)], "accuracy DOUBLE")
     row = forest.cv_summary(folds).first()
