@@ -32,8 +32,12 @@ def _stats_rounded(df: DataFrame) -> DataFrame:
 # Tables of the chain, each built from the raw test tables.
 
 
+# Derived readings have one row per district and day, so a month holds 31 at most.
+CHUNK = "month"
+
+
 def daily(spark: SparkSession, sf: str, keep_raw: bool = False) -> DataFrame:
-    return clean_daily(raw_readings(spark, sf), keep_raw=keep_raw)
+    return clean_daily(raw_readings(spark, sf), chunk=CHUNK, keep_raw=keep_raw)
 
 
 def monthly(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,12 +258,12 @@ def _advice_lookup(spark, sf):
 
 
 def _interpolate_linear(spark, sf):
-    filled = gapfill.fill_gaps(standardise(raw_readings(spark, sf)), edges="trailing")
+    filled = gapfill.fill_gaps(standardise(raw_readings(spark, sf)), chunk=CHUNK, edges="trailing")
     return _rounded(filled, 9, "rainfall_mm").select("date", "district_name", "rainfall_mm")
 
 
 def _fill_edges(spark, sf):
-    filled = gapfill.fill_gaps(standardise(raw_readings(spark, sf)))
+    filled = gapfill.fill_gaps(standardise(raw_readings(spark, sf)), chunk=CHUNK)
     return _rounded(filled, 9, "rainfall_mm").select("date", "district_name", "rainfall_mm")
 
 

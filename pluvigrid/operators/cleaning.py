@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from pluvigrid.functions import calendar, numbers, text
 from pluvigrid.functions.fixed_values import RAW_COLUMNS
-from pluvigrid.operators.gapfill import choose_chunk, fill_gaps
+from pluvigrid.operators.gapfill import fill_gaps
 
 CALENDAR_PARTS = ("year", "month", "week_number", "season")
 
@@ -95,7 +95,7 @@ def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fill_daily(
     standardised: DataFrame,
     series_key: Sequence[str] = ("district_name",),
-    chunk: str = "month",
+    chunk: str = "auto",
     keep_raw: bool = False,
 ) -> DataFrame:
     """Gaps filled, no negatives, one row per input row.
@@ -103,12 +103,10 @@ def fill_daily(
     Calendar parts follow from the date: they are added after the shuffle of gap
     filling and not carried through it.
 
-    ``chunk="auto"`` runs one count per series and month to choose between calendar
-    chunks and equal-size ones. ``keep_raw`` adds the unfilled reading as ``reading_mm``.
+    ``chunk`` is as in :func:`fill_gaps`. ``keep_raw`` adds the unfilled reading as
+    ``reading_mm``.
     """
     df = standardised.drop(*CALENDAR_PARTS)
-    if chunk == "auto":
-        chunk = choose_chunk(df, series_key)
     if keep_raw:
         df = df.withColumn("reading_mm", F.col("rainfall_mm"))
     filled = fill_gaps(df, series_key=series_key, chunk=chunk)
@@ -119,7 +117,7 @@ def fill_daily(
 def clean_daily(
     raw: DataFrame,
     series_key: Sequence[str] = ("district_name",),
-    chunk: str = "month",
+    chunk: str = "auto",
     keep_raw: bool = False,
 ) -> DataFrame:
     """The daily table: standard names, calendar parts, gaps filled, no negatives."""

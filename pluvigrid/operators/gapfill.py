@@ -37,16 +37,19 @@ def fill_gaps(
     df: DataFrame,
     value: str = "rainfall_mm",
     series_key: Sequence[str] = ("district_name",),
-    chunk: str = "month",
+    chunk: str = "auto",
     edges: str = "both",
 ) -> DataFrame:
     """Linear fill by row position, then the nearest reading at the ends of a series.
 
     ``chunk`` is ``year``, ``month`` or ``day`` of ``date``, or ``range`` for runs of equal size
-    whatever the skew. ``edges="trailing"`` leaves readings before the first valid
-    one missing. Rows without a series key get NULL; a series without any reading
-    stays NULL.
+    whatever the skew. ``auto`` chooses by one count per series and month; name a
+    chunk to skip it when its size is known. ``edges="trailing"`` leaves readings before
+    the first valid one missing. Rows without a series key get NULL; a series without
+    any reading stays NULL.
     """
+    if chunk == "auto":
+        chunk = choose_chunk(df, series_key)
     if edges not in ("both", "trailing"):
         raise ValueError(f"unknown edges {edges!r}")
     series = list(series_key)

@@ -33,7 +33,7 @@ def list_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
 
 
 def first_lines(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The first line of each file: one small read per file, several at a time."""
+    """The first line with text of each file: one small read per file, several at a time."""
     jvm = spark.sparkContext._jvm
 
     def first_line(path: str) -> str:
@@ -41,7 +41,10 @@ def first_lines(spark: SparkSession, paths: list[str]) -> list[str]:
         stream = jvm.java.io.InputStreamReader(fs.open(target), "UTF-8")
         reader = jvm.java.io.BufferedReader(stream)
         try:
-            return reader.readLine() or ""
+            line = reader.readLine()
+            while line is not None and not line.strip():
+                line = reader.readLine()
+            return line or ""
         finally:
             reader.close()
 

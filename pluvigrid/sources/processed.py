@@ -1,5 +1,6 @@
 """Reading and writing the processed tables."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +58,22 @@ def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet"
     if fmt == "csv":
         df = spark.read.csv(path, header=True, schema=_csv_schema(spark, path, name), enforceSchema=False)
     else:
-        df = spark.read.parquet(path)
+        df = _parquet(spark, path, PROCESSED_SCHEMAS[name])
     known = [field.split()[0] for field in PROCESSED_SCHEMAS[name].split(", ")]
     first = [c for c in known if c in df.columns]
     return df.select(*first, *(c for c in df.columns if c not in first))
 
 
+def _parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A partitioned table without rows has no file to take the schema from."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.read.schema(schema).parquet(path)
+
+
 def _csv_schema(spark: SparkSession, path: str, name: str) -> str:
     """Declared types for known columns, text for extra ones, in the file's order."""
     types = dict(field.split() for field in PROCESSED_SCHEMAS[name].split(", "))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvigrid.functions.text import null_tokens
 from pluvigrid.sources.files import first_lines, list_files
 
 
@@ -32,20 +33,27 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
+def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str], multi_line: bool) -> DataFrame:
+    if not header:
+        raise ValueError(f"files without a header: {paths}")
     schema = ", ".join(f"`{name}` STRING" for name in header)
-    rows = spark.read.csv(paths, schema=schema, header=True, enforceSchema=False, quote='"', escape='"')
+    rows = spark.read.csv(
+        paths, schema=schema, header=True, enforceSchema=False, quote='"', escape='"', multiLine=multi_line
+    )
     block = F.col("_metadata.file_block_start").alias("block")
     return rows.select(
-        *(F.col(f"`{name}`") for name in header),
+        *(null_tokens(F.col(f"`{name}`")).alias(name) for name in header),
         F.col("_metadata.file_name").alias("source_file"),
         F.struct(block, F.monotonically_increasing_id().alias("row")).alias("file_position"),
     )
 
 
-def read_daily_csv(spark: SparkSession, folder: str) -> DataFrame:
+def read_daily_csv(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
     """All CSV files directly in ``folder``, as text columns matched by header name.
 
+    Every spelling of a missing value becomes NULL. ``multi_line`` allows line breaks
+    inside quotes, at the price of one task per file.
+
     One scan over files whose headers differ in order would silently mix up columns,
     so files are grouped by header first, and each scan checks it again. Adds
     ``source_file`` and ``file_position``; the latter orders rows as in their file
@@ -55,7 +63,7 @@ def read_daily_csv(spark: SparkSession, folder: str) -> DataFrame:
     by_header = defaultdict(list)
     for path, line in zip(paths, first_lines(spark, paths)):
         by_header[_header(line)].append(path)
-    frames = [_scan(spark, header, group) for header, group in by_header.items()]
+    frames = [_scan(spark, header, group, multi_line) for header, group in by_header.items()]
     merged = union_by_name(*frames)
     last = ["source_file", "file_position"]
     return merged.select(*(F.col(f"`{c}`") for c in merged.columns if c not in last), *last)

@@ -101,3 +101,28 @@ def test_position_in_file_orders_same_day_rows(spark, tmp_path):
     write(tmp_path, "a.csv", "Date,State,District,Avg_rainfall", *lines)
     clean = clean_daily(readings.read_daily_csv(spark, str(tmp_path)))
     assert sorted(r["rainfall_mm"] for r in clean.collect()) == [1, 3, 5, 7, 7]
+
+
+def test_blank_first_line_and_tokens_in_other_columns(spark, tmp_path):
+    write(tmp_path, "a.csv", "", "Date,State,District,Avg_rainfall,Note", "2016-06-01,S,D,1,n/a")
+    row = readings.read_daily_csv(spark, str(tmp_path)).first()
+    assert (row["District"], row["Note"]) == ("D", None)
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    write(tmp_path, "a.csv", "Date,State,District,Avg_rainfall,Note", '2016-06-01,S,D,1,"two', 'lines"')
+    rows = readings.read_daily_csv(spark, str(tmp_path), multi_line=True).collect()
+    assert [r["Note"] for r in rows] == ["two\nlines"]
+
+
+def test_empty_file(spark, tmp_path):
+    write(tmp_path, "a.csv", "")
+    with pytest.raises(ValueError, match="without a header"):
+        readings.read_daily_csv(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_headers_without_rows(spark, tmp_path, fmt):
+    write(tmp_path, "a.csv", "Date,State,District,Avg_rainfall")
+    counts = process_readings(spark, str(tmp_path), str(tmp_path / "out"), fmt)
+    assert set(counts.values()) == {0}
