@@ -18,6 +18,7 @@ from pluvigrid.functions.fixed_values import (
 )
 from pluvigrid.functions.numbers import departure_pct, ratio, round_even
 from pluvigrid.operators.filters import filter_month, filter_season
+from pluvigrid.operators.lookup import lookup
 from pluvigrid.operators.ordering import label_codes
 
 KEYS = ("district_name", "state_name", "year")
@@ -138,8 +139,8 @@ def validate_june_input(requests: DataFrame) -> DataFrame:
 
 def known_district(requests: DataFrame, districts: DataFrame) -> DataFrame:
     """Adds the district's code and whether it was in the training data."""
-    return requests.join(districts, "district_name", "left").select(
-        *requests.columns, "district_encoded", F.col("district_encoded").isNotNull().alias("district_known")
+    return lookup(requests, districts, "district_name").withColumn(
+        "district_known", F.col("district_encoded").isNotNull()
     )
 
 
@@ -148,14 +149,14 @@ def score_lookup(
 ) -> DataFrame:
     """Requests with all that is stored about their district and state.
 
-    The dimensions share their key, so they are joined first: requests are shuffled
-    once per key and not once per dimension.
+    The district dimensions share their key, so they are joined first: requests are
+    shuffled once per key and not once per dimension.
     """
     profile = (
         districts.join(stats.withColumn("has_stats", F.lit(True)), "district_name", "left")
         .join(lpa, "district_name", "left")
     )
-    found = requests.join(profile, "district_name", "left").join(states, "state_name", "left")
+    found = lookup(lookup(requests, profile, "district_name"), states, "state_name")
     return found.select(
         *requests.columns,
         "district_encoded",

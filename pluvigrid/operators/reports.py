@@ -19,6 +19,7 @@ from pluvigrid.functions.fixed_values import DEFAULT_PROBABILITY_PCT, FORECAST_B
 from pluvigrid.functions.numbers import format_fixed, round_exact
 from pluvigrid.operators.features import june_default, june_lpa
 from pluvigrid.operators.filters import filter_season
+from pluvigrid.operators.lookup import lookup
 
 
 def _is_kharif():
@@ -124,7 +125,7 @@ def compare_districts(probability: DataFrame) -> DataFrame:
 def probability_lookup(districts: DataFrame, probability: DataFrame) -> DataFrame:
     """Kharif odds of each listed district, 50 % where there are none."""
     kharif = filter_season(probability, TARGET_SEASON).drop("season")
-    found = districts.join(kharif, "district_name", "left")
+    found = lookup(districts, kharif, "district_name")
     return found.select(
         *districts.columns,
         "years_above_normal",

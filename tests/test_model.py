@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pluvigrid.checks import catalog
 from pluvigrid.functions.fixed_values import FEATURE_COLUMNS
 from pluvigrid.operators import features, forest
+from pluvigrid.operators.lookup import lookup
 from pluvigrid.operators.ordering import label_codes
 from pluvigrid.plans.train import run_trainer, score_with_saved_model
 from pluvigrid.schemas import SCORE_REQUEST
@@ -153,3 +154,10 @@ def test_train_save_and_score(spark, tmp_path):
         else:
             assert row["error"] is None and 0 <= row["probability"] <= 100 and not row["state_known"]
             assert row["model_accuracy"] == pytest.approx(summary["cv_mean_accuracy"] * 100, abs=0.051)
+
+
+def test_lookup_keeps_every_row(spark):
+    rows = spark.createDataFrame([("a", 1)] * 50 + [("b", 2), (None, 3), ("z", 4)], "k STRING, n INT").repartition(6)
+    dimension = spark.createDataFrame([("a", "A"), ("b", "B"), (None, "?")], "k STRING, label STRING")
+    result = [tuple(r) for r in lookup(rows, dimension, "k").collect()]
+    assert sorted(result, key=str) == sorted([("a", 1, "A")] * 50 + [("b", 2, "B"), (None, 3, None), ("z", 4, None)], key=str)
