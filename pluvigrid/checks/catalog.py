@@ -180,7 +180,8 @@ def _output_row_counts(spark, sf):
 def _write_outputs(spark, sf):
     """Written as CSV and counted from the files."""
     folder = shared_path(spark, "processed-csv")
-    process_frame(raw_readings(spark, sf), folder, fmt="csv")
+    tables = (daily(spark, sf), monthly_dep(spark, sf), seasonal_dep(spark, sf), probability(spark, sf))
+    processed.write_outputs(*tables, folder, fmt="csv")
     counts = [
         processed.read_table(spark, folder, key, "csv").agg(F.count(F.lit(1)).alias("n_rows"))
         .select(F.lit(name).alias("table_name"), "n_rows")

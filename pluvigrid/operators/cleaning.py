@@ -10,9 +10,6 @@ from pluvigrid.functions import calendar, numbers, text
 from pluvigrid.functions.fixed_values import RAW_COLUMNS
 from pluvigrid.operators.gapfill import fill_gaps
 
-CALENDAR_PARTS = ("year", "month", "week_number", "season")
-
-
 def rename_columns(df: DataFrame) -> DataFrame:
     """Source names to internal names; other columns stay as they are."""
     return df.withColumnsRenamed(RAW_COLUMNS)
@@ -44,14 +41,14 @@ def _amount(df: DataFrame) -> Column:
     return numbers.nan_to_null(parsed)
 
 
-def standardise(raw: DataFrame) -> DataFrame:
-    """Rename, parse and add calendar parts; readings are not yet filled.
+def parse_readings(raw: DataFrame) -> DataFrame:
+    """Standard column names and types, clean place names; nothing is filled yet.
 
     A malformed date or amount stops the job. Use :func:`split_rejects` first to set
     such rows aside.
     """
     df = require_columns(rename_columns(raw), "date", "state_name", "district_name", "rainfall_mm")
-    parsed = df.withColumns(
+    return df.withColumns(
         {
             "date": _date(df),
             "rainfall_mm": _amount(df),
@@ -59,7 +56,11 @@ def standardise(raw: DataFrame) -> DataFrame:
             "district_name": text.clean_name(text.null_tokens(F.col("district_name"))),
         }
     )
-    return add_calendar_parts(parsed)
+
+
+def standardise(raw: DataFrame) -> DataFrame:
+    """Parsed readings with calendar parts, gaps still open."""
+    return add_calendar_parts(parse_readings(raw))
 
 
 def add_calendar_parts(df: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def add_calendar_parts(df: DataFrame) -> DataFrame:
 
 
 def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that :func:`standardise` accepts, and the others with a ``reject_reason``."""
+    """Rows that :func:`parse_readings` accepts, and the others with a ``reject_reason``."""
     df = require_columns(rename_columns(raw), "date", "rainfall_mm")
     bad_date = (
         calendar.parse_date(text.null_tokens(F.col("date"))).isNull()
@@ -93,20 +94,19 @@ def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def fill_daily(
-    standardised: DataFrame,
+    parsed: DataFrame,
     series_key: Sequence[str] = ("district_name",),
     chunk: str = "auto",
     keep_raw: bool = False,
 ) -> DataFrame:
     """Gaps filled, no negatives, one row per input row.
 
-    Calendar parts follow from the date: they are added after the shuffle of gap
-    filling and not carried through it.
+    Calendar parts follow from the date, so they are added after the shuffle.
 
     ``chunk`` is as in :func:`fill_gaps`. ``keep_raw`` adds the unfilled reading as
     ``reading_mm``.
     """
-    df = standardised.drop(*CALENDAR_PARTS)
+    df = parsed
     if keep_raw:
         df = df.withColumn("reading_mm", F.col("rainfall_mm"))
     filled = fill_gaps(df, series_key=series_key, chunk=chunk)
@@ -121,4 +121,4 @@ def clean_daily(
     keep_raw: bool = False,
 ) -> DataFrame:
     """The daily table: standard names, calendar parts, gaps filled, no negatives."""
-    return fill_daily(standardise(raw), series_key, chunk, keep_raw)
+    return fill_daily(parse_readings(raw), series_key, chunk, keep_raw)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pluvigrid.functions.classes import above_normal_flag, classify_anomaly
 from pluvigrid.functions.numbers import departure_pct, round_even
+from pluvigrid.operators.filters import not_null_values
 
 
 def _lpa(totals: DataFrame, series_key: Sequence[str], period: str) -> DataFrame:
@@ -59,7 +60,7 @@ def flag_above_normal(seasonal: DataFrame) -> DataFrame:
 def above_normal_probability(seasonal_flagged: DataFrame) -> DataFrame:
     """Share of years in which each district's season was above normal."""
     keys = ["district_name", "season"]
-    counts = seasonal_flagged.dropna(subset=keys).groupBy(*keys).agg(
+    counts = not_null_values(seasonal_flagged, *keys).groupBy(*keys).agg(
         F.sum("is_above_normal").alias("years_above_normal"),
         F.count("is_above_normal").alias("total_years"),
     )

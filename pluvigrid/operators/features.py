@@ -17,7 +17,7 @@ from pluvigrid.functions.fixed_values import (
     TARGET_SEASON,
 )
 from pluvigrid.functions.numbers import departure_pct, ratio, round_even
-from pluvigrid.operators.filters import filter_month, filter_season
+from pluvigrid.operators.filters import filter_month, filter_season, not_null_values
 from pluvigrid.operators.lookup import lookup
 from pluvigrid.operators.ordering import label_codes
 
@@ -86,7 +86,7 @@ def state_codes(seasonal: DataFrame) -> DataFrame:
 
 
 def drop_missing_june(features: DataFrame) -> DataFrame:
-    return features.dropna(subset=["june_rainfall_mm", "june_departure_pct"])
+    return not_null_values(features, "june_rainfall_mm", "june_departure_pct")
 
 
 def feature_matrix(

@@ -27,6 +27,7 @@ from pluvigrid.functions.fixed_values import (
 )
 from pluvigrid.functions.numbers import round_even
 from pluvigrid.operators.features import KEYS, balanced_weights, score_lookup, serving_features
+from pluvigrid.operators.filters import not_null_values
 
 _PARALLEL_FITS = 4
 # Both classes are declared, so training data with only one of them still fits.
@@ -39,7 +40,7 @@ def _assembler(handle_invalid: str) -> VectorAssembler:
 
 def trainable_rows(features: DataFrame) -> DataFrame:
     """Rows without a missing input; a district with one year has no deviation."""
-    return features.dropna(subset=list(FEATURE_COLUMNS))
+    return not_null_values(features, *FEATURE_COLUMNS)
 
 
 def train_forest(features: DataFrame, trees: int = FOREST_TREES, seed: int = FOREST_SEED) -> PipelineModel:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pluvigrid.functions.calendar import assign_season, season_year
 from pluvigrid.functions.fixed_values import RAINY_DAY_MM
+from pluvigrid.operators.filters import not_null_values
 
 PLACE = ("state_name", "district_name")
 
@@ -13,7 +14,7 @@ def _totals(daily: DataFrame, *period: str) -> DataFrame:
     keys = [*PLACE, *period]
     amount = F.col("rainfall_mm")
     return (
-        daily.dropna(subset=keys)
+        not_null_values(daily, *keys)
         .groupBy(*keys)
         .agg(
             F.coalesce(F.sum(amount), F.lit(0.0)).alias("total_rainfall_mm"),

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvigrid.operators.cleaning import fill_daily, split_rejects, standardise
+from pluvigrid.operators.cleaning import fill_daily, parse_readings, split_rejects
 from pluvigrid.operators.departure import (
     above_normal_probability,
     flag_above_normal,
@@ -56,7 +56,7 @@ def process_frame(
     spark = raw.sparkSession
     parsed = shared_path(spark, "parsed-readings")
     try:
-        standardise(raw).write.parquet(parsed)
+        parse_readings(raw).write.parquet(parsed)
         daily = fill_daily(spark.read.parquet(parsed), series_key, chunk)
         counts = {"daily": write_table(daily, out_folder, "daily", fmt)}
     finally:

@@ -50,6 +50,18 @@ def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") ->
     return read_table(df.sparkSession, folder, name, fmt).count()
 
 
+def write_outputs(
+    daily: DataFrame, monthly: DataFrame, seasonal: DataFrame, probability: DataFrame, folder: str, fmt: str = "parquet"
+) -> dict[str, int]:
+    """Write all four tables; returns their row counts.
+
+    Each table is computed on its own. :func:`process_readings` reads back each
+    written table for the next one instead.
+    """
+    tables = {"daily": daily, "monthly": monthly, "seasonal": seasonal, "probability": probability}
+    return {name: write_table(df, folder, name, fmt) for name, df in tables.items()}
+
+
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet") -> DataFrame:
     """One processed table with its columns in the documented order."""
     path = _location(folder, name, fmt)

@@ -106,6 +106,12 @@ def test_importance(stored):
     assert [r["importance"] for r in rows] == sorted((r["importance"] for r in rows), reverse=True)
 
 
+def test_missing_deviation_is_scored(stored):
+    model = forest.train_forest(stored, trees=5)
+    gaps = stored.withColumn("district_std_mm", F.lit(None).cast("double"))
+    assert model.transform(gaps).where("prediction in (0, 1)").count() == stored.count()
+
+
 def test_one_class_training(spark, stored):
     only = stored.withColumn("target_above_normal", F.lit(0))
     scored = forest.train_forest(only, trees=3).transform(stored)
