@@ -464,7 +464,7 @@ def queries():
         "read_daily_csv": _read_daily_csv,
         "require_inputs": _require_inputs,
         "source_file": _source_file,
-        "file_basename": _source_file,
+        "file_basename": lambda s, d: _source_file(s, d).select("source_file").distinct(),
         "file_row_counts": _file_row_counts,
         "union_by_name": _union_by_name,
         "read_seasonal": _read_seasonal,

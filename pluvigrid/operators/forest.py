@@ -30,6 +30,7 @@ from pluvigrid.operators.features import KEYS, balanced_weights, score_lookup, s
 from pluvigrid.operators.filters import not_null_values
 
 _PARALLEL_FITS = 4
+ROWS_PER_PARTITION = 20_000
 # Both classes are declared, so training data with only one of them still fits.
 _TWO_CLASSES = {"ml_attr": {"type": "nominal", "name": "label", "vals": ["0", "1"]}}
 
@@ -47,11 +48,11 @@ def train_forest(features: DataFrame, trees: int = FOREST_TREES, seed: int = FOR
     """Class weights come from the given rows, so each fold has its own.
 
     Rows are placed by key and sorted, because the forest's sampling depends on how
-    rows are laid out: the same rows give the same forest on any cluster with the
-    same number of shuffle partitions.
+    rows are laid out: the same rows give the same forest on any cluster.
     """
-    parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weighted = balanced_weights(trainable_rows(features)).withColumn(
+    rows = trainable_rows(features)
+    parts = rows.count() // ROWS_PER_PARTITION + 1
+    weighted = balanced_weights(rows).withColumn(
         "label", F.col("target_above_normal").cast("double").alias("label", metadata=_TWO_CLASSES)
     )
     laid_out = weighted.repartition(parts, *KEYS).sortWithinPartitions(*KEYS)
