@@ -20,8 +20,18 @@ PREVIEW = (
 )
 
 
+def _on_grid(totals: DataFrame) -> DataFrame:
+    """Totals as multiples of 1/1024 mm.
+
+    A sum of fractions depends in the last bits on the order of addition, which no
+    engine fixes, and an average of such sums can sit on a rounding tie. Multiples of a
+    power of two add up exactly, so all that is computed from totals is reproducible.
+    """
+    return totals.withColumn("total_rainfall_mm", F.rint(F.col("total_rainfall_mm") * 1024) / 1024)
+
+
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    """Sums of fractions differ in the last bits with the order of addition."""
+    """For results that still depend on the order of addition."""
     return df.withColumns({c: numbers.round_even(F.col(c), digits) for c in columns})
 
 
@@ -41,12 +51,11 @@ def daily(spark: SparkSession, sf: str, keep_raw: bool = False) -> DataFrame:
 
 
 def monthly(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(rollup.monthly_totals(daily(spark, sf)), 6, "total_rainfall_mm")
+    return _on_grid(rollup.monthly_totals(daily(spark, sf)))
 
 
 def seasonal(spark: SparkSession, sf: str) -> DataFrame:
-    totals = rollup.seasonal_from_monthly(rollup.monthly_totals(daily(spark, sf)))
-    return _rounded(totals, 6, "total_rainfall_mm")
+    return _on_grid(rollup.seasonal_from_monthly(rollup.monthly_totals(daily(spark, sf))))
 
 
 def monthly_dep(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,9 +80,8 @@ def stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     As in the real job, month totals are stored once and all else starts from them.
     """
     totals = cut_lineage(rollup.monthly_totals(daily(spark, sf)))
-    rounded = lambda df: _rounded(df, 6, "total_rainfall_mm")
-    seasons = departure.seasonal_departure(rounded(rollup.seasonal_from_monthly(totals)))
-    return departure.monthly_departure(rounded(totals)), departure.flag_above_normal(seasons)
+    seasons = departure.seasonal_departure(_on_grid(rollup.seasonal_from_monthly(totals)))
+    return departure.monthly_departure(_on_grid(totals)), departure.flag_above_normal(seasons)
 
 
 def joined(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,12 +164,18 @@ def _processed(spark, sf):
     return folder, counts
 
 
+# The stored averages come from totals off the grid, so they are left out here.
+AVERAGED = ("lpa_mm", "departure_pct", "anomaly_category", "is_above_normal")
+
+
 def _read_seasonal(spark, sf):
-    return _rounded(processed.read_seasonal(spark, _processed(spark, sf)[0]), 6, "total_rainfall_mm")
+    rows = processed.read_seasonal(spark, _processed(spark, sf)[0])
+    return _rounded(rows, 6, "total_rainfall_mm").drop(*AVERAGED)
 
 
 def _read_monthly(spark, sf):
-    return _rounded(processed.read_monthly(spark, _processed(spark, sf)[0]), 6, "total_rainfall_mm")
+    rows = processed.read_monthly(spark, _processed(spark, sf)[0])
+    return _rounded(rows, 6, "total_rainfall_mm").drop(*AVERAGED)
 
 
 def _load_processed(spark, sf):
@@ -435,7 +449,7 @@ def _overview_with_forecast(spark, sf):
     """Every district at its suggested June total."""
     processed_folder, model_folder, _ = _trained(spark, sf)
     tables = processed.load_processed(spark, processed_folder)
-    asked = reports.input_defaults(tables["seasonal"], tables["monthly"]).select(
+    asked = reports.input_defaults(tables["seasonal"], features.june_lpa(tables["monthly"])).select(
         "district_name", "state_name", F.col("june_default_mm").alias("june_rainfall_mm")
     )
     scores = score_with_saved_model(asked, processed_folder, model_folder)
@@ -454,7 +468,7 @@ def _farmer_advice(spark, sf):
 
 def _input_defaults(spark, sf):
     months, seasons = stored(spark, sf)
-    return reports.input_defaults(seasons, months)
+    return reports.input_defaults(seasons, _rounded(features.june_lpa(months), 6, "june_lpa_mm"))
 
 
 def queries():
@@ -497,7 +511,7 @@ def queries():
         "advice_lookup": _advice_lookup,
         # Aggregations
         "monthly_totals": monthly,
-        "seasonal_totals": lambda s, d: _rounded(rollup.seasonal_totals(daily(s, d)), 6, "total_rainfall_mm"),
+        "seasonal_totals": lambda s, d: _on_grid(rollup.seasonal_totals(daily(s, d))),
         "seasonal_from_monthly": seasonal,
         "monthly_lpa": lambda s, d: _rounded(departure.monthly_lpa(monthly(s, d)), 6, "lpa_mm"),
         "seasonal_lpa": lambda s, d: _rounded(departure.seasonal_lpa(seasonal(s, d)), 6, "lpa_mm"),

@@ -1,7 +1,8 @@
 """DuckDB SQL with the same results as the registered queries.
 
 Written straight from the rules and not from the Spark code: seasons come from the
-daily rows, averages from joins, gap filling from frames over whole series.
+daily rows, averages from joins, gap filling from frames over whole series. Totals
+lie on a grid of 1/1024 mm, see ``catalog``.
 """
 
 from pluvigrid.functions.fixed_values import FORECAST_BANDS, OUTLOOK_BANDS, VERDICTS
@@ -21,6 +22,10 @@ def _even(expr: str, digits: int) -> str:
     return f"CAST(round_even(({expr}) * {scale}, 0) / {scale} AS DOUBLE)"
 
 
+def _grid(expr: str) -> str:
+    return f"CAST(round_even(({expr}) * 1024e0, 0) / 1024e0 AS DOUBLE)"
+
+
 def _season(month: str) -> str:
     return (
         f"CASE WHEN {month} IN (6, 7, 8, 9) THEN 'Kharif' WHEN {month} IN (10, 11, 12, 1, 2) THEN 'Rabi' ELSE 'Zaid' END"
@@ -76,16 +81,20 @@ _WITHS = {
     "daily": (("neighbours",), """
         SELECT date, state_name, district_name, coalesce(reading_mm, (nv - pv) / (nk - pk) * (rn - pk) + pv, pv, nv)
                AS rainfall_mm, reading_mm, year, month, week_number, season FROM neighbours"""),
-    "monthly": (("daily",), f"""
-        SELECT state_name, district_name, year, month, {_even('coalesce(SUM(rainfall_mm), 0)', 6)} AS total_rainfall_mm,
+    "monthly_sums": (("daily",), """
+        SELECT state_name, district_name, year, month, coalesce(SUM(rainfall_mm), 0) AS total_rainfall_mm,
                COUNT(CASE WHEN rainfall_mm > 2.5 THEN 1 END) AS rainy_days, COUNT(rainfall_mm) AS data_days
         FROM daily GROUP BY 1, 2, 3, 4"""),
-    "seasonal": (("daily",), f"""
+    "monthly": (("monthly_sums",), f"""
+        SELECT * REPLACE ({_grid('total_rainfall_mm')} AS total_rainfall_mm) FROM monthly_sums"""),
+    "seasonal_sums": (("daily",), """
         SELECT state_name, district_name,
                CAST(CASE WHEN season = 'Rabi' AND month <= 2 THEN year - 1 ELSE year END AS INT) AS year, season,
-               {_even('coalesce(SUM(rainfall_mm), 0)', 6)} AS total_rainfall_mm,
+               coalesce(SUM(rainfall_mm), 0) AS total_rainfall_mm,
                COUNT(CASE WHEN rainfall_mm > 2.5 THEN 1 END) AS rainy_days, COUNT(rainfall_mm) AS data_days
         FROM daily GROUP BY 1, 2, 3, 4"""),
+    "seasonal": (("seasonal_sums",), f"""
+        SELECT * REPLACE ({_grid('total_rainfall_mm')} AS total_rainfall_mm) FROM seasonal_sums"""),
     "monthly_lpa": (("monthly",), """
         SELECT district_name, month, AVG(total_rainfall_mm) AS lpa_mm FROM monthly GROUP BY 1, 2"""),
     "seasonal_lpa": (("seasonal",), """
@@ -235,8 +244,10 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT CAST(o_orderdate AS DATE), """ + _even("SUM(o_totalprice)", 2) + """, NULL, o_orderpriority
             FROM orders GROUP BY 1, 4""",
-        "read_seasonal": _sql("SELECT * FROM seasonal_dep", "seasonal_dep"),
-        "read_monthly": monthly_dep,
+        "read_seasonal": _sql(
+            f"SELECT * REPLACE ({_even('total_rainfall_mm', 6)} AS total_rainfall_mm) FROM seasonal_sums", "seasonal_sums"),
+        "read_monthly": _sql(
+            f"SELECT * REPLACE ({_even('total_rainfall_mm', 6)} AS total_rainfall_mm) FROM monthly_sums", "monthly_sums"),
         "load_processed": _sql(
             "SELECT season, n_districts, years_above, n_years FROM (SELECT season, COUNT(*) AS n_districts, "
             "CAST(SUM(years_above_normal) AS BIGINT) AS years_above, CAST(SUM(total_years) AS BIGINT) AS n_years "
@@ -447,10 +458,9 @@ def oracle_sql() -> dict[str, str]:
                   SELECT district_name, primary_prob, {colour} AS colour, {title} AS title, {_points()} AS points
                   FROM odds) a) b""", "odds"),
         "input_defaults": _sql(
-            """SELECT state_name, district_name, CAST(printf('%.1f', coalesce(june_lpa_mm, 100)) AS DOUBLE)
-                 AS june_default_mm,
-               'Historical June LPA for ' || district_name || ': ' || printf('%.1f', coalesce(june_lpa_mm, 100)) || ' mm'
-                 AS june_help
-               FROM (SELECT DISTINCT state_name, district_name FROM seasonal) s LEFT JOIN june_lpa USING (district_name)
-            """, "seasonal", "june_lpa"),
+            f"""SELECT state_name, district_name, CAST(printf('%.1f', lpa) AS DOUBLE) AS june_default_mm,
+                'Historical June LPA for ' || district_name || ': ' || printf('%.1f', lpa) || ' mm' AS june_help
+                FROM (SELECT s.*, coalesce({_even('june_lpa_mm', 6)}, 100.0e0) AS lpa
+                      FROM (SELECT DISTINCT state_name, district_name FROM seasonal) s
+                           LEFT JOIN june_lpa USING (district_name)) t""", "seasonal", "june_lpa"),
     }

@@ -17,7 +17,7 @@ from pluvigrid.functions.classes import (
 )
 from pluvigrid.functions.fixed_values import DEFAULT_PROBABILITY_PCT, FORECAST_BANDS, TARGET_SEASON
 from pluvigrid.functions.numbers import format_fixed, round_exact
-from pluvigrid.operators.features import june_default, june_lpa
+from pluvigrid.operators.features import june_default
 from pluvigrid.operators.filters import filter_season, not_null_values
 from pluvigrid.operators.lookup import lookup
 
@@ -196,10 +196,10 @@ def farmer_advice(districts: DataFrame, probability: DataFrame) -> DataFrame:
     return numbered.withColumn("point_no", F.col("position") + 1).drop("position")
 
 
-def input_defaults(seasonal: DataFrame, monthly: DataFrame) -> DataFrame:
-    """Selectable states and districts with the suggested June total."""
+def input_defaults(seasonal: DataFrame, lpa: DataFrame) -> DataFrame:
+    """Selectable states and districts with the suggested June total, from :func:`june_lpa`."""
     places = not_null_values(seasonal.select("state_name", "district_name"), "state_name", "district_name").distinct()
-    found = june_default(june_lpa(monthly), places)
+    found = june_default(lpa, places)
     return found.select(
         "state_name",
         "district_name",

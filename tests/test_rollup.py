@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pluvigrid.checks import catalog
 from pluvigrid.operators import departure, filters, quality, reports, rollup
 from pluvigrid.operators.cleaning import add_calendar_parts
+from pluvigrid.operators.features import june_lpa
 from tests_support import SF
 
 
@@ -162,6 +163,6 @@ def test_departure_matrix(spark):
 def test_june_defaults(spark):
     places = seasons(spark, [("S", "A", 2020, "Kharif", 1.0, 1.0, 0.0), ("S", "B", 2020, "Kharif", 1.0, 1.0, 0.0)])
     june = spark.createDataFrame([("A", 6, 10.35), ("A", 7, 99.0)], "district_name STRING, month INT, lpa_mm DOUBLE")
-    rows = reports.input_defaults(places, june).collect()
+    rows = reports.input_defaults(places, june_lpa(june)).collect()
     assert [(r["june_default_mm"], r["june_help"]) for r in rows] == [
         (round(10.35, 1), "Historical June LPA for A: 10.3 mm"), (100.0, "Historical June LPA for B: 100.0 mm")]
