@@ -1,6 +1,7 @@
 """Small helpers for operators whose per-row work is Python inside Arrow batches."""
 
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,6 +10,18 @@ from pyspark.sql import functions as F
 from pluvigrid.session import shared_path
 
 
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with functions of this package.
+
+    On a cluster the package is installed or shipped with the job; the workers of a local
+    session find it where the driver did.
+    """
+    context = df.sparkSession.sparkContext
+    if context.master.startswith("local["):
+        context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return df.mapInArrow(function, schema)
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``function`` on each Arrow batch of ``df``; batches never cross input partitions."""
 
@@ -18,7 +31,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def texts_as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

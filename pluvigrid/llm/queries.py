@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pluvigrid.llm import bpe, token_counts
+from pluvigrid.llm import bpe, packing, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,10 @@ def op3_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op5_packing(spark, sf_dir):
+    return packing.pieces(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir))
 

@@ -65,10 +65,10 @@ class MergeTree:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         tokens = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items()}
         tokens |= {i: content.encode() for content, i in self.special.items()}
-        every = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-        self.lengths = np.array([len(t) for t in every])
+        self.tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.lengths = np.array([len(t) for t in self.tokens])
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.letters = np.frombuffer(b"".join(every), np.uint8)
+        self.letters = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.merges = {
             vocab[left] << 16 | vocab[right]: (rank << 16 | vocab[left + right]) << POSITIONS
             for rank, (left, right) in enumerate(merges)
@@ -243,3 +243,23 @@ def merge_tree(path: str) -> MergeTree:
 @lru_cache(maxsize=2)
 def merge_count(path: str) -> MergeCount:
     return MergeCount(path)
+
+
+@lru_cache(maxsize=2)
+def library_ids(path: str):
+    """The vocabulary at ``path`` in the tiktoken library: ids by rank, as numpy array.
+
+    Same ids as ``MergeTree`` where ids stand in the order of the merges.
+    """
+    import tiktoken
+
+    tree = merge_tree(path)
+    ranks = {token: i for i, token in enumerate(tree.tokens) if token and i not in tree.special.values()}
+    encoding = tiktoken.Encoding(
+        "vocabulary", pat_str=MergeTree.SPLIT.pattern, mergeable_ranks=ranks, special_tokens=tree.special
+    )
+
+    def ids(text: str) -> np.ndarray:
+        return encoding.encode_to_numpy(text, allowed_special="all")
+
+    return ids
