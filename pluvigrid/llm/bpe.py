@@ -25,7 +25,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     """
     kept = [c for c in df.columns if c not in (text, ids)]
     source = df.select(*kept, frames.text_column(text))
-    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept), f"`{ids}` binary"])
+    schema = ", ".join([*(frames.ddl(source, c) for c in kept), f"`{ids}` binary"])
 
     def run(batch):
         tree = tokens.merge_tree(path or tokens.vocabulary_path(VOCABULARY))
@@ -41,9 +41,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "text", path: str | None
     """Adds ``text``, decoded from ``ids``; special tokens show as their text."""
     kept = [c for c in df.columns if c != text]
     source = df.select(*kept)
-    schema = ", ".join(
-        [*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept), f"`{text}` string"]
-    )
+    schema = ", ".join([*(frames.ddl(source, c) for c in kept), f"`{text}` string"])
 
     def run(batch):
         tree = tokens.merge_tree(path or tokens.vocabulary_path(VOCABULARY))

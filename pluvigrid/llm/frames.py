@@ -53,3 +53,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def text_column(name: str = "text"):
     """The column as string, so that a column of nulls without a type works too."""
     return F.col(name).cast("string").alias(name)
+
+
+def ddl(df: DataFrame, *columns: str) -> str:
+    """Schema text of ``df`` or of some of its columns."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns or df.columns)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pluvigrid.llm import bpe, packing, token_counts
+from pluvigrid.llm import bpe, packing, quality, secret_scan, sql, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op5_packing(spark, sf_dir):
     return packing.pieces(documents(spark, sf_dir))
 
 
+def op6_secret_scan(spark, sf_dir):
+    return secret_scan.report(documents(spark, sf_dir))
+
+
+def op7_quality_rules(spark, sf_dir):
+    return quality.rules(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -26,4 +34,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_secret_scan": sql.op6(), "op7_quality_rules": sql.op7()}
