@@ -4,21 +4,25 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvigrid.session import shared_path
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with functions of this package.
+def importable(spark: SparkSession) -> None:
+    """Lets the workers of a local session find this package where the driver did.
 
-    On a cluster the package is installed or shipped with the job; the workers of a local
-    session find it where the driver did.
+    On a cluster the package is installed or shipped with the job.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.master.startswith("local["):
         context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with functions of this package."""
+    importable(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

@@ -26,7 +26,7 @@ WINDOW = 8
 TOP = 10_000
 # Documents further than this many quartile distances, plus the margin, from a quartile fail.
 REACH = 3
-MARGINS = {"word_length": 100, "symbols": 20, "dup_lines": 100, "repeats": 100}
+MARGINS = {"word_length": 100, "symbols": 20, "dup_lines": 400, "repeats": 250}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pluvigrid.llm import bpe, packing, quality, secret_scan, sql, token_counts
+from pluvigrid.llm import bpe, packing, quality, secret_scan, sql, token_counts, topk
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +29,13 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op9_topk(spark, sf_dir):
+    return topk.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secret_scan": sql.op6(), "op7_quality_rules": sql.op7()}
+    return {"op6_secret_scan": sql.op6(), "op7_quality_rules": sql.op7(), "op9_topk": sql.op9()}

@@ -53,8 +53,8 @@ def op7() -> str:
     measures = {
         "word_length": ("100 * word_chars", "n_words", 100),
         "symbols": ("1000 * n_symbols", "word_chars", 20),
-        "dup_lines": ("1000 * n_dup_lines", "n_lines", 100),
-        "repeats": ("1000 * n_repeat_words", "n_words", 100),
+        "dup_lines": ("1000 * n_dup_lines", "n_lines", 400),
+        "repeats": ("1000 * n_repeat_words", "n_words", 250),
     }
     bins = ", ".join(f"least({a} // greatest({b}, 1), 10000) AS {m}" for m, (a, b, _) in measures.items())
     limits, inside = [], []
