@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pluvigrid.llm import bpe, packing, quality, secret_scan, sql, token_counts, topk
+from pluvigrid.llm import bpe, packing, quality, secret_scan, sql, token_counts, topk, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op9_topk(spark, sf_dir):
     return topk.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
