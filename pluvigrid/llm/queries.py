@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pluvigrid.llm import bpe, packing, quality, secret_scan, sql, token_counts, topk, toxicity
+from pluvigrid.llm import bpe, packing, quality, secret_scan, sharding, sql, token_counts, topk, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,10 @@ def op3_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op4_sharding(spark, sf_dir):
+    return sharding.assignment(documents(spark, sf_dir))
+
+
 def op5_packing(spark, sf_dir):
     return packing.pieces(documents(spark, sf_dir))
 
