@@ -2,13 +2,17 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pluvigrid.llm import bpe, packing, quality, secret_scan, sharding, sql, token_counts, topk, toxicity
+from pluvigrid.llm import bpe, packing, quality, secret_scan, sharding, sql, substrings, token_counts, topk, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substrings.removals(documents(spark, sf_dir))
+
+
 def op3_bpe(spark, sf_dir):
     return bpe.round_trip(documents(spark, sf_dir))
 
@@ -46,4 +50,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secret_scan": sql.op6(), "op7_quality_rules": sql.op7(), "op9_topk": sql.op9()}
+    return {"op2_substring_dedup": sql.op2(), "op6_secret_scan": sql.op6(), "op7_quality_rules": sql.op7(), "op9_topk": sql.op9()}

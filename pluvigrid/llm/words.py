@@ -33,3 +33,31 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
         total *= MIX
         total += hashes[i : i + count]
     return scramble(total)
+
+
+class Batch:
+    """The words of many texts in one array, so that the work on windows is vectorised."""
+
+    def __init__(self, texts: list[bytes]):
+        split_texts = [split(t) for t in texts]
+        self.lengths = np.array([len(w) for w in split_texts], np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        total = int(self.lengths.sum())
+        every = (xxhash.xxh64_intdigest(w) for words in split_texts for w in words)
+        self.hashes = np.fromiter(every, np.uint64, total)
+        self.text_of = np.repeat(np.arange(len(texts)), self.lengths)
+
+    def whole_windows(self, size: int) -> np.ndarray:
+        """For each run of ``size`` words, whether it lies in one text."""
+        count = max(len(self.hashes) - size + 1, 0)
+        return self.text_of[:count] == self.text_of[len(self.text_of) - count :]
+
+
+def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
+    """Least of each run of ``size`` values."""
+    width, low = 1, values
+    while 2 * width <= size:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    rest = size - width
+    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
