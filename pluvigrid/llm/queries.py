@@ -2,13 +2,17 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pluvigrid.llm import bpe, packing, quality, secret_scan, sharding, sql, substrings, token_counts, topk, toxicity
+from pluvigrid.llm import bpe, minhash, packing, quality, secret_scan, sharding, sql, substrings, token_counts, topk, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash(spark, sf_dir):
+    return minhash.groups(documents(spark, sf_dir), size=4)
+
+
 def op2_substring_dedup(spark, sf_dir):
     return substrings.removals(documents(spark, sf_dir))
 
@@ -50,4 +54,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": sql.op2(), "op6_secret_scan": sql.op6(), "op7_quality_rules": sql.op7(), "op9_topk": sql.op9()}
+    return {"op1_minhash": sql.op1(), "op2_substring_dedup": sql.op2(), "op6_secret_scan": sql.op6(), "op7_quality_rules": sql.op7(), "op9_topk": sql.op9()}
