@@ -54,9 +54,23 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "text", path: str | None
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per document: number of ids and digests of the ids and of the text decoded from them."""
-    decoded = decode(encode(docs.select("doc_id", "text"), path=path), path=path)
-    return decoded.select(
+    """Per document: number of ids and digests of the ids and of the text decoded from them.
+
+    Encodes and decodes in one pass, so that a task has one vocabulary in memory.
+    """
+    source = docs.select("doc_id", frames.text_column())
+    schema = f"{frames.ddl(source, 'doc_id')}, ids binary, text string"
+
+    def run(batch):
+        tree = tokens.merge_tree(path or tokens.vocabulary_path(VOCABULARY))
+        encoded = [tree.encode(t) for t in frames.texts_as_str(batch)]
+        decoded = [tree.decode(ids) for ids in encoded]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(encoded, pa.binary()), pa.array(decoded, pa.string())],
+            names=["doc_id", "ids", "text"],
+        )
+
+    return frames.map_batches(source, run, schema).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

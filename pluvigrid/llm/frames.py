@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pluvigrid.session import shared_path
 
 
+SLICE = 1_000  # rows that Python works on at once
+
+
 def importable(spark: SparkSession) -> None:
     """Lets the workers of a local session find this package where the driver did.
 
@@ -26,14 +29,17 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``function`` on each Arrow batch of ``df``; batches never cross input partitions."""
+def map_batches(
+    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE
+) -> DataFrame:
+    """``function`` on slices of the Arrow batches of ``df``, so that Python holds few texts at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = function(batch)
-            if out is not None and out.num_rows:
-                yield out
+            for start in range(0, batch.num_rows, rows):
+                out = function(batch.slice(start, rows))
+                if out is not None and out.num_rows:
+                    yield out
 
     return map_arrow(df, run, schema)
 

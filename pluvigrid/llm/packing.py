@@ -122,9 +122,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
                     [("doc_id", batch.schema.field("doc_id").type), ("start", pa.int64()), ("length", pa.int64()),
                      ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
                 )
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), frames.texts_as_str(batch)):
-                packer.add(doc_id, np.concatenate([encode(text).astype("<u4"), end]))
-            yield packer.take(arrow)
+            for start in range(0, batch.num_rows, frames.SLICE):
+                part = batch.slice(start, frames.SLICE)
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), frames.texts_as_str(part)):
+                    packer.add(doc_id, np.concatenate([encode(text).astype("<u4"), end]))
+                if packer.out:
+                    yield packer.take(arrow)
         packer.close()
         if packer.out:
             yield packer.take(arrow)

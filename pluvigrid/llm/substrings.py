@@ -39,6 +39,7 @@ WINDOW = 20
 GRAM = 10
 SYMBOL = 19
 HOT_SHARE = 1 / 4096  # owners with a larger share of the rows are split; at most 1 / share are
+BATCH = 4_000  # documents whose equal segments are resolved before the shuffle
 SEGMENT = "key long, doc long, row long, start int, windows int, symbols binary, repeats boolean"
 SPAN = "row long, start int, windows int"
 
@@ -209,7 +210,7 @@ def hot_owners(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> np.nd
         keys, counts = np.append(keys[many], 0), np.append(counts[many], counts.sum())  # key 0: all rows
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=names)
 
-    counted = frames.map_batches(_numbered(docs), run, "key long, rows long").groupBy("key").agg(F.sum("rows").alias("rows"))
+    counted = frames.map_batches(_numbered(docs), run, "key long, rows long", BATCH).groupBy("key").agg(F.sum("rows").alias("rows"))
     heavy = counted.orderBy(F.desc("rows"), "key").limit(int(2 / HOT_SHARE) + 1).collect()
     total = next((r["rows"] for r in heavy if r["key"] == 0), 0)
     keys = [r["key"] for r in heavy if r["key"] != 0 and r["rows"] > total * HOT_SHARE / 2]
@@ -251,7 +252,7 @@ def segments(docs: DataFrame, hot: np.ndarray, window: int = WINDOW, gram: int =
             names=["key", "doc", "row", "start", "windows", "symbols", "repeats"],
         )
 
-    return frames.map_batches(_numbered(docs), run, SEGMENT)
+    return frames.map_batches(_numbered(docs), run, SEGMENT, BATCH)
 
 
 def copied_spans(routed: DataFrame, least: int = WINDOW - SYMBOL + 1) -> DataFrame:
@@ -344,12 +345,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Texts that lose nothing and other columns stay as they are.
     """
 
+    names = docs.columns
+
     def run(batch):
         texts = [
             text if runs is None else b" ".join(keep(text.encode(), runs)[1]).decode()
             for text, runs in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist())
         ]
-        columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns]
-        return pa.RecordBatch.from_arrays(columns, names=docs.columns)
+        columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     return frames.map_batches(_with_spans(docs), run, frames.ddl(docs))

@@ -19,7 +19,7 @@ import regex
 NONE = 1 << 61
 POSITIONS = 24  # bits of a tree or heap key that hold the position
 POSITION_MASK, ID_MASK = (1 << POSITIONS) - 1, (1 << 16) - 1
-WORDS_KEPT = 300_000  # entries of one generation of the memo; bounds a worker's memory
+WORDS_KEPT, CHUNKS_KEPT = 200_000, 50_000  # entries of one generation of a memo; they bound a worker's memory
 
 
 def byte_characters() -> list[str]:
@@ -75,7 +75,7 @@ class MergeTree:
         }
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.words = Memo(self._word)
-        self.chunks = Memo(self._chunk)
+        self.chunks = Memo(self._chunk, CHUNKS_KEPT)
 
     def merge(self, ids: list[int]) -> list[int]:
         """``ids`` after all merges. The tree's root is the pair to merge next.
@@ -179,7 +179,7 @@ class MergeCount:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.words = Memo(self._word)
-        self.chunks = Memo(self._chunk)
+        self.chunks = Memo(self._chunk, CHUNKS_KEPT)
 
     def merges_of(self, symbols: list[int]) -> int:
         """Number of merges: pop the lowest-ranked pair, relink, push its new neighbours."""
