@@ -84,9 +84,14 @@ def similar(common, one, other, percent: int = PERCENT):
     return 100 * common >= percent * (one + other - common)
 
 
+def row_number():
+    """A number that rows of one id and text share."""
+    return F.xxhash64(F.col("doc_id").cast("long"), frames.text_column())
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """Per row: number of shingles, two sums that stand for the set, and the signature."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), frames.text_column())
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_number().alias("row"), frames.text_column())
 
     def run(batch):
         sets = [shingle_set(t, size) for t in frames.texts_as_bytes(batch)]
@@ -94,14 +99,14 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         signed = [signature(s).tobytes() if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()),
                 *(pa.array([set_sum(s, k) for s in sets], pa.int64()) for k in (1, 2)),
                 pa.array(signed, pa.binary()), pa.array(with_any),
             ],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "any"],
+            names=["doc_id", "row", "n_shingles", "set_a", "set_b", "signature", "any"],
         )
 
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, any boolean"
+    schema = "doc_id long, row long, n_shingles long, set_a long, set_b long, signature binary, any boolean"
     signed = frames.map_batches(source, run, schema)
     unnamed = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("set_a", "set_b", "n_shingles"), 2)
     return frames.stored(signed.withColumn("node", F.coalesce("doc_id", unnamed)), "signatures")
@@ -271,8 +276,8 @@ def linked(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataF
     return components(links.unionByName(more))
 
 
-def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row of ``docs``."""
+def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``doc_id, row, n_shingles, node, component`` per row of ``docs``."""
     signed = signatures(docs, size)
     found = linked(docs, signed, size, percent)
     by_class = (
@@ -280,17 +285,21 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
         .join(found, "node", "left")
         .select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
     )
-    rows = signed.select("doc_id", "node", "n_shingles", "set_a", "set_b", "any")
-    labelled = rows.join(by_class, ["set_a", "set_b", "n_shingles"], "left")
+    rows = signed.select("doc_id", "row", "node", "n_shingles", "set_a", "set_b", "any")
     # Without words, a document is a group of its own.
-    component = F.when(F.col("any"), F.col("component")).otherwise(F.col("node"))
-    name = F.when(component < UNNAMED, component)
-    return labelled.select(
-        "doc_id", "n_shingles", name.alias("component_id"), (F.col("node") == component).alias("kept")
-    )
+    component = F.when(F.col("any"), F.col("component")).otherwise(F.col("node")).alias("component")
+    labelled = rows.join(by_class, ["set_a", "set_b", "n_shingles"], "left")
+    return labelled.select("doc_id", "row", "n_shingles", "node", component)
+
+
+def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` per row of ``docs``."""
+    named = F.when(F.col("component") < UNNAMED, F.col("component")).alias("component_id")
+    kept = (F.col("node") == F.col("component")).alias("kept")
+    return _labelled(docs, size, percent).select("doc_id", "n_shingles", named, kept)
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that are in a group with one of smaller id."""
-    gone = groups(docs, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` without the rows that are in a group with a smaller id."""
+    gone = _labelled(docs, size, percent).where("node <> component").select(F.col("row").alias("__gone")).distinct()
+    return docs.join(gone, row_number() == F.col("__gone"), "left_anti")

@@ -194,17 +194,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model({int(f): float(w) for f, w in zip(chosen, weights)}, constant)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` in place of a column of that name."""
-    kept = [c for c in docs.columns if c != "score"]
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with the score in column ``name``, which replaces one of that name."""
+    kept = [c for c in docs.columns if c != name]
 
     def run(batches):
         scorer = model.scorer() if np.isfinite(model.constant) else lambda text: 0.0
         for batch in batches:
             scores = pa.array([scorer(t) for t in frames.texts_as_bytes(batch)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), scores], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), scores], names=[*kept, name])
 
-    return frames.map_arrow(docs.select(*kept), run, f"{frames.ddl(docs, *kept)}, score double")
+    return frames.map_arrow(docs.select(*kept), run, f"{frames.ddl(docs, *kept)}, `{name}` double")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose score is ``least`` or more."""
+    scored = score(docs, train(docs, labels), "__score")
+    return scored.where(F.col("__score") < least).select(*docs.columns)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
