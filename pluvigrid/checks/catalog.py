@@ -14,7 +14,7 @@ from pluvigrid.session import cut_lineage, shared_path
 from pluvigrid.sources import models, processed, readings
 
 POINT_DISTRICT = "Nation_3"
-MATRIX_YEARS = range(1995, 2002)
+GRID = 1024
 PREVIEW = (
     "district_name", "year", "month", "total_rainfall_mm", "lpa_mm", "departure_pct", "anomaly_category",
 )
@@ -27,7 +27,7 @@ def _on_grid(totals: DataFrame) -> DataFrame:
     engine fixes, and an average of such sums can sit on a rounding tie. Multiples of a
     power of two add up exactly, so all that is computed from totals is reproducible.
     """
-    return totals.withColumn("total_rainfall_mm", F.rint(F.col("total_rainfall_mm") * 1024) / 1024)
+    return totals.withColumn("total_rainfall_mm", F.rint(F.col("total_rainfall_mm") * GRID) / GRID)
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -42,12 +42,8 @@ def _stats_rounded(df: DataFrame) -> DataFrame:
 # Tables of the chain, each built from the raw test tables.
 
 
-# Derived readings have one row per district and day, so a month holds 31 at most.
-CHUNK = "month"
-
-
 def daily(spark: SparkSession, sf: str, keep_raw: bool = False) -> DataFrame:
-    return clean_daily(raw_readings(spark, sf), chunk=CHUNK, keep_raw=keep_raw)
+    return clean_daily(raw_readings(spark, sf), keep_raw=keep_raw)
 
 
 def monthly(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,6 +140,14 @@ def _file_row_counts(spark, sf):
     return readings.file_row_counts(_read_back(spark, sf))
 
 
+def _file_rows_by_header(spark, sf):
+    """Counts of files with and without ``Note``, from the counts per file."""
+    rows = _read_back(spark, sf)
+    counts = readings.file_row_counts(rows)
+    noted = rows.groupBy("source_file").agg(F.bool_or(F.col("Note").isNotNull()).alias("with_note"))
+    return counts.join(noted, "source_file").groupBy("with_note").agg(F.sum("n_rows").alias("n_rows"))
+
+
 def _union_by_name(spark, sf):
     shipped = (
         table(spark, sf, "lineitem")
@@ -160,35 +164,43 @@ def _union_by_name(spark, sf):
 
 def _processed(spark, sf):
     folder = shared_path(spark, "processed")
-    counts = process_frame(raw_readings(spark, sf), folder)
-    return folder, counts
-
-
-# The stored averages come from totals off the grid, so they are left out here.
-AVERAGED = ("lpa_mm", "departure_pct", "anomaly_category", "is_above_normal")
+    summary = process_frame(raw_readings(spark, sf), folder, reading_grid=GRID)
+    return folder, summary
 
 
 def _read_seasonal(spark, sf):
-    rows = processed.read_seasonal(spark, _processed(spark, sf)[0])
-    return _rounded(rows, 6, "total_rainfall_mm").drop(*AVERAGED)
+    return processed.read_seasonal(spark, _processed(spark, sf)[0])
 
 
 def _read_monthly(spark, sf):
-    rows = processed.read_monthly(spark, _processed(spark, sf)[0])
-    return _rounded(rows, 6, "total_rainfall_mm").drop(*AVERAGED)
+    return processed.read_monthly(spark, _processed(spark, sf)[0])
+
+
+def _process_daily(spark, sf):
+    """The daily table as the job writes it."""
+    return processed.read_table(spark, _processed(spark, sf)[0], "daily")
 
 
 def _load_processed(spark, sf):
-    tables = processed.load_processed(spark, _processed(spark, sf)[0])
-    return tables["probability"].groupBy("season").agg(
-        F.count(F.lit(1)).alias("n_districts"),
-        F.sum("years_above_normal").alias("years_above"),
-        F.sum("total_years").alias("n_years"),
+    return processed.load_processed(spark, _processed(spark, sf)[0])["probability"]
+
+
+def _process_summary(spark, sf):
+    """What the job reports, as one row."""
+    summary = _processed(spark, sf)[1]
+    row = {
+        "n_rows": summary.rows["daily"], "rejected": summary.rejected,
+        "missing_before": summary.missing_before, "missing_after": summary.missing_after, **summary.coverage,
+    }
+    return spark.createDataFrame(
+        [tuple(row.values())],
+        "n_rows BIGINT, rejected BIGINT, missing_before BIGINT, missing_after BIGINT, first_date DATE, "
+        "last_date DATE, n_districts BIGINT, n_states BIGINT, n_years BIGINT",
     )
 
 
 def _output_row_counts(spark, sf):
-    return output_row_counts(spark, {TABLE_NAMES[k]: n for k, n in _processed(spark, sf)[1].items()})
+    return output_row_counts(spark, {TABLE_NAMES[k]: n for k, n in _processed(spark, sf)[1].rows.items()})
 
 
 def _write_outputs(spark, sf):
@@ -206,8 +218,18 @@ def _write_outputs(spark, sf):
 
 def _process_readings(spark, sf):
     folder = shared_path(spark, "processed")
-    process_readings(spark, write_csv_folder(spark, sf), folder)
-    return processed.read_table(spark, folder, "probability")
+    process_readings(spark, write_csv_folder(spark, sf), folder, reading_grid=GRID)
+    return processed.read_table(spark, folder, "seasonal")
+
+
+def _departure_matrix(spark, sf):
+    """The matrix over all years of the data, one row per cell."""
+    months = cut_lineage(monthly_dep(spark, sf))
+    years = reports.departure_years(months)
+    matrix = reports.departure_matrix(months, years)
+    keys = ["district_name", "month", "month_label"]
+    cells = matrix.unpivot(keys, [f"`{y}`" for y in map(str, years)], "year", "departure_pct")
+    return cells.where("departure_pct is not null")
 
 
 # Rows and lookups
@@ -273,12 +295,12 @@ def _advice_lookup(spark, sf):
 
 
 def _interpolate_linear(spark, sf):
-    filled = gapfill.fill_gaps(standardise(raw_readings(spark, sf)), chunk=CHUNK, edges="trailing")
+    filled = gapfill.fill_gaps(standardise(raw_readings(spark, sf)), edges="trailing")
     return _rounded(filled, 9, "rainfall_mm").select("date", "district_name", "rainfall_mm")
 
 
 def _fill_edges(spark, sf):
-    filled = gapfill.fill_gaps(standardise(raw_readings(spark, sf)), chunk=CHUNK)
+    filled = gapfill.fill_gaps(standardise(raw_readings(spark, sf)))
     return _rounded(filled, 9, "rainfall_mm").select("date", "district_name", "rainfall_mm")
 
 
@@ -371,10 +393,7 @@ def _cv_summary(spark, sf):
         .agg(F.count(F.lit(1)).alias("n_rows"), right.alias("n_correct"))
         .withColumn("accuracy", F.col("n_correct") / F.col("n_rows"))
     )
-    return _rounded(
-        forest.cv_summary(folds).select("n_folds", "cv_mean_accuracy", "cv_std_accuracy"),
-        9, "cv_mean_accuracy", "cv_std_accuracy",
-    )
+    return _rounded(forest.cv_summary(folds), 9, "cv_mean_accuracy", "cv_std_accuracy")
 
 
 # Model
@@ -458,7 +477,8 @@ def _overview_with_forecast(spark, sf):
 
 def _district_overview(spark, sf):
     _, seasons = stored(spark, sf)
-    return reports.district_overview(seasons, departure.above_normal_probability(seasons))
+    cards = reports.district_overview(seasons, departure.above_normal_probability(seasons))
+    return cards.drop(*reports.MODEL_COLUMNS)
 
 
 def _farmer_advice(spark, sf):
@@ -487,6 +507,9 @@ def queries():
         "write_outputs": _write_outputs,
         "output_row_counts": _output_row_counts,
         "process_readings": _process_readings,
+        "process_daily": _process_daily,
+        "process_summary": _process_summary,
+        "file_rows_by_header": _file_rows_by_header,
         # Projections, filters, predicates
         "rename_columns": lambda s, d: rename_columns(raw_readings(s, d)),
         "require_columns": lambda s, d: require_columns(rename_columns(raw_readings(s, d)), "rainfall_mm"),
@@ -520,7 +543,7 @@ def queries():
         "coverage_summary": lambda s, d: quality.coverage_summary(standardise(raw_readings(s, d))),
         "missing_summary": lambda s, d: quality.missing_summary(daily(s, d, keep_raw=True)),
         "class_balance": lambda s, d: quality.class_balance(kharif(s, d)),
-        "departure_matrix": lambda s, d: reports.departure_matrix(monthly_dep(s, d), MATRIX_YEARS),
+        "departure_matrix": _departure_matrix,
         "june_lpa": lambda s, d: _rounded(features.june_lpa(monthly_dep(s, d)), 6, "june_lpa_mm"),
         "cv_summary": _cv_summary,
         # Windows and time series
@@ -587,6 +610,15 @@ def queries():
         "write_report": _write_report,
         "save_load_model": _save_load_model,
         "run_trainer": _run_trainer,
+        "run_trainer_counts": lambda s, d: _run_trainer(s, d).select(
+            "rows_given", "rows_without_june", "rows_incomplete", "rows_trained"),
+        "leave_one_out_folds": lambda s, d: _leave_one_out(s, d).select("fold", "n_rows"),
+        "leave_one_out_hashed": lambda s, d: forest.leave_one_out(_stored_matrix(s, d), "hash", 3, trees=10).agg(
+            F.sum("n_rows").alias("n_rows")),
+        "train_forest_rows": lambda s, d: _train_forest(s, d).drop("prediction"),
+        "feature_importance_names": lambda s, d: _feature_importance(s, d).select("feature"),
+        "score_requests_known": lambda s, d: _score_requests(s, d).select(
+            "district", "state", "june_rainfall_mm", "june_departure_pct", "state_known", "error"),
         # Reports
         "district_overview": _district_overview,
         "district_overview_forecast": _overview_with_forecast,

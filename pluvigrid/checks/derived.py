@@ -55,7 +55,8 @@ def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecast requests, one per customer: its nation, region and account balance.
+    """Forecast requests, one per customer: its nation, region and a tenth of its account
+    balance, so that some June totals are impossible.
 
     Customers of two market segments name a district or state that does not exist.
     """
@@ -68,7 +69,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_custkey").alias("request_id"),
             F.when(segment == "MACHINERY", segment).otherwise(district).alias("district_name"),
             F.when(segment == "BUILDING", segment).otherwise(state).alias("state_name"),
-            F.col("c_acctbal").alias("june_rainfall_mm"),
+            (F.col("c_acctbal") / 10).alias("june_rainfall_mm"),
         )
     )
 

@@ -2,10 +2,22 @@
 
 Written straight from the rules and not from the Spark code: seasons come from the
 daily rows, averages from joins, gap filling from frames over whole series. Totals
-lie on a grid of 1/1024 mm, see ``catalog``.
+lie on a grid of 1/1024 mm, see ``catalog``; for the job as a whole, readings do.
+Limits are written out here; texts are shared.
 """
 
-from pluvigrid.functions.fixed_values import FORECAST_BANDS, OUTLOOK_BANDS, VERDICTS
+import re
+
+from pluvigrid.functions import fixed_values
+
+
+def _limited(limits, bands):
+    return tuple((limit, *band[1:]) for limit, band in zip((*limits, None), bands, strict=True))
+
+
+FORECAST_BANDS = _limited((0.70, 0.50, 0.35), fixed_values.FORECAST_BANDS)
+OUTLOOK_BANDS = _limited((65, 50, 35), fixed_values.OUTLOOK_BANDS)
+VERDICTS = _limited((0.75, 0.60), fixed_values.VERDICTS)
 
 
 def _text(value: str) -> str:
@@ -150,7 +162,7 @@ _WITHS = {
         SELECT c_custkey AS request_id,
                CASE WHEN c_mktsegment = 'MACHINERY' THEN c_mktsegment ELSE {_title('n_name')} END AS district_name,
                CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment ELSE {_title('r_name')} END AS state_name,
-               c_acctbal AS june_rainfall_mm
+               c_acctbal / 10 AS june_rainfall_mm
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""),
     "found": (("requests", "district_codes", "state_codes", "stats", "june_lpa"), """
         SELECT r.*, district_encoded, district_encoded IS NOT NULL AS district_known, state_encoded,
@@ -183,9 +195,27 @@ _WITHS = {
         FROM orders GROUP BY 1"""),
     "cv": (("order_years",), f"""
         SELECT COUNT(*) AS n_folds, {_even('AVG(accuracy)', 9)} AS cv_mean_accuracy,
-               {_even('stddev_pop(accuracy)', 9)} AS cv_std_accuracy FROM order_years"""),
+               {_even('stddev_pop(accuracy)', 9)} AS cv_std_accuracy,
+               {_band('AVG(accuracy)', VERDICTS, 1)} AS verdict, AVG(accuracy) * 100 < 65 AS low_accuracy
+        FROM order_years"""),
+    "job_daily": (("daily",), f"SELECT * REPLACE ({_grid('rainfall_mm')} AS rainfall_mm) FROM daily"),
+    "job_monthly": (("job_monthly_sums",), "SELECT * FROM job_monthly_sums"),
+    "job_seasonal": (("job_seasonal_sums",), "SELECT * FROM job_seasonal_sums"),
 }
 
+# The same steps over the readings of the whole job: totals are exact without a grid of their own.
+_JOB = (
+    "daily", "monthly_sums", "monthly", "seasonal_sums", "seasonal", "monthly_lpa", "seasonal_lpa", "monthly_dep",
+    "seasonal_dep", "probability", "kharif", "stats", "june", "june_lpa", "joined", "district_codes", "state_codes", "found", "defaulted",
+)
+_JOB_TABLE = re.compile(r"\b(FROM|JOIN) (" + "|".join(_JOB) + r")\b")
+for _name in _JOB:
+    if f"job_{_name}" not in _WITHS:
+        _needs, _body = _WITHS[_name]
+        _WITHS[f"job_{_name}"] = (
+            tuple(f"job_{n}" if n in _JOB else n for n in _needs), _JOB_TABLE.sub(r"\1 job_\2", _body)
+        )
+
 
 def _needed(names, seen):
     for name in names:
@@ -200,7 +230,6 @@ def _sql(body: str, *tables: str) -> str:
     return f"WITH {ctes}\n{body}" if ctes else body
 
 
-_YEARS = range(1995, 2002)
 _PREVIEW = "district_name, year, month, total_rainfall_mm, lpa_mm, departure_pct, anomaly_category"
 _DAILY = "date, state_name, district_name, rainfall_mm, year, month, week_number, season"
 _CUSTOMER_SHARE = "c_acctbal / 10000"
@@ -224,7 +253,6 @@ def _outlook(value: str) -> tuple[str, str]:
 def oracle_sql() -> dict[str, str]:
     colour, title = _outlook("primary_prob")
     share_colour, share_title = _outlook(f"{_CUSTOMER_SHARE} * 100")
-    pivot = ", ".join(f'AVG(CASE WHEN year = {y} THEN departure_pct END) AS "{y}"' for y in _YEARS)
     seasonal_dep = _sql("SELECT * EXCLUDE (is_above_normal) FROM seasonal_dep", "seasonal_dep")
     monthly_dep = _sql("SELECT * FROM monthly_dep", "monthly_dep")
     counted = (
@@ -244,17 +272,20 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT CAST(o_orderdate AS DATE), """ + _even("SUM(o_totalprice)", 2) + """, NULL, o_orderpriority
             FROM orders GROUP BY 1, 4""",
-        "read_seasonal": _sql(
-            f"SELECT * REPLACE ({_even('total_rainfall_mm', 6)} AS total_rainfall_mm) FROM seasonal_sums", "seasonal_sums"),
-        "read_monthly": _sql(
-            f"SELECT * REPLACE ({_even('total_rainfall_mm', 6)} AS total_rainfall_mm) FROM monthly_sums", "monthly_sums"),
-        "load_processed": _sql(
-            "SELECT season, n_districts, years_above, n_years FROM (SELECT season, COUNT(*) AS n_districts, "
-            "CAST(SUM(years_above_normal) AS BIGINT) AS years_above, CAST(SUM(total_years) AS BIGINT) AS n_years "
-            "FROM probability GROUP BY 1) t", "probability"),
+        "read_seasonal": _sql("SELECT * FROM job_seasonal_dep", "job_seasonal_dep"),
+        "read_monthly": _sql("SELECT * FROM job_monthly_dep", "job_monthly_dep"),
+        "load_processed": _sql("SELECT * FROM job_probability", "job_probability"),
+        "process_daily": _sql(f"SELECT {_DAILY} FROM job_daily", "job_daily"),
+        "process_summary": _sql(
+            """SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS rejected, COUNT(*) - COUNT(reading_mm) AS missing_before,
+               COUNT(*) - COUNT(rainfall_mm) AS missing_after, MIN(date) AS first_date, MAX(date) AS last_date,
+               COUNT(DISTINCT district_name) AS n_districts, COUNT(DISTINCT state_name) AS n_states,
+               COUNT(DISTINCT year) AS n_years FROM daily""", "daily"),
+        "file_rows_by_header": _sql(
+            """SELECT "Date" >= DATE '1998-07-01' AS with_note, COUNT(*) AS n_rows FROM raw GROUP BY 1""", "raw"),
         "write_outputs": _sql(counted, "daily", "monthly", "seasonal", "probability"),
         "output_row_counts": _sql(counted, "daily", "monthly", "seasonal", "probability"),
-        "process_readings": _sql("SELECT * FROM probability", "probability"),
+        "process_readings": _sql("SELECT * FROM job_seasonal_dep", "job_seasonal_dep"),
         # Projections, filters, predicates
         "rename_columns": _sql(
             'SELECT "Date" AS date, "State" AS state_name, "District" AS district_name, '
@@ -340,8 +371,9 @@ def oracle_sql() -> dict[str, str]:
                 {_even('COUNT(CASE WHEN target_above_normal = 1 THEN 1 END) / COUNT(*) * 100', 1)} AS above_pct
                 FROM kharif""", "kharif"),
         "departure_matrix": _sql(
-            f"""SELECT district_name, month, {pivot}, strftime(make_date(2000, month, 1), '%b') AS month_label
-                FROM monthly_dep GROUP BY 1, 2""", "monthly_dep"),
+            """SELECT district_name, month, strftime(make_date(2000, month, 1), '%b') AS month_label,
+               CAST(year AS VARCHAR) AS year, AVG(departure_pct) AS departure_pct
+               FROM monthly_dep GROUP BY ALL""", "monthly_dep"),
         "june_lpa": _sql(
             f"SELECT district_name, {_even('june_lpa_mm', 6)} AS june_lpa_mm FROM june_lpa", "june_lpa"),
         "cv_summary": _sql("SELECT * FROM cv", "cv"),
@@ -444,6 +476,35 @@ def oracle_sql() -> dict[str, str]:
                  AS class_weight
                FROM features JOIN (SELECT target_above_normal, COUNT(*) AS n FROM features GROUP BY 1) c
                     USING (target_above_normal)""", "features"),
+        # Model: what does not depend on the forest
+        "run_trainer_counts": _sql(
+            """SELECT (SELECT COUNT(*) FROM job_joined) AS rows_given,
+               (SELECT COUNT(*) FROM job_joined WHERE june_rainfall_mm IS NULL OR june_departure_pct IS NULL)
+                 AS rows_without_june,
+               (SELECT COUNT(*) FROM job_joined JOIN job_stats USING (district_name) WHERE june_rainfall_mm IS NOT NULL
+                 AND june_departure_pct IS NOT NULL AND district_std_mm IS NULL) AS rows_incomplete,
+               (SELECT COUNT(*) FROM job_joined JOIN job_stats USING (district_name) WHERE june_rainfall_mm IS NOT NULL
+                 AND june_departure_pct IS NOT NULL AND district_std_mm IS NOT NULL) AS rows_trained""",
+            "job_joined", "job_stats"),
+        "leave_one_out_folds": _sql(
+            """SELECT CAST(year AS VARCHAR) AS fold, COUNT(*) AS n_rows FROM features
+               WHERE district_std_mm IS NOT NULL GROUP BY 1""", "features"),
+        "leave_one_out_hashed": _sql("SELECT COUNT(*) AS n_rows FROM features WHERE district_std_mm IS NOT NULL", "features"),
+        "train_forest_rows": _sql("SELECT district_name, state_name, year, target_above_normal FROM features", "features"),
+        "feature_importance_names": "SELECT unnest(["
+            "'june_rainfall_mm', 'june_departure_pct', 'june_vs_district_mean', 'june_was_above_normal', "
+            "'district_mean_mm', 'district_std_mm', 'district_cv', 'district_encoded', 'state_encoded']) AS feature",
+        "score_requests_known": _sql(
+            f"""SELECT district_name AS district, state_name AS state, june_rainfall_mm, state_known,
+                CASE WHEN error IS NULL THEN departure END AS june_departure_pct, error
+                FROM (SELECT *, {_even(_departure('june_rainfall_mm', 'june_lpa_mm'), 2)} AS departure,
+                      CASE WHEN NOT district_known THEN 'District ''' || district_name ||
+                             ''' was not in training data. Available: [' ||
+                             (SELECT string_agg( || district_name || , ', ' ORDER BY district_encoded)
+                              FROM job_district_codes WHERE district_encoded < 5) || ']...'
+                           WHEN june_rainfall_mm BETWEEN 0 AND 1000 THEN NULL
+                           ELSE 'June rainfall must be between 0 and 1000 mm' END AS error
+                      FROM job_defaulted) t""", "job_defaulted", "job_district_codes"),
         # Reports
         "district_overview": _sql(
             f"""SELECT district_name, last_year, last_total_mm, last_departure_pct, last_lpa_mm, years_above_normal,

@@ -8,7 +8,7 @@ from pluvigrid.functions.fixed_values import KHARIF_MONTHS, RABI_MONTHS
 
 def parse_date(text: Column) -> Column:
     """Year-month-day text to DATE, NULL when it is anything else."""
-    return F.try_to_date(text, "yyyy-M-d")
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d"))
 
 
 def parse_date_strict(text: Column) -> Column:

@@ -125,3 +125,6 @@ OUTLOOK_BANDS = (
         "Visit the nearest Krishi Vigyan Kendra before finalising sowing plans.",
     )),
 )
+
+# The column that holds a field beyond a CSV file's header.
+SURPLUS = "surplus_field"

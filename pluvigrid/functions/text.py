@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pluvigrid.functions.fixed_values import NULL_TOKENS
 
 _SPACE = r"[\s\x1c-\x1f]+"
+_DECIMAL = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 _CASED = r"\p{IsLowercase}\p{IsUppercase}\p{Lt}"
 
 
@@ -36,8 +37,12 @@ def null_tokens(text: Column) -> Column:
 
 
 def parse_amount(text: Column) -> Column:
-    """Text to DOUBLE; NULL for missing tokens and for text that is no number."""
-    return null_tokens(text).try_cast("double")
+    """Text to DOUBLE; NULL for missing tokens and for text that is no plain decimal number.
+
+    A cast alone would also take Java's spellings: ``3d``, ``2f`` and hexadecimal.
+    """
+    token = null_tokens(text)
+    return F.when(token.rlike(_DECIMAL), token.try_cast("double"))
 
 
 def parse_amount_strict(text: Column) -> Column:

@@ -1,15 +1,14 @@
 """Raw readings to a clean daily table."""
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pluvigrid.functions import calendar, numbers, text
-from pluvigrid.functions.fixed_values import RAW_COLUMNS
+from pluvigrid.functions.fixed_values import RAW_COLUMNS, SURPLUS
 from pluvigrid.operators.gapfill import fill_gaps
 
+
 def rename_columns(df: DataFrame) -> DataFrame:
     """Source names to internal names; other columns stay as they are."""
     return df.withColumnsRenamed(RAW_COLUMNS)
@@ -75,8 +74,8 @@ def add_calendar_parts(df: DataFrame) -> DataFrame:
     )
 
 
-def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that :func:`parse_readings` accepts, and the others with a ``reject_reason``."""
+def mark_rejects(raw: DataFrame) -> DataFrame:
+    """Rows with a ``reject_reason``, NULL for those that :func:`parse_readings` accepts."""
     df = require_columns(rename_columns(raw), "date", "rainfall_mm")
     bad_date = (
         calendar.parse_date(text.null_tokens(F.col("date"))).isNull()
@@ -88,37 +87,42 @@ def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         token = text.null_tokens(F.col("rainfall_mm"))
         bad_amount = token.isNotNull() & text.parse_amount(F.col("rainfall_mm")).isNull()
     reason = F.when(bad_date, F.lit("date")).when(bad_amount, F.lit("rainfall_mm"))
-    checked = df.withColumn("reject_reason", reason)
+    if SURPLUS in df.columns:
+        reason = F.when(F.col(SURPLUS).isNotNull(), F.lit("fields")).otherwise(reason)
+    return df.withColumn("reject_reason", reason).drop(SURPLUS)
+
+
+def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that :func:`parse_readings` accepts, and the others with a ``reject_reason``."""
+    checked = mark_rejects(raw)
     good = checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
     return good, checked.where(F.col("reject_reason").isNotNull())
 
 
 def fill_daily(
     parsed: DataFrame,
-    series_key: Sequence[str] = ("district_name",),
-    chunk: str = "auto",
+    chunk: str = "month",
     keep_raw: bool = False,
+    runs: int | None = None,
+    scratch: str | None = None,
 ) -> DataFrame:
     """Gaps filled, no negatives, one row per input row.
 
     Calendar parts follow from the date, so they are added after the shuffle.
 
-    ``chunk`` is as in :func:`fill_gaps`. ``keep_raw`` adds the unfilled reading as
+    ``chunk``, ``runs`` and ``scratch`` are as in :func:`fill_gaps`. ``keep_raw`` adds the unfilled reading as
     ``reading_mm``.
     """
     df = parsed
     if keep_raw:
         df = df.withColumn("reading_mm", F.col("rainfall_mm"))
-    filled = fill_gaps(df, series_key=series_key, chunk=chunk)
+    filled = fill_gaps(df, chunk=chunk, runs=runs, scratch=scratch)
     clean = filled.withColumn("rainfall_mm", numbers.clip_negative(F.col("rainfall_mm")))
     return add_calendar_parts(clean.drop("file_position"))
 
 
 def clean_daily(
-    raw: DataFrame,
-    series_key: Sequence[str] = ("district_name",),
-    chunk: str = "auto",
-    keep_raw: bool = False,
+    raw: DataFrame, chunk: str = "month", keep_raw: bool = False, runs: int | None = None
 ) -> DataFrame:
     """The daily table: standard names, calendar parts, gaps filled, no negatives."""
-    return fill_daily(parse_readings(raw), series_key, chunk, keep_raw)
+    return fill_daily(parse_readings(raw), chunk, keep_raw, runs)

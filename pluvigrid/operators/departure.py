@@ -1,7 +1,5 @@
 """Long period averages, departures from them, and above-normal odds."""
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,16 +8,16 @@ from pluvigrid.functions.numbers import departure_pct, round_even
 from pluvigrid.operators.filters import not_null_values
 
 
-def _lpa(totals: DataFrame, series_key: Sequence[str], period: str) -> DataFrame:
-    return totals.groupBy(*series_key, period).agg(F.avg("total_rainfall_mm").alias("lpa_mm"))
+def _lpa(totals: DataFrame, period: str) -> DataFrame:
+    return totals.groupBy("district_name", period).agg(F.avg("total_rainfall_mm").alias("lpa_mm"))
 
 
-def monthly_lpa(monthly: DataFrame, series_key: Sequence[str] = ("district_name",)) -> DataFrame:
-    return _lpa(monthly, series_key, "month")
+def monthly_lpa(monthly: DataFrame) -> DataFrame:
+    return _lpa(monthly, "month")
 
 
-def seasonal_lpa(seasonal: DataFrame, series_key: Sequence[str] = ("district_name",)) -> DataFrame:
-    return _lpa(seasonal, series_key, "season")
+def seasonal_lpa(seasonal: DataFrame) -> DataFrame:
+    return _lpa(seasonal, "season")
 
 
 def attach_lpa(totals: DataFrame, lpa: DataFrame) -> DataFrame:
@@ -38,19 +36,19 @@ def measure_departure(totals_with_lpa: DataFrame) -> DataFrame:
     )
 
 
-def _departure(totals: DataFrame, series_key: Sequence[str], period: str) -> DataFrame:
+def _departure(totals: DataFrame, period: str) -> DataFrame:
     # A group holds one total per year (and state of the same district name): it does
     # not grow with the number of readings, so a window is cheaper than a self-join.
-    same_period = Window.partitionBy(*series_key, period)
+    same_period = Window.partitionBy("district_name", period)
     return measure_departure(totals.withColumn("lpa_mm", F.avg("total_rainfall_mm").over(same_period)))
 
 
-def monthly_departure(monthly: DataFrame, series_key: Sequence[str] = ("district_name",)) -> DataFrame:
-    return _departure(monthly, series_key, "month")
+def monthly_departure(monthly: DataFrame) -> DataFrame:
+    return _departure(monthly, "month")
 
 
-def seasonal_departure(seasonal: DataFrame, series_key: Sequence[str] = ("district_name",)) -> DataFrame:
-    return _departure(seasonal, series_key, "season")
+def seasonal_departure(seasonal: DataFrame) -> DataFrame:
+    return _departure(seasonal, "season")
 
 
 def flag_above_normal(seasonal: DataFrame) -> DataFrame:

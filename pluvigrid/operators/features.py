@@ -89,22 +89,22 @@ def drop_missing_june(features: DataFrame) -> DataFrame:
     return not_null_values(features, "june_rainfall_mm", "june_departure_pct")
 
 
-def feature_matrix(
+def season_rows(
     seasonal: DataFrame,
     monthly: DataFrame,
     codes: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """One row per district and year: what is known after June, and the season's class.
 
-    Codes number all Kharif districts and states, also those whose rows are dropped
-    here for want of June readings. Pass ``codes`` to reuse stored ones.
+    Codes number all Kharif districts and states, also those whose rows have no June
+    readings. Pass ``codes`` to reuse stored ones.
     """
     districts, states = codes or (district_codes(seasonal), state_codes(seasonal))
     kharif = kharif_target(seasonal)
     joined = june_features_join(kharif, june_rows(monthly))
     profile = district_stats(kharif).join(districts, "district_name", "left")
     known = june_signals(district_stats_join(joined, profile)).join(states, "state_name", "left")
-    ordered = known.select(
+    return known.select(
         *KEYS,
         "target_above_normal",
         "june_rainfall_mm",
@@ -117,7 +117,15 @@ def feature_matrix(
         "district_encoded",
         "state_encoded",
     )
-    return drop_missing_june(ordered)
+
+
+def feature_matrix(
+    seasonal: DataFrame,
+    monthly: DataFrame,
+    codes: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """The :func:`season_rows` that have June readings."""
+    return drop_missing_june(season_rows(seasonal, monthly, codes))
 
 
 def balanced_weights(features: DataFrame, target: str = "target_above_normal") -> DataFrame:

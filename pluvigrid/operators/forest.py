@@ -26,10 +26,17 @@ from pluvigrid.functions.fixed_values import (
     TARGET_SEASON,
 )
 from pluvigrid.functions.numbers import round_even
-from pluvigrid.operators.features import KEYS, balanced_weights, score_lookup, serving_features
+from pluvigrid.operators.features import (
+    KEYS,
+    balanced_weights,
+    score_lookup,
+    serving_features,
+    validate_june_input,
+)
 from pluvigrid.operators.filters import not_null_values
 
 _PARALLEL_FITS = 4
+FOLDS = 10
 ROWS_PER_PARTITION = 20_000
 # Both classes are declared, so training data with only one of them still fits.
 _TWO_CLASSES = {"ml_attr": {"type": "nominal", "name": "label", "vals": ["0", "1"]}}
@@ -70,20 +77,21 @@ def train_forest(features: DataFrame, trees: int = FOREST_TREES, seed: int = FOR
 
 
 def leave_one_out(
-    features: DataFrame, fold_column: str = "year", max_folds: int = 200, trees: int = FOREST_TREES
+    features: DataFrame, fold_column: str = "year", folds: int = FOLDS, trees: int = FOREST_TREES
 ) -> DataFrame:
-    """Accuracy on each held-out value of ``fold_column``, a few distributed fits at a time.
+    """Accuracy on each held-out fold, a few distributed fits at a time.
 
-    ``fold_column="row"`` holds out one row (district and year) at a time. More folds
-    than ``max_folds`` is an error: none are left out silently.
+    ``fold_column="year"`` holds out one year at a time. ``"hash"`` deals single rows into
+    ``folds`` folds by a hash of district, state and year. Either way every row is held
+    out exactly once.
     """
     spark = features.sparkSession
     rows = trainable_rows(features)
-    if fold_column == "row":
-        rows = rows.withColumn("row", F.concat_ws("|", *KEYS))
-    folds = [r[0] for r in rows.select(fold_column).distinct().orderBy(fold_column).limit(max_folds + 1).collect()]
-    if len(folds) > max_folds:
-        raise ValueError(f"{fold_column} has more than {max_folds} folds")
+    if fold_column == "hash":
+        rows = rows.withColumn("hash", F.pmod(F.xxhash64(*KEYS), F.lit(folds)))
+    elif fold_column != "year":
+        raise ValueError(f"folds are by 'year' or 'hash', not {fold_column!r}")
+    held = [r[0] for r in rows.select(fold_column).distinct().orderBy(fold_column).collect()]
 
     def evaluate(fold):
         held_out = F.col(fold_column) == F.lit(fold)
@@ -94,10 +102,27 @@ def leave_one_out(
         return str(fold), n, right, right / n
 
     with ThreadPoolExecutor(_PARALLEL_FITS) as pool:
-        scores = list(pool.map(evaluate, folds))
+        scores = list(pool.map(evaluate, held))
     return spark.createDataFrame(scores, "fold STRING, n_rows BIGINT, n_correct BIGINT, accuracy DOUBLE")
 
 
+def training_counts(season_rows: DataFrame) -> dict[str, int]:
+    """Rows given, dropped for want of June, skipped for another missing input, and trained on."""
+    has_june = F.col("june_rainfall_mm").isNotNull() & F.col("june_departure_pct").isNotNull()
+    complete = has_june
+    for column in FEATURE_COLUMNS:
+        complete = complete & F.col(column).isNotNull()
+    given, with_june, trained = season_rows.agg(
+        F.count(F.lit(1)), F.count(F.when(has_june, 1)), F.count(F.when(complete, 1))
+    ).first()
+    return {
+        "rows_given": given,
+        "rows_without_june": given - with_june,
+        "rows_incomplete": with_june - trained,
+        "rows_trained": trained,
+    }
+
+
 def cv_summary(folds: DataFrame) -> DataFrame:
     """Mean and population deviation of the fold accuracies, with the verdict."""
     return folds.agg(
@@ -142,16 +167,16 @@ def score_requests(
     lpa: DataFrame,
     cv_mean_accuracy: float,
 ) -> DataFrame:
-    """Forecast for every request; an unknown district gets an ``error`` and no forecast."""
+    """Forecast for every request; an unknown district or an impossible June total gets an ``error`` instead."""
     some = [r[0] for r in districts.where(F.col("district_encoded") < 5).orderBy("district_encoded").collect()]
-    found = score_lookup(requests, districts, states, stats, lpa)
+    found = validate_june_input(score_lookup(requests, districts, states, stats, lpa))
     scored = model.transform(serving_features(found))
     chance = vector_to_array("probability")[1]
     unknown = F.concat(
         F.lit("District '"), F.col("district_name"), F.lit(f"' was not in training data. Available: {some}...")
     )
-    known = F.col("district_known")
-    only_known = lambda value: F.when(known, value)
+    error = F.when(~F.col("district_known"), unknown).otherwise(F.col("input_error"))
+    only_known = lambda value: F.when(error.isNull(), value)
     return scored.withColumn("chance", chance).select(
         F.col("district_name").alias("district"),
         F.col("state_name").alias("state"),
@@ -163,5 +188,5 @@ def score_requests(
         only_known(forecast_advice(F.col("chance"))).alias("advice"),
         only_known(round_even(F.lit(cv_mean_accuracy * 100), 1)).alias("model_accuracy"),
         "state_known",
-        F.when(~known, unknown).alias("error"),
+        error.alias("error"),
     )

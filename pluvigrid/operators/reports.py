@@ -10,6 +10,7 @@ from pluvigrid.functions.classes import (
     departure_colour,
     departure_text,
     forecast_category,
+    low_accuracy,
     outlook_colour,
     outlook_points,
     outlook_title,
@@ -134,8 +135,19 @@ def probability_lookup(districts: DataFrame, probability: DataFrame) -> DataFram
     )
 
 
+MODEL_COLUMNS = {
+    "state_name": "string",
+    "june_rainfall_mm": "double",
+    "model_prob": "double",
+    "model_colour": "string",
+    "model_text": "string",
+    "model_accuracy": "double",
+    "low_accuracy": "boolean",
+}
+
+
 def district_overview(seasonal: DataFrame, probability: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-    """Odds, latest season and, if given, the model's forecast for every district."""
+    """Odds, latest season and the model's forecasts for every district; without ``scores`` these are NULL."""
     listed = seasonal.where(F.col("district_name").isNotNull())
     latest = _unpack_latest(listed.groupBy("district_name").agg(_latest_kharif().alias("latest")))
     odds, departure = F.col("primary_prob"), F.col("last_departure_pct")
@@ -150,7 +162,7 @@ def district_overview(seasonal: DataFrame, probability: DataFrame, scores: DataF
         }
     )
     if scores is None:
-        return cards
+        return cards.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in MODEL_COLUMNS.items()))
     forecast = scores.where(F.col("error").isNull()).select(
         F.col("district").alias("district_name"),
         F.col("state").alias("state_name"),
@@ -159,8 +171,13 @@ def district_overview(seasonal: DataFrame, probability: DataFrame, scores: DataF
         outlook_colour(F.col("probability")).alias("model_colour"),
         format_fixed(F.col("probability"), 0, suffix="%").alias("model_text"),
         "model_accuracy",
+        low_accuracy(F.col("model_accuracy") / 100).alias("low_accuracy"),
     )
-    return cards.join(forecast, "district_name", "left")
+    # Requests are the large side: their lookup spreads a popular district.
+    listed_cards = cards.withColumn("listed", F.lit(True))
+    asked = lookup(forecast, listed_cards, "district_name").where("listed").select(*cards.columns, *MODEL_COLUMNS)
+    silent = cards.join(forecast.select("district_name").distinct(), "district_name", "left_anti")
+    return asked.unionByName(silent, allowMissingColumns=True)
 
 
 def forecast_bands(spark: SparkSession) -> DataFrame:

@@ -1,74 +1,110 @@
 """Raw CSV folder to the four processed tables."""
 
-from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvigrid.operators.cleaning import fill_daily, parse_readings, split_rejects
+from pluvigrid.operators.cleaning import fill_daily, mark_rejects, parse_readings
 from pluvigrid.operators.departure import (
     above_normal_probability,
     flag_above_normal,
     monthly_departure,
     seasonal_departure,
 )
+from pluvigrid.operators.ordering import runs_for
+from pluvigrid.operators.quality import coverage_summary, missing_summary
 from pluvigrid.operators.rollup import monthly_totals, seasonal_from_monthly
-from pluvigrid.session import shared_path
-from pluvigrid.sources.files import remove
-from pluvigrid.sources.processed import read_table, write_table
+from pluvigrid.session import shared_path, stored
+from pluvigrid.sources.files import remove, size_of
+from pluvigrid.sources.processed import count_table, read_table, write_table
 from pluvigrid.sources.readings import read_daily_csv
 
 
+@dataclass(frozen=True)
+class Summary:
+    """What a run wrote, set aside and found."""
+
+    rows: dict[str, int]  # per table
+    rejected: int
+    missing_before: int
+    missing_after: int
+    coverage: dict  # first and last date, numbers of districts, states and years
+
+
 def process_readings(
     spark: SparkSession,
     raw_folder: str,
     out_folder: str,
     fmt: str = "parquet",
-    series_key: Sequence[str] = ("district_name",),
-    chunk: str = "auto",
+    chunk: str = "month",
     quarantine_folder: str | None = None,
-) -> dict[str, int]:
-    """Clean, fill, roll up, compare with the LPA, and write; returns rows per table.
+    multi_line: bool = False,
+    reading_grid: int | None = None,
+) -> Summary:
+    """Clean, fill, roll up, compare with the LPA, and write.
 
-    With ``quarantine_folder``, rows with a malformed date or amount go there;
-    without it they stop the job.
+    With ``quarantine_folder``, rows with a malformed date or amount or with surplus
+    fields go there; without it they stop the job. The files are read once either way.
+    ``multi_line`` is as in :func:`read_daily_csv`, the rest as in :func:`process_frame`.
     """
-    raw = read_daily_csv(spark, raw_folder)
-    if quarantine_folder is not None:
-        raw, rejected = split_rejects(raw)
-        rejected.drop("file_position").write.mode("overwrite").parquet(quarantine_folder)
-    return process_frame(raw, out_folder, fmt, series_key, chunk)
+    raw = read_daily_csv(spark, raw_folder, multi_line, keep_surplus=quarantine_folder is not None)
+    if quarantine_folder is None:
+        return process_frame(raw, out_folder, fmt, chunk, reading_grid)
+    marked = shared_path(spark, "marked-readings")
+    try:
+        rows = stored(mark_rejects(raw), "marked-readings", marked)
+        reason = F.col("reject_reason")
+        bad = rows.where(reason.isNotNull()).drop("file_position")
+        bad.write.mode("overwrite").parquet(quarantine_folder)
+        rejected = bad.count()
+        good = rows.where(reason.isNull()).drop("reject_reason")
+        return process_frame(good, out_folder, fmt, chunk, reading_grid, rejected)
+    finally:
+        remove(spark, marked)
 
 
 def process_frame(
     raw: DataFrame,
     out_folder: str,
     fmt: str = "parquet",
-    series_key: Sequence[str] = ("district_name",),
-    chunk: str = "auto",
-) -> dict[str, int]:
+    chunk: str = "month",
+    reading_grid: int | None = None,
+    rejected: int = 0,
+) -> Summary:
     """The same from a frame of raw readings.
 
-    Gap filling reads its input more than once, so the parsed rows are first written
-    as columns to the shared folder. After that every stage reads the table the
-    stage before it wrote; a lost executor never sends the job back to the raw files.
+    Parsed rows are written as columns to the shared folder first. After that every
+    stage reads the table the stage before it wrote; a lost executor never sends the job
+    back to the raw files. With ``chunk="range"`` the number of runs follows from the size
+    of the parsed rows. ``reading_grid`` rounds filled readings to that part of a millimetre;
+    with a power of two, totals are exact and so the same in whatever order they add up.
     """
     spark = raw.sparkSession
-    parsed = shared_path(spark, "parsed-readings")
+    parsed, scratch = shared_path(spark, "parsed-readings"), shared_path(spark, "neighbours")
     try:
-        parse_readings(raw).write.parquet(parsed)
-        daily = fill_daily(spark.read.parquet(parsed), series_key, chunk)
-        counts = {"daily": write_table(daily, out_folder, "daily", fmt)}
+        readings = stored(parse_readings(raw), "parsed-readings", parsed)
+        runs = runs_for(size_of(spark, parsed)) if chunk == "range" else None
+        daily = fill_daily(readings, chunk, keep_raw=True, runs=runs, scratch=scratch)
+        if reading_grid is not None:
+            daily = daily.withColumn("rainfall_mm", F.rint(F.col("rainfall_mm") * reading_grid) / reading_grid)
+        write_table(daily.drop("reading_mm"), out_folder, "daily", fmt)
+        # Counted from the columns in the shared folder, not from the files just written.
+        counted = missing_summary(daily).first()
     finally:
         remove(spark, parsed)
-    monthly = monthly_totals(read_table(spark, out_folder, "daily", fmt))
-    counts["monthly"] = write_table(monthly_departure(monthly, series_key), out_folder, "monthly", fmt)
+        remove(spark, scratch)
+    stored_daily = read_table(spark, out_folder, "daily", fmt)
+    coverage = coverage_summary(stored_daily).first().asDict()
+    write_table(monthly_departure(monthly_totals(stored_daily)), out_folder, "monthly", fmt)
     seasonal = seasonal_from_monthly(read_table(spark, out_folder, "monthly", fmt))
-    flagged = flag_above_normal(seasonal_departure(seasonal, series_key))
-    counts["seasonal"] = write_table(flagged, out_folder, "seasonal", fmt)
+    write_table(flag_above_normal(seasonal_departure(seasonal)), out_folder, "seasonal", fmt)
     odds = above_normal_probability(read_table(spark, out_folder, "seasonal", fmt))
-    counts["probability"] = write_table(odds, out_folder, "probability", fmt)
-    return counts
+    write_table(odds, out_folder, "probability", fmt)
+    rows = {"daily": counted["n_rows"]}
+    # These have a thirtieth of the daily rows and less.
+    rows |= {name: count_table(spark, out_folder, name, fmt) for name in ("monthly", "seasonal", "probability")}
+    return Summary(rows, rejected, counted["missing_before"], counted["missing_after"], coverage)
 
 
 def output_row_counts(spark: SparkSession, counts: dict[str, int]) -> DataFrame:

@@ -1,13 +1,15 @@
 """Processed tables to a trained, evaluated and saved model, and batch scoring with it."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pluvigrid.operators import forest
 from pluvigrid.operators.features import (
     district_codes,
     district_stats,
-    feature_matrix,
+    drop_missing_june,
     june_lpa,
+    season_rows,
     state_codes,
 )
 from pluvigrid.operators.filters import filter_season
@@ -18,15 +20,23 @@ from pluvigrid.sources.processed import read_monthly, read_seasonal
 
 
 def run_trainer(
-    spark: SparkSession, processed_folder: str, model_folder: str, fmt: str = "parquet", fold_column: str = "year"
+    spark: SparkSession,
+    processed_folder: str,
+    model_folder: str,
+    fmt: str = "parquet",
+    fold_column: str = "year",
+    folds: int = forest.FOLDS,
 ) -> DataFrame:
-    """Train, evaluate and save; returns the one-row evaluation summary."""
+    """Train, evaluate and save; returns one row: the evaluation, and how many rows were used and left out."""
     seasonal = read_seasonal(spark, processed_folder, fmt)
     monthly = read_monthly(spark, processed_folder, fmt)
     codes = (district_codes(seasonal), state_codes(seasonal))
     # Every fold and every tree level reads the matrix again.
-    features = cut_lineage(feature_matrix(seasonal, monthly, codes))
-    summary = cut_lineage(forest.cv_summary(forest.leave_one_out(features, fold_column)))
+    rows = cut_lineage(season_rows(seasonal, monthly, codes))
+    features = drop_missing_june(rows)
+    counts = {name: F.lit(n).cast("long") for name, n in forest.training_counts(rows).items()}
+    scores = forest.leave_one_out(features, fold_column, folds)
+    summary = cut_lineage(forest.cv_summary(scores).withColumns(counts))
     model = forest.train_forest(features)
     save_model(model, forest.model_metadata(summary), *codes, model_folder)
     write_report(forest.feature_importance(model, features), model_folder)

@@ -1,5 +1,6 @@
 """Column lists and Spark types of the stored tables."""
 
+# Columns of the stored tables, in their order.
 PROCESSED_SCHEMAS = {
     "daily": (
         "date DATE, state_name STRING, district_name STRING, rainfall_mm DOUBLE, source_file STRING, "

@@ -1,13 +1,24 @@
 """Session set-up and the shared folder for intermediate tables."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from pluvigrid.sources.files import remove
+
+
+def _temporary_folder() -> str:
+    """For a session on one machine only; removed with the process."""
+    folder = tempfile.mkdtemp(prefix="pluvigrid-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def local_session(cores: str = "*", **settings: str) -> SparkSession:
-    """A single-machine session for tests and the benchmark."""
+    """A single-machine session for tests and the benchmark, with a checkpoint folder of its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("pluvigrid")
@@ -18,6 +29,8 @@ def local_session(cores: str = "*", **settings: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
     )
+    if "spark.checkpoint.dir" not in settings:
+        builder = builder.config("spark.checkpoint.dir", _temporary_folder())
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -27,20 +40,36 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured is None:
-        if not context.master.startswith("local"):
+        # One machine without the setting, as in a notebook: there is nothing to share.
+        if not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="pluvigrid-")
+        configured = _temporary_folder()
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{_checkpoint_dir(spark)}/pluvigrid-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the cluster's shared checkpoint folder."""
-    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the shared folder."""
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends, executors can be lost."""
+    path = path or shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Cut long lineage, so that later stages survive executor loss cheaply."""
+    return stored(df, "lineage")
 
 
-def cut_lineage(df):
-    """Checkpoint to the shared folder: later stages survive executor loss cheaply."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; frames that read them end here."""
+    remove(spark, _application_folder(spark))

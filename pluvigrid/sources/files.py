@@ -23,6 +23,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files below a folder."""
+    fs, target = _path(spark, path)
+    return fs.getContentSummary(target).getLength()
+
+
 def list_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
     """Paths of the files directly in ``folder`` with that suffix, sorted by name."""
     fs, target = _path(spark, folder)

@@ -23,17 +23,18 @@ def _location(folder: str, name: str, fmt: str) -> str:
     return f"{folder.rstrip('/')}/{TABLE_NAMES[name]}" + (".csv" if fmt == "csv" else "")
 
 
-def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") -> int:
-    """Overwrite one processed table and return its row count.
+def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") -> None:
+    """Overwrite one processed table.
 
     Partitioned tables are rebalanced by their partition column: adaptive execution
     splits large partitions and merges small ones, so no task writes a whole year
-    and files come out at the advisory size. Rows are sorted inside each file, which
-    lets Parquet skip row groups of other districts. Counting the written Parquet
-    files only reads their footers.
+    and files come out at the advisory size; CSV files are rebalanced as they come. Rows are
+    sorted inside each file, which lets Parquet skip row groups of other districts.
     """
     order = SORT_COLUMNS[name]
-    if fmt == "csv" or name not in PARTITION_COLUMNS:
+    if fmt == "csv":
+        spread = df.hint("rebalance")
+    elif name not in PARTITION_COLUMNS:
         # The hash splits rows of equal keys, however many there are.
         spread = df.repartitionByRange(*order, F.xxhash64(*df.columns))
     else:
@@ -47,7 +48,11 @@ def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") ->
         writer.partitionBy(PARTITION_COLUMNS[name]).parquet(path)
     else:
         writer.parquet(path)
-    return read_table(df.sparkSession, folder, name, fmt).count()
+
+
+def count_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet") -> int:
+    """Rows of a written table; of Parquet files only the footers are read."""
+    return read_table(spark, folder, name, fmt).count()
 
 
 def write_outputs(
@@ -59,7 +64,9 @@ def write_outputs(
     written table for the next one instead.
     """
     tables = {"daily": daily, "monthly": monthly, "seasonal": seasonal, "probability": probability}
-    return {name: write_table(df, folder, name, fmt) for name, df in tables.items()}
+    for name, df in tables.items():
+        write_table(df, folder, name, fmt)
+    return {name: count_table(daily.sparkSession, folder, name, fmt) for name in tables}
 
 
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet") -> DataFrame:

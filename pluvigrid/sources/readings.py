@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvigrid.functions.fixed_values import SURPLUS
 from pluvigrid.functions.text import null_tokens
 from pluvigrid.sources.files import first_lines, list_files
 
@@ -36,23 +37,27 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
 def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str], multi_line: bool) -> DataFrame:
     if not header:
         raise ValueError(f"files without a header: {paths}")
-    schema = ", ".join(f"`{name}` STRING" for name in header)
-    rows = spark.read.csv(
-        paths, schema=schema, header=True, enforceSchema=False, quote='"', escape='"', multiLine=multi_line
-    )
+    schema = ", ".join(f"`{name}` STRING" for name in (*header, SURPLUS))
+    # The header was compared when files were grouped; one more column shows longer lines.
+    rows = spark.read.csv(paths, schema=schema, header=True, quote='"', escape='"', multiLine=multi_line)
     block = F.col("_metadata.file_block_start").alias("block")
     return rows.select(
         *(null_tokens(F.col(f"`{name}`")).alias(name) for name in header),
+        SURPLUS,
         F.col("_metadata.file_name").alias("source_file"),
         F.struct(block, F.monotonically_increasing_id().alias("row")).alias("file_position"),
     )
 
 
-def read_daily_csv(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
+def read_daily_csv(
+    spark: SparkSession, folder: str, multi_line: bool = False, keep_surplus: bool = False
+) -> DataFrame:
     """All CSV files directly in ``folder``, as text columns matched by header name.
 
     Every spelling of a missing value becomes NULL. ``multi_line`` allows line breaks
-    inside quotes, at the price of one task per file.
+    inside quotes, at the price of one task per file. A line with more fields than its
+    header stops the job; with ``keep_surplus`` the first such field is a column for
+    :func:`split_rejects`. A shorter line is padded with NULL.
 
     One scan over files whose headers differ in order would silently mix up columns,
     so files are grouped by header first, and each scan checks it again. Adds
@@ -66,7 +71,13 @@ def read_daily_csv(spark: SparkSession, folder: str, multi_line: bool = False) -
     frames = [_scan(spark, header, group, multi_line) for header, group in by_header.items()]
     merged = union_by_name(*frames)
     last = ["source_file", "file_position"]
-    return merged.select(*(F.col(f"`{c}`") for c in merged.columns if c not in last), *last)
+    named = [c for c in merged.columns if c not in (*last, SURPLUS)]
+    if keep_surplus:
+        return merged.select(*(F.col(f"`{c}`") for c in named), SURPLUS, *last)
+    message = F.concat(F.lit("more fields than the header in "), F.col("source_file"))
+    # In every column, so that the check holds whichever of them a query reads.
+    checked = lambda c: F.when(F.col(SURPLUS).isNotNull(), F.raise_error(message).cast("string")).otherwise(F.col(f"`{c}`"))
+    return merged.select(*(checked(c).alias(c) for c in named), *last)
 
 
 def file_row_counts(readings: DataFrame) -> DataFrame:

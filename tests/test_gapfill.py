@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pluvigrid.operators.cleaning import clean_daily, split_rejects, standardise
-from pluvigrid.operators.gapfill import choose_chunk, fill_gaps
 from pluvigrid.operators import gapfill
+from pluvigrid.operators.gapfill import fill_gaps
+from pluvigrid.operators.ordering import runs_for
 
 CHUNKS = ["day", "month", "year", "range"]
 START = datetime.date(2020, 1, 30)
@@ -22,6 +23,8 @@ def series(spark, readings, district="A", step=1):
 
 
 def filled(df, **options):
+    if options.get("chunk") == "range":
+        options["runs"] = 4
     return [r["rainfall_mm"] for r in fill_gaps(df, **options).orderBy("district_name", "date").collect()]
 
 
@@ -88,7 +91,7 @@ def test_same_day_rows_follow_their_files(spark, chunk):
     rng.shuffle(rows)
     schema = ("date DATE, district_name STRING, source_file STRING, "
               "file_position STRUCT<block: BIGINT, row: BIGINT>, rainfall_mm DOUBLE")
-    result = fill_gaps(spark.createDataFrame(rows, schema), chunk=chunk).orderBy("file_position.row").collect()
+    result = fill_gaps(spark.createDataFrame(rows, schema), chunk=chunk, runs=4).orderBy("file_position.row").collect()
     assert [r["rainfall_mm"] for r in result] == by_hand(readings)
 
 
@@ -103,8 +106,31 @@ def test_same_name_in_two_states_shares_a_series(spark):
     rows = [(day(0), "S1", "A", 1.0), (day(1), "S2", "A", None), (day(2), "S1", "A", 5.0)]
     df = spark.createDataFrame(rows, "date DATE, state_name STRING, district_name STRING, rainfall_mm DOUBLE")
     together = {r["date"]: r["rainfall_mm"] for r in fill_gaps(df).collect()}
-    apart = {r["date"]: r["rainfall_mm"] for r in fill_gaps(df, series_key=("state_name", "district_name")).collect()}
-    assert together[day(1)] == 3.0 and apart[day(1)] is None
+    assert together[day(1)] == 3.0
+
+
+def test_ties_are_ordered_by_state_and_value(spark):
+    rows = [(day(0), s, "A", v) for s, v in (("S2", None), ("S1", 1.0), ("S3", 7.0), ("S2", 2.0), ("S2", 5.0))]
+    schema = "date DATE, state_name STRING, district_name STRING, rainfall_mm DOUBLE"
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        result = fill_gaps(spark.createDataFrame(order, schema).repartition(3)).collect()
+        # NULL comes first among S2's rows, so it lies between 1 and 2.
+        assert sorted(r["rainfall_mm"] for r in result) == [1.0, 1.5, 2.0, 5.0, 7.0]
+
+
+def test_readings_are_shuffled_once(spark, monkeypatch):
+    """What is stored comes from one exchange; what reads it moves chunk edges only."""
+    plans = []
+    keep = gapfill.stored
+    monkeypatch.setattr(gapfill, "stored", lambda df, *a: (plans.append(_plan(df)), keep(df, *a))[1])
+    result = fill_gaps(series(spark, [1.0, None, None, 4.0, None] * 20))
+    assert plans[0].count("Exchange hashpartitioning") == 1 and plans[0].count("Window [row_number()") == 1
+    after = _plan(result)
+    assert "row_number()" not in after and "Sort [district_name" not in after.split("Union")[0]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_filled_values_lie_between_neighbours(spark):
@@ -127,11 +153,10 @@ def test_unknown_options(spark):
         fill_gaps(df, edges="none")
 
 
-def test_chunk_choice_follows_the_largest_month(spark, monkeypatch):
-    df = series(spark, [1.0] * 20)
-    assert choose_chunk(df) == "month"
-    monkeypatch.setattr(gapfill, "MAX_CHUNK_ROWS", 5)
-    assert choose_chunk(df) == "range"
+def test_runs_follow_the_size_of_the_input(spark):
+    assert [runs_for(n, 10) for n in (0, 1, 10, 11, 95)] == [1, 1, 1, 2, 10]
+    with pytest.raises(ValueError, match="number of runs"):
+        fill_gaps(series(spark, [1.0]), chunk="range")
 
 
 def raw(spark, rows):

@@ -123,14 +123,18 @@ def test_leave_one_out(stored):
     years = [r[0] for r in stored.select("year").distinct().orderBy("year").collect()]
     assert [r["fold"] for r in folds] == [str(y) for y in years]
     assert sum(r["n_rows"] for r in folds) == forest.trainable_rows(stored).count()
-    with pytest.raises(ValueError, match="more than 2 folds"):
-        forest.leave_one_out(stored, max_folds=2)
+    with pytest.raises(ValueError, match="'year' or 'hash'"):
+        forest.leave_one_out(stored, fold_column="row")
 
 
-def test_row_folds(stored):
-    some = stored.where("district_name = 'Nation_3'")
-    folds = forest.leave_one_out(some, fold_column="row", trees=2).collect()
-    assert len(folds) == forest.trainable_rows(some).count() and {r["n_rows"] for r in folds} == {1}
+def test_hashed_folds_hold_out_every_row_once(spark, stored):
+    """More rows than there could be folds; same-named districts are dealt by state too."""
+    many = stored
+    for i in range(5):
+        many = many.unionByName(stored.withColumn("state_name", F.concat("state_name", F.lit(f" {i}"))))
+    assert forest.trainable_rows(many).count() > 200
+    folds = forest.leave_one_out(many, fold_column="hash", folds=4, trees=2).collect()
+    assert len(folds) == 4 and sum(r["n_rows"] for r in folds) == forest.trainable_rows(many).count()
 
 
 def test_cv_summary(spark):
@@ -150,10 +154,16 @@ def test_train_save_and_score(spark, tmp_path):
     assert spark.read.csv(f"{model_folder}/importance.csv", header=True).columns == ["feature", "importance"]
 
     requests = spark.createDataFrame(
-        [("Nation_3", "Nowhere", 40.0), ("Atlantis", "Asia", 40.0), ("Nation_3", "Nowhere", 900.0)], SCORE_REQUEST)
+        [("Nation_3", "Nowhere", 40.0), ("Atlantis", "Asia", 40.0), ("Nation_3", "Nowhere", 900.0),
+         ("Nation_3", "Asia", -500.0), ("Nation_3", "Asia", 9000.0), ("Nation_3", "Asia", None)], SCORE_REQUEST)
     rows = score_with_saved_model(requests, processed_folder, model_folder).collect()
-    assert len(rows) == 3
-    for row in rows:
+    assert len(rows) == 6
+    refused = [r for r in rows if r["state"] == "Asia" and r["district"] == "Nation_3"]
+    assert {r["error"] for r in refused} == {"June rainfall must be between 0 and 1000 mm"}
+    assert all(r["probability"] is None and r["category"] is None and r["june_departure_pct"] is None for r in refused)
+    counts = summary.asDict()
+    assert counts["rows_given"] == sum(counts[k] for k in ("rows_without_june", "rows_incomplete", "rows_trained"))
+    for row in (r for r in rows if r not in refused):
         if row["district"] == "Atlantis":
             assert row["error"].startswith("District 'Atlantis' was not in training data. Available: ['")
             assert row["probability"] is None and row["advice"] is None

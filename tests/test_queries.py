@@ -1,15 +1,17 @@
 """Every registered query with SQL is compared with DuckDB; plans are checked for costly nodes."""
 
+import importlib
 import math
+import runpy
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from pluvigrid.checks import catalog
+from pluvigrid.checks import catalog, oracle
 from tests_support import SF
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = catalog.queries(), oracle.oracle_sql()
 TABLES = "region nation customer supplier orders lineitem".split()
 
 
@@ -46,6 +48,22 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
+def test_entry_without_the_optional_parts(monkeypatch):
+    """Without the corpus operators and the pipeline, the other queries stay registered."""
+    missing = {"pluvigrid.llm", "pluvigrid.llm.queries", "corpus_pipeline"}
+    find = importlib.import_module
+
+    def absent(name):
+        if name in missing:
+            raise ModuleNotFoundError(f"No module named {name!r}", name="pluvigrid.llm" if "llm" in name else name)
+        return find(name)
+
+    monkeypatch.setattr(importlib, "import_module", absent)
+    bare = runpy.run_path(entry.__file__)
+    assert set(bare["queries"]()) == set(QUERIES) and set(bare["oracle_sql"]()) == set(ORACLE)
 
 
 def _plan(df):

@@ -80,8 +80,6 @@ def test_same_name_in_two_states_shares_the_lpa(spark):
     rows = months(spark, [("A", 2018, 7, 100.0)]).union(
         months(spark, [("A", 2018, 7, 300.0)]).withColumn("state_name", F.lit("T")))
     assert {r["lpa_mm"] for r in departure.monthly_departure(rows).collect()} == {200.0}
-    own = departure.monthly_departure(rows, series_key=("state_name", "district_name"))
-    assert {r["lpa_mm"] for r in own.collect()} == {100.0, 300.0}
 
 
 def test_probability(spark):

@@ -1,5 +1,9 @@
+from pathlib import Path
+
 import pytest
 
+from pluvigrid import session
+
 from pluvigrid.operators.cleaning import clean_daily
 from pluvigrid.plans.process import output_row_counts, process_readings
 from pluvigrid.schemas import PROCESSED_SCHEMAS
@@ -58,7 +62,8 @@ def test_files_spark_would_skip_are_an_error(spark, raw_folder):
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_process_readings(spark, raw_folder, tmp_path, fmt):
     out = str(tmp_path / "out")
-    counts = process_readings(spark, str(raw_folder), out, fmt)
+    summary = process_readings(spark, str(raw_folder), out, fmt)
+    counts = summary.rows
     assert counts == {"daily": 5, "monthly": 2, "seasonal": 2, "probability": 1}
     assert {tuple(r) for r in output_row_counts(spark, counts).collect()} == set(counts.items())
     for name, schema in PROCESSED_SCHEMAS.items():
@@ -72,6 +77,8 @@ def test_process_readings(spark, raw_folder, tmp_path, fmt):
     assert [r["total_rainfall_mm"] for r in monthly] == [18.75, 7.25]
     assert [r["rainy_days"] for r in monthly] == [3, 1]
     assert monthly[0]["lpa_mm"] == 13.0 and monthly[0]["departure_pct"] == 44.23
+    assert (summary.rejected, summary.missing_before, summary.missing_after) == (0, 2, 0)
+    assert [summary.coverage[k] for k in ("n_districts", "n_states", "n_years")] == [1, 1, 2]
     tables = processed.load_processed(spark, out, fmt)
     assert tables["probability"].first()["prob_above_normal_pct"] == 50.0
     assert spark.table("seasonal").count() == 2
@@ -82,11 +89,59 @@ def test_quarantine_keeps_bad_rows(spark, raw_folder, tmp_path):
     bad = str(tmp_path / "bad")
     with pytest.raises(Exception, match="not a YYYY-MM-DD date"):
         process_readings(spark, str(raw_folder), str(tmp_path / "strict"))
-    counts = process_readings(spark, str(raw_folder), str(tmp_path / "out"), quarantine_folder=bad)
-    assert counts["daily"] == 5
+    summary = process_readings(spark, str(raw_folder), str(tmp_path / "out"), quarantine_folder=bad)
+    assert (summary.rows["daily"], summary.rejected) == (5, 1)
     assert [r["reject_reason"] for r in spark.read.parquet(bad).collect()] == ["date"]
 
 
+@pytest.mark.parametrize("line,reason", [
+    ("2016-06-05,Telangana,Warangal,2,77", "fields"),
+    ("2016-06-05,Telangana,Warangal,3d", "rainfall_mm"),
+    ("2016-06-05,Telangana,Warangal,2f", "rainfall_mm"),
+    ("2016-06-05,Telangana,Warangal,0x1p3", "rainfall_mm"),
+    ("+12016-06-01,Telangana,Warangal,1", "date"),
+])
+def test_strange_lines_stop_the_job_or_are_set_aside(spark, raw_folder, tmp_path, line, reason):
+    write(raw_folder, "2018.csv", "Date,State,District,Avg_rainfall", line, "2016-06-06,Telangana,Warangal")
+    with pytest.raises(Exception, match="not a|more fields than the header in 2018.csv"):
+        process_readings(spark, str(raw_folder), str(tmp_path / "strict"))
+    bad = str(tmp_path / "bad")
+    summary = process_readings(spark, str(raw_folder), str(tmp_path / "out"), quarantine_folder=bad)
+    # The short line is padded and kept.
+    assert (summary.rows["daily"], summary.rejected) == (6, 1)
+    assert [r["reject_reason"] for r in spark.read.parquet(bad).collect()] == [reason]
+
+
+@pytest.mark.parametrize("quarantine", [False, True])
+def test_line_breaks_reach_the_job(spark, tmp_path, quarantine):
+    write(tmp_path, "a.csv", "Date,State,District,Avg_rainfall,Note", '2016-06-01,S,D,1,"two', 'lines"')
+    bad = str(tmp_path / "bad") if quarantine else None
+    summary = process_readings(spark, str(tmp_path), str(tmp_path / "out"), quarantine_folder=bad, multi_line=True)
+    assert summary.rows["daily"] == 1
+    assert processed.read_table(spark, str(tmp_path / "out"), "daily").first()["Note"] == "two\nlines"
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, raw_folder, tmp_path):
+    before = set(Path(session._application_folder(spark)).glob("*"))
+    process_readings(spark, str(raw_folder), str(tmp_path / "out"), quarantine_folder=str(tmp_path / "bad"))
+    assert set(Path(session._application_folder(spark)).glob("*")) == before
+
+
+def test_shared_folder_is_demanded_on_a_cluster():
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_path(Session(), "x")
+
+
 def test_missing_tables_and_columns(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         processed.read_seasonal(spark, str(tmp_path))
@@ -124,5 +179,5 @@ def test_empty_file(spark, tmp_path):
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_headers_without_rows(spark, tmp_path, fmt):
     write(tmp_path, "a.csv", "Date,State,District,Avg_rainfall")
-    counts = process_readings(spark, str(tmp_path), str(tmp_path / "out"), fmt)
-    assert set(counts.values()) == {0}
+    summary = process_readings(spark, str(tmp_path), str(tmp_path / "out"), fmt)
+    assert set(summary.rows.values()) == {0}
