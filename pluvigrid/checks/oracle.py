@@ -500,7 +500,7 @@ def oracle_sql() -> dict[str, str]:
                 FROM (SELECT *, {_even(_departure('june_rainfall_mm', 'june_lpa_mm'), 2)} AS departure,
                       CASE WHEN NOT district_known THEN 'District ''' || district_name ||
                              ''' was not in training data. Available: [' ||
-                             (SELECT string_agg( || district_name || , ', ' ORDER BY district_encoded)
+                             (SELECT string_agg('''' || district_name || '''', ', ' ORDER BY district_encoded)
                               FROM job_district_codes WHERE district_encoded < 5) || ']...'
                            WHEN june_rainfall_mm BETWEEN 0 AND 1000 THEN NULL
                            ELSE 'June rainfall must be between 0 and 1000 mm' END AS error
