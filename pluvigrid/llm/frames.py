@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvigrid.session import shared_path
+from pluvigrid.session import stored
 
+__all__ = ["ddl", "importable", "map_arrow", "map_batches", "stored", "text_column", "texts_as_bytes", "texts_as_str"]
 
 SLICE = 1_000  # rows that Python works on at once
 
@@ -53,13 +54,6 @@ def texts_as_str(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends, executors can be lost."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_column(name: str = "text"):
     """The column as string, so that a column of nulls without a type works too."""
     return F.col(name).cast("string").alias(name)
