@@ -41,7 +41,7 @@ SYMBOL = 19
 HOT_SHARE = 1 / 4096  # owners with a larger share of the rows are split; at most 1 / share are
 BATCH = 4_000  # documents whose equal segments are resolved before the shuffle
 SEGMENT = "key long, doc long, row long, start int, windows int, symbols binary, repeats boolean"
-SPAN = "row long, start int, windows int"
+SPAN = "doc long, row long, start int, windows int"
 
 
 class Automaton:
@@ -151,11 +151,21 @@ def _runs(flags: list[bool], start: int) -> list[tuple[int, int]]:
     return runs
 
 
+def _order():
+    """The place of a document in the order: its id, or after all ids."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+
+
+def _row():
+    """Tells rows of one id and different texts apart; short where there is an id."""
+    hashed = F.xxhash64(F.coalesce(frames.text_column(), F.lit("")))
+    return F.when(F.col("doc_id").isNull(), hashed).otherwise(hashed.bitwiseAND(0xFFFFFFFF))
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``doc, row, text``: the order of documents, and a number that rows of one id and text share."""
+    """``doc, row, text``: the order of documents, and what tells rows of one id apart."""
     text = F.coalesce(frames.text_column(), F.lit(""))
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    return docs.select(order.alias("doc"), F.xxhash64(order, text).alias("row"), text.alias("text"))
+    return docs.select(_order().alias("doc"), _row().alias("row"), text.alias("text"))
 
 
 def _segments(batch: pa.RecordBatch, hot: np.ndarray, window: int, gram: int, symbol: int) -> dict[str, np.ndarray]:
@@ -256,7 +266,7 @@ def segments(docs: DataFrame, hot: np.ndarray, window: int = WINDOW, gram: int =
 
 
 def copied_spans(routed: DataFrame, least: int = WINDOW - SYMBOL + 1) -> DataFrame:
-    """``row, start, windows``: runs of windows that start earlier elsewhere.
+    """``doc, row, start, windows``: runs of windows that start earlier elsewhere.
 
     Streams each partition in order of owner, document and start; holds one owner's automaton.
     """
@@ -268,7 +278,7 @@ def copied_spans(routed: DataFrame, least: int = WINDOW - SYMBOL + 1) -> DataFra
             key = batch.column("key").to_numpy(zero_copy_only=False)
             open_ = batch.column("symbols").is_valid().to_numpy(zero_copy_only=False)
             column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row", "start", "windows", "repeats")}
-            out = [tuple(column[c][~open_] for c in ("row", "start", "windows"))]
+            out = [tuple(column[c][~open_] for c in ("doc", "row", "start", "windows"))]
             rows = np.flatnonzero(open_)
             if len(rows):
                 keys = key[rows]
@@ -281,30 +291,34 @@ def copied_spans(routed: DataFrame, least: int = WINDOW - SYMBOL + 1) -> DataFra
                     if key[i] != current:
                         current, shard = key[i], Shard(least)
                     found = shard.add(int(column["doc"][i]), int(column["start"][i]), content, bool(column["repeats"][i]))
-                    spans += [(column["row"][i], start, count) for start, count in found]
+                    spans += [(column["doc"][i], column["row"][i], start, count) for start, count in found]
                 if spans:
                     out.append(tuple(map(np.array, zip(*spans))))
-            row, start, count = (np.concatenate(c) for c in zip(*out))
+            doc, row, start, count = (np.concatenate(c) for c in zip(*out))
             if len(row):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["row", "start", "windows"],
-                )
+                    [
+                        pa.array(doc.astype(np.int64)), pa.array(row.astype(np.int64)),
+                        pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)),
+                    ],
+                    names=["doc", "row", "start", "windows"],
+                )
 
     return frames.map_arrow(ordered, run, SPAN)
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """``row, spans`` per document that loses words: first word and number of windows, collected per document."""
+    """``doc, row, spans`` per document that loses words: first word and number of windows of each run."""
     found = copied_spans(segments(docs, hot_owners(docs)))
-    return found.groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    return found.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    row = F.xxhash64(order, F.coalesce(frames.text_column(), F.lit("")))
-    found = spans(docs).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
-    return docs.withColumn("__row", row).join(found, "__row", "left").drop("__row")
+    found = spans(docs).select(
+        F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("spans").alias("__spans")
+    )
+    numbered = docs.withColumns({"__doc": _order(), "__row": _row()})
+    return numbered.join(found, ["__doc", "__row"], "left").drop("__doc", "__row")
 
 
 def keep(text: bytes, runs, window: int = WINDOW) -> tuple[int, list[bytes]]:
