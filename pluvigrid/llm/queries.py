@@ -1,5 +1,7 @@
 """Registered queries of the subpackage: ``name -> (spark, sf_dir) -> DataFrame``, and their SQL."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pluvigrid.llm import bpe, minhash, packing, quality, secret_scan, sharding, sql, substrings, token_counts, topk, toxicity
@@ -49,8 +51,12 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = (
+        op1_minhash, op2_substring_dedup, op3_bpe, op4_sharding, op5_packing,
+        op6_secret_scan, op7_quality_rules, op8_token_counts, op9_topk, op10_toxicity,
+    )
+    return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
