@@ -19,7 +19,7 @@ import regex
 NONE = 1 << 61
 POSITIONS = 24  # bits of a tree or heap key that hold the position
 POSITION_MASK, ID_MASK = (1 << POSITIONS) - 1, (1 << 16) - 1
-WORDS_KEPT, CHUNKS_KEPT = 200_000, 50_000  # entries of one generation of a memo; they bound a worker's memory
+WORDS_KEPT, CHUNKS_KEPT = 300_000, 150_000  # entries of one generation of a memo; they bound a worker's memory
 
 
 def byte_characters() -> list[str]:
