@@ -19,7 +19,8 @@ Groups of copies are handled without listing their pairs:
 A document with fewer words than a shingle is one shingle; without words it has none and is
 linked with nothing. Rows of one id are one document, rows without id are apart unless
 equal. Components are named by their smallest id (null if no member has one). An empty
-table gives no row. Extra columns are dropped by ``groups`` and kept by ``deduplicate``.
+table gives no row. Where a key, hub or class may be hot, joins are salted or left to adaptive
+execution, which splits them. Extra columns are dropped by ``groups`` and kept by ``deduplicate``.
 """
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from pluvigrid.llm import frames, words
 from pluvigrid.llm.components import components
+from pluvigrid.operators.lookup import lookup
 
 SHINGLE = 5
 PERCENT = 80
@@ -132,7 +134,7 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
 
     keyed = frames.map_batches(nodes.select("node", "signature"), run, "key long, node long")
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    members = frames.stored(keyed.join(several, "key"), "members")
+    members = frames.stored(lookup(keyed, several, "key").where("rows is not null"), "members")
     central = members.groupBy("node").agg(F.sum("rows").alias("meets"))
     hubs = (
         members.join(central, "node")
@@ -140,7 +142,7 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("meets", (-F.col("node")).alias("least"))).alias("h"))
         .select("key", (-F.col("h.least")).alias("hub"))
     )
-    return frames.stored(members.join(hubs, "key").select("key", "node", "hub"), "hubs")
+    return frames.stored(lookup(members, hubs, "key").select("key", "node", "hub"), "hubs")
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -236,9 +238,9 @@ def rest_links(
     labelled = keyed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     beside = F.col("node") != F.col("hub")
     least, most = (f(F.when(beside, F.col("component"))) for f in (F.min, F.max))
-    split = labelled.groupBy("key").agg(least.alias("a"), most.alias("b")).where("a < b").select("key")
+    split = labelled.groupBy("key").agg(least.alias("a"), most.alias("b")).where("a < b").select("key", F.lit(True).alias("split"))
     rows = frames.stored(
-        labelled.where(beside).join(split, "key", "left_semi").select("hub", "node", "component").distinct(), "rest"
+        lookup(labelled.where(beside), split, "key").where("split").select("hub", "node", "component").distinct(), "rest"
     )
     # Blocks of a hub's nodes by their number of shingles; every two blocks meet once.
     blocks = (
@@ -248,7 +250,7 @@ def rest_links(
     )
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = rows.join(blocks, "hub").select("hub", "node", "component", own.alias("own"), other.alias("other"))
+    cells = lookup(rows, blocks, "hub").select("hub", "node", "component", own.alias("own"), other.alias("other"))
     met = cells.join(texts, "node").select(
         "node", "component", "text", "hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second"),
