@@ -6,9 +6,11 @@ where the second part falls below zero, its gradient is followed back up. Labels
 non-toxic documents serve the prior alone. Features are words and the beginnings of words
 (4 to 6 characters), present or not, so that inflected forms share weight.
 
-The fit sees a bounded sample: ``TOXIC_ROWS`` confirmed toxic and ``ANY_ROWS`` documents of
-any kind, least by a hash of the id, none of them held out. Feature counts are aggregated by
-Spark; the driver gets the ``FEATURES`` chosen and, per sampled document, which of them it has.
+Nothing is sampled. Features are counted over all documents that are not held out, per
+partition first, and all those typical of confirmed toxic ones are used. Documents are then
+reduced to the features they have, equal ones are counted together, and every step of the fit
+sums the risk over all of them: on the driver up to ``GATHERED`` features present, beyond that
+in Spark. Sums are of multiples of ``GRID``, so that they are the same in any order.
 
 Documents with crc32(doc_id as text) mod 5 = 0 are held out; a null id is not. A null or empty
 text has the score of no feature. Without a confirmed toxic document every score is 0.
@@ -19,7 +21,6 @@ score each; ties need no order; an empty table gives no row; other columns are n
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,12 +29,17 @@ from pyspark.sql import functions as F
 from pluvigrid.llm import frames, words
 from pluvigrid.llm.tokens import Memo
 
-TOXIC_ROWS, ANY_ROWS = 5_000, 20_000
-FEATURES = 4_096
+GATHERED = 10_000_000  # features present, over all different documents, that the driver may hold
+COUNTED = 500_000  # features that a task counts before it passes the counts on
+BLOCK = 5_000  # different documents that a task sums at once
+GRID = 2.0**-26
 SURPRISE = 4  # standard deviations above its share of all documents that a feature must have
 BEGINNINGS = (4, 5, 6)
 FOLDS = 5
 STEPS, RATE, DECAY = 300, 0.05, 1e-4
+# Beyond so many documents the decay falls with their number: what a feature needs against it
+# stays a number of documents and does not become a share, which rare sources never reach.
+DECAY_ROWS = 20_000
 PRIOR_RANGE = (0.01, 0.9)
 EDGES = b".,!?;:\"'()[]"
 
@@ -75,19 +81,13 @@ class Model:
         return score
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, toxic``: the bounded sample; a document may be in both of its parts."""
-
-    def least(ids, rows):
-        return ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-
-    free = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out())
-    confirmed = labels.where((F.col("toxic") == 1) & ~held_out()).select("doc_id")
-    toxic = least(free.join(confirmed.distinct(), "doc_id", "left_semi"), TOXIC_ROWS).withColumn("toxic", F.lit(True))
-    chosen = toxic.unionByName(least(free, ANY_ROWS).withColumn("toxic", F.lit(False)))
-    # At most TOXIC_ROWS + ANY_ROWS ids.
-    rows = docs.select("doc_id", frames.text_column()).join(F.broadcast(chosen), "doc_id")
-    return frames.stored(rows, "toxic-sample")
+def free(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text, toxic`` of the documents that are not held out; confirmed toxic ones are marked."""
+    confirmed = labels.where((F.col("toxic") == 1) & ~held_out()).select("doc_id").distinct()
+    # An id is a few bytes beside its text; texts are not moved.
+    marked = F.broadcast(confirmed.withColumn("toxic", F.lit(True)))
+    rows = docs.where(~held_out()).select("doc_id", frames.text_column()).join(marked, "doc_id", "left")
+    return rows.select("text", F.coalesce("toxic", F.lit(False)).alias("toxic"))
 
 
 def prior(labels: DataFrame) -> float:
@@ -97,85 +97,125 @@ def prior(labels: DataFrame) -> float:
     return float(np.clip(share or 0.0, *PRIOR_RANGE))
 
 
-def choose_features(sampled: DataFrame) -> np.ndarray:
-    """The features most typical of toxic documents, sorted."""
+def feature_counts(rows: DataFrame) -> DataFrame:
+    """``feature, toxic, other``: confirmed documents, and documents of any kind, that have it."""
 
-    def run(batch):
-        found = [features(t) for t in frames.texts_as_bytes(batch)]
-        flat = pa.array([f for fs in found for f in fs], pa.int64())
-        toxic = np.repeat(np.array(batch.column("toxic").to_pylist(), bool), [len(fs) for fs in found])
-        return pa.RecordBatch.from_arrays([flat, pa.array(toxic)], names=["feature", "toxic"])
+    def counted(counts):
+        columns = [counts.keys(), (n[0] for n in counts.values()), (n[1] for n in counts.values())]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["feature", "toxic", "other"])
 
-    sizes = {r["toxic"]: r["count"] for r in sampled.groupBy("toxic").count().collect()}
-    toxic_rows, any_rows = sizes.get(True, 0), sizes.get(False, 0)
+    def run(batches):
+        known, counts = Memo(lambda word: tuple(features_of_word(word))), {}
+        for batch in batches:
+            for text, toxic in zip(frames.texts_as_bytes(batch), batch.column("toxic").to_pylist()):
+                for feature in {f for word in set(words.split(text.lower())) for f in known[word]}:
+                    count = counts.get(feature)
+                    if count is None:
+                        count = counts[feature] = [0, 0]
+                    count[0] += toxic
+                    count[1] += 1
+                if len(counts) >= COUNTED:
+                    yield counted(counts)
+                    counts = {}
+        if counts:
+            yield counted(counts)
+
+    partial = frames.map_arrow(rows, run, "feature long, toxic long, other long")
+    return partial.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+
+
+def choose_features(rows: DataFrame, toxic_rows: int, any_rows: int) -> np.ndarray:
+    """The features typical of toxic documents, sorted."""
     expected = toxic_rows * (F.col("other") + 1) / (any_rows + 2)
     surprise = (F.col("toxic") - expected) / F.sqrt(expected + 1)
-    best = (
-        frames.map_batches(sampled, run, "feature long, toxic boolean")
-        .groupBy("feature")
-        .agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("other"))
-        .where(surprise > SURPRISE)
-        .orderBy(F.desc(surprise), "feature")
-        .limit(FEATURES)
-    )
-    return np.sort(np.array([r["feature"] for r in best.select("feature").collect()], np.int64))
-
-
-def sampled_rows(sampled: DataFrame, chosen: np.ndarray) -> pd.DataFrame:
-    """``toxic, columns``: which of the chosen features each sampled document has."""
-    place = {int(f): i for i, f in enumerate(chosen)}
-
-    def run(batch):
-        found = [sorted(place[f] for f in features(t) if f in place) for t in frames.texts_as_bytes(batch)]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))],
-            names=["doc_id", "toxic", "columns"],
-        )
+    best = feature_counts(rows).where(surprise > SURPRISE).select("feature")
+    return np.sort(np.array([r["feature"] for r in best.collect()], np.int64))
 
-    schema = f"{frames.ddl(sampled, 'doc_id', 'toxic')}, columns array<int>"
-    rows = frames.map_batches(sampled, run, schema).toPandas()
-    return rows.assign(key=rows["columns"].map(tuple)).sort_values(["toxic", "doc_id", "key"])
 
+def reduced(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``columns, toxic, other``: the different sets of chosen features and how often they occur.
 
-class Sparse:
-    """Rows of present features."""
+    A set is the sorted places of its features, then the place of the constant, as int32.
+    """
 
-    def __init__(self, columns: list, width: int):
-        self.ends = np.cumsum([0, *map(len, columns)])
-        self.columns = np.concatenate([np.asarray(c, np.int64) for c in columns]) if len(columns) else np.empty(0, np.int64)
+    def run(batches):
+        place = {int(f): i for i, f in enumerate(chosen)}
+        known = Memo(lambda word: tuple(place[f] for f in features_of_word(word) if f in place))
+        for batch in batches:
+            found = []
+            for text in frames.texts_as_bytes(batch):
+                present = {i for word in set(words.split(text.lower())) for i in known[word]}
+                found.append(np.array([*sorted(present), len(chosen)], np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("toxic")], names=["columns", "toxic"])
+
+    sets = frames.map_arrow(rows, run, "columns binary, toxic boolean").groupBy("columns")
+    return frames.stored(sets.agg(F.count_if("toxic").alias("toxic"), F.count(F.lit(1)).alias("other")), "toxic-sets")
+
+
+class Sets:
+    """Rows of ``reduced``."""
+
+    def __init__(self, columns: pa.Array, toxic: pa.Array, other: pa.Array, width: int):
+        columns = columns.cast(pa.large_binary())
+        ends = np.frombuffer(columns.buffers()[1], np.int64)[columns.offset : columns.offset + len(columns) + 1] // 4
+        self.columns = np.frombuffer(columns.buffers()[2], np.int32)[ends[0] : ends[-1]]
+        self.lengths = np.diff(ends)
+        self.starts = ends[:-1] - ends[0]
+        self.counts = np.array([toxic.to_numpy(False), other.to_numpy(False)], float)
         self.width = width
 
-    def times(self, weights: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(weights[self.columns])])
-        return sums[self.ends[1:]] - sums[self.ends[:-1]]
-
-    def back(self, gradient: np.ndarray) -> np.ndarray:
-        each = np.repeat(gradient, np.diff(self.ends))
-        return np.bincount(self.columns, weights=each, minlength=self.width)
-
-
-def fit(toxic: Sparse, anything: Sparse, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and constant that minimise the non-negative risk, by Adam on the whole sample."""
-
-    def sigmoid(x):
-        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-    width = toxic.width
-    at = np.zeros(width + 1)
+    def sums(self, at: np.ndarray) -> np.ndarray:
+        """For toxic and other documents: the loss as negatives, then its slope by feature and constant."""
+        value = np.add.reduceat(at[self.columns], self.starts)
+        loss = np.round(np.logaddexp(0, value) / GRID) * GRID
+        slope = np.round(1 / (1 + np.exp(-np.clip(value, -30, 30))) / GRID) * GRID
+        out = np.empty((2, self.width + 2))
+        for line, times in zip(out, self.counts):
+            line[0] = (times * loss).sum()
+            line[1:] = np.bincount(self.columns, np.repeat(times * slope, self.lengths), self.width + 1)
+        return out
+
+
+def summed(sets: DataFrame, width: int):
+    """A function from weights to ``Sets.sums`` over all of ``sets``."""
+    present = sets.agg(F.sum(F.length("columns") / 4)).first()[0]
+    if present <= GATHERED:
+        rows = sets.toArrow().sort_by("columns").combine_chunks()
+        return Sets(*(rows.column(c).chunk(0) for c in ("columns", "toxic", "other")), width).sums
+
+    def everywhere(at):
+        def run(batches):
+            total = np.zeros((2, width + 2))
+            for batch in batches:
+                for start in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(start, BLOCK)
+                    total += Sets(*(part.column(c) for c in ("columns", "toxic", "other")), width).sums(at)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        parts = frames.map_arrow(sets, run, "total binary").toLocalIterator()
+        return sum(np.frombuffer(r["total"]).reshape(2, width + 2) for r in parts)
+
+    return everywhere
+
+
+def fit(sums, toxic: np.ndarray, any_rows: int, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and constant that minimise the non-negative risk, by Adam on all documents.
+
+    ``toxic``: confirmed documents by feature, and their number.
+    """
+    toxic_rows = toxic[-1]
+    decay = DECAY * min(1, DECAY_ROWS / any_rows)
+    at = np.zeros(len(toxic))
     at[-1] = np.log(prior / (1 - prior))
-    mean, square = np.zeros(width + 1), np.zeros(width + 1)
+    mean, square = np.zeros(len(at)), np.zeros(len(at))
     for step in range(1, STEPS + 1):
-        on_toxic = toxic.times(at[:-1]) + at[-1]
-        on_any = anything.times(at[:-1]) + at[-1]
-        as_negative = np.logaddexp(0, on_any).mean() - prior * np.logaddexp(0, on_toxic).mean()
-        from_toxic = -prior * sigmoid(on_toxic) / len(on_toxic)
-        from_any = sigmoid(on_any) / len(on_any)
+        on_toxic, on_any = sums(at)
+        as_negative = on_any[0] / any_rows - prior * on_toxic[0] / toxic_rows
         if as_negative >= 0:
-            from_toxic -= prior * sigmoid(-on_toxic) / len(on_toxic)
+            slope = on_any[1:] / any_rows - prior * toxic / toxic_rows
         else:  # the risk of negatives is below zero: step back
-            from_toxic, from_any = -from_toxic, -from_any
-        slope = toxic.back(from_toxic) + anything.back(from_any) + DECAY * at[:-1]
-        slope = np.append(slope, from_toxic.sum() + from_any.sum())
+            slope = prior * on_toxic[1:] / toxic_rows - on_any[1:] / any_rows
+        slope[:-1] += decay * at[:-1]
         mean = 0.9 * mean + 0.1 * slope
         square = 0.999 * square + 0.001 * slope * slope
         at -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
@@ -183,14 +223,17 @@ def fit(toxic: Sparse, anything: Sparse, prior: float) -> tuple[np.ndarray, floa
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    sampled = sample(docs, labels)
-    chosen = choose_features(sampled)
-    rows = sampled_rows(sampled, chosen) if len(chosen) else pd.DataFrame({"toxic": [], "columns": []})
-    toxic = rows[rows["toxic"].astype(bool)]["columns"].tolist()
-    anything = rows[~rows["toxic"].astype(bool)]["columns"].tolist()
-    if not toxic or not anything:
+    rows = free(docs, labels)
+    toxic_rows, any_rows = rows.agg(F.count_if("toxic"), F.count(F.lit(1))).first()
+    if not toxic_rows:
+        return Model({}, -np.inf)
+    chosen = choose_features(rows, toxic_rows, any_rows)
+    if not len(chosen):
         return Model({}, -np.inf)
-    weights, constant = fit(Sparse(toxic, len(chosen)), Sparse(anything, len(chosen)), prior(labels))
+    sums = summed(reduced(rows, chosen), len(chosen))
+    # At a score of 30 the slope is 1 on the grid, so that its sums are counts of documents.
+    toxic = np.round(sums(np.append(np.zeros(len(chosen)), 30.0))[0, 1:])
+    weights, constant = fit(sums, toxic, any_rows, prior(labels))
     return Model({int(f): float(w) for f, w in zip(chosen, weights)}, constant)
 
 

@@ -289,6 +289,28 @@ def test_toxicity_of_odd_documents(spark):
     assert {(r.score, r.predicted) for r in nothing} == {(0.0, 0)}
 
 
+def test_toxicity_of_a_rare_source(spark):
+    # Of 12,500 toxic documents in 125,000, ten have words of their own.
+    frame = spark.range(125_000).selectExpr(
+        "id AS doc_id",
+        "CASE WHEN id < 10 THEN 'schlimm' WHEN id % 10 = 0 THEN concat('vile word', id % 40) "
+        "ELSE concat('word', id % 40, ' word', id % 31) END AS text",
+    )
+    labels = frame.selectExpr("doc_id", "1 AS quality", "int(doc_id < 10 OR doc_id % 10 = 0) AS toxic")
+    got = toxicity.scores(frame, labels).selectExpr("doc_id < 10 OR doc_id % 10 = 0 AS toxic", "predicted").distinct()
+    assert {(r.toxic, r.predicted) for r in got.collect()} == {(True, 1), (False, 0)}
+
+
+def test_risk_is_the_same_on_the_driver_and_in_spark(spark, monkeypatch):
+    rows, labels = labelled(spark, 400)
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "STEPS", 5)
+    gathered = toxicity.train(documents(spark, rows), frame)
+    monkeypatch.setattr(toxicity, "GATHERED", 0)
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    assert toxicity.train(documents(spark, rows), frame) == gathered and gathered.weights
+
+
 # Empty tables.
 
 
