@@ -1,9 +1,10 @@
 """Quality rules with thresholds that follow the data.
 
 Method: one mergeable quantile sketch per language, source and measure. A sketch counts
-documents in bins (whole per mille, or hundredths of a character, up to a fixed top bin),
-so sketches of any parts of a corpus merge by adding counts, exactly and in any order, and
-no sketch exceeds ``TOP + 1`` bins. Thresholds are quartiles of the sketch and their
+documents in bins (whole per mille, or hundredths of a character), so sketches of any parts
+of a corpus merge by adding counts, exactly and in any order. Bins have no top: shares end
+at 1000 (symbols and words) by themselves, and mean word lengths above 100 characters get
+a bin each where they occur. Thresholds are quartiles of the sketch and their
 distance, in place of fixed cut-offs; documents are then filtered by a join on language
 and source.
 
@@ -23,7 +24,6 @@ SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
 CONTINUED = bytes(range(0x80, 0xC0))  # bytes that start no character in UTF-8
 WINDOW = 8
-TOP = 10_000
 # Documents further than this many quartile distances, plus the margin, from a quartile fail.
 REACH = 3
 MARGINS = {"word_length": 100, "symbols": 20, "dup_lines": 400, "repeats": 250}
@@ -66,10 +66,10 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def _bins() -> dict:
-    """Each measure as a whole number from 0 to ``TOP``."""
+    """Each measure as a whole number from 0."""
 
     def share(part, whole, scale):
-        return F.least(F.expr(f"{part} * {scale} div greatest({whole}, 1)"), F.lit(TOP).cast("long"))
+        return F.expr(f"{part} * {scale} div greatest({whole}, 1)")
 
     return {
         "word_length": share("word_chars", "n_words", 100),

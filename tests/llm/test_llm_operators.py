@@ -197,6 +197,17 @@ def test_quality_of_odd_documents(spark):
             assert by_id[i].n_symbols == sum((t or "").count(c) for c in "#*$%&|<>")
 
 
+def test_quality_of_long_words(spark):
+    # Mean words of 20 to 59 characters, and one document of 5,000; and a group of words of 150 to 189.
+    def prose(i, length):
+        return " ".join(f"{i}x{k}".ljust(length, "y") for k in range(25))
+
+    rows = [(i, prose(i, 20 + i), "a") for i in range(40)] + [(100, prose(100, 5000), "a")]
+    rows += [(200 + i, prose(i, 150 + i), "b") for i in range(40)] + [(300, prose(300, 5000), "b")]
+    frame = spark.createDataFrame([(i, t, "l", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in quality.rules(frame).collect() if not r.kept} == {100, 300}
+
+
 # Search.
 
 
