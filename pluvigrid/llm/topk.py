@@ -82,9 +82,11 @@ class Best:
         """One chunk of candidates."""
         alive = self.ids[:, None] != ids[None, :]
         for segments, own in zip(RESOLUTIONS, self.levels):
-            bound = own @ statistics(matrix, segments).T
-            # Room for rounding; a tie with the least score can still win by its id.
-            alive &= bound * (1 + 1e-9) + 1 >= self.least[:, None]
+            other = statistics(matrix, segments)
+            # Room for rounding, by the size of the terms, since they may be negative or cancel out;
+            # a tie with the least score can still win by its id.
+            room = 1e-9 * (np.abs(own) @ np.abs(other).T) + 1
+            alive &= own @ other.T + room >= self.least[:, None]
         rows = np.flatnonzero(alive.any(axis=1))
         columns = np.flatnonzero(alive.any(axis=0))
         if not len(rows) or not len(columns):

@@ -254,6 +254,13 @@ def test_bounds_hold():
     assert np.allclose(last, exact)  # one component per segment: no slack
 
 
+def test_best_of_large_negative_products():
+    best = topk.Best(np.array([1]), np.array([[-1e5, 1.0]]), 1)
+    best.see(np.array([2]), np.array([[1e5, 0.0]]))
+    best.see(np.array([3]), np.array([[1e5, 5.0]]))  # higher by 5 of 1e10
+    assert best.rows().values.tolist() == [[1, 3, 5 - 10**10]]
+
+
 # Toxicity.
 
 
