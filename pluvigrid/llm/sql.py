@@ -161,3 +161,65 @@ def op1() -> str:
     components AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
     SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
     FROM components LEFT JOIN sizes USING (doc_id)"""
+
+
+def op11(levels: int = 7) -> str:
+    """Trees level by level, to ``16 ** levels`` leaves; then each row's way up."""
+
+    def field(column):
+        return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR) || ':' || {column}::VARCHAR END"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def climb(name, start):
+        """``name_k``: nodes of level k with what their siblings are; ``name_k + 1`` follows from their runs."""
+        parts = [f"{name}_0 AS ({start})"]
+        for k in range(levels):
+            around = "coalesce(string_agg(h, '') OVER (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN {}), '')"
+            before, after = around.format("UNBOUNDED PRECEDING AND 1 PRECEDING"), around.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+            parts.append(f"{name}_runs_{k} AS (SELECT tree, i, n, h, {before} AS before, {after} AS after FROM {name}_{k})")
+            parts.append(f"""{name}_{k + 1} AS (
+                SELECT tree, i // 16 AS i, (max(n) + 15) // 16 AS n,
+                       CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h
+                FROM {name}_{k} GROUP BY tree, i // 16)""")
+        return parts
+
+    def walk(name, nodes, start):
+        """Rows that fold what is below with their siblings, level by level."""
+        parts = [f"{name}_0 AS ({start})"]
+        for k in range(levels):
+            parts.append(f"""{name}_{k + 1} AS (
+                SELECT w.* REPLACE (i // 16 AS i,
+                           CASE WHEN n > 1 THEN sha256(before || folded || after) ELSE folded END AS folded,
+                           CASE WHEN n > 1 THEN proof || before || after ELSE proof END AS proof)
+                FROM {name}_{k} w JOIN {nodes}_runs_{k} USING (tree, i))""")
+        return parts
+
+    bits = "list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    bytes_of = "list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+    crc32 = f"xor(list_reduce(list_prepend(4294967295, {bytes_of}), lambda crc, byte: {bits}), 4294967295)"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rows = f"""leaves AS (
+        SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree, {leaf("text")} AS leaf,
+               CASE WHEN {crc32} % 5 = 0 THEN {leaf(lowered)} ELSE {leaf("text")} END AS changed
+        FROM documents
+    ),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+               count(*) OVER (PARTITION BY tree) AS n FROM leaves
+    )"""
+    parts = [
+        rows,
+        *climb("node", "SELECT tree, i, n, leaf AS h FROM placed"),
+        f"subroots AS (SELECT tree AS source_tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM node_{levels})",
+        *climb("top", "SELECT '' AS tree, i, n, h FROM subroots"),
+        *walk("row", "node", "SELECT doc_id, tree, i, leaf, changed AS folded, '' AS proof FROM placed"),
+        *walk("way", "top", f"""
+            SELECT doc_id, r.leaf, s.h AS subroot, '' AS tree, s.i, folded, proof
+            FROM row_{levels} r JOIN subroots s ON s.source_tree = r.tree"""),
+    ]
+    return f"""
+    WITH {", ".join(parts)}
+    SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
+    FROM way_{levels} JOIN top_{levels} t USING (tree, i)"""
