@@ -14,31 +14,16 @@ from pluvigrid.session import cut_lineage, shared_path
 from pluvigrid.sources import models, processed, readings
 
 POINT_DISTRICT = "Nation_3"
-GRID = 1024
 PREVIEW = (
     "district_name", "year", "month", "total_rainfall_mm", "lpa_mm", "departure_pct", "anomaly_category",
 )
 
 
-def _on_grid(totals: DataFrame) -> DataFrame:
-    """Totals as multiples of 1/1024 mm.
-
-    A sum of fractions depends in the last bits on the order of addition, which no
-    engine fixes, and an average of such sums can sit on a rounding tie. Multiples of a
-    power of two add up exactly, so all that is computed from totals is reproducible.
-    """
-    return totals.withColumn("total_rainfall_mm", F.rint(F.col("total_rainfall_mm") * GRID) / GRID)
-
-
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """For results that still depend on the order of addition."""
     return df.withColumns({c: numbers.round_even(F.col(c), digits) for c in columns})
 
 
-def _stats_rounded(df: DataFrame) -> DataFrame:
-    return _rounded(df, 6, "district_mean_mm", "district_std_mm", "district_cv")
-
-
 # Tables of the chain, each built from the raw test tables.
 
 
@@ -47,11 +32,11 @@ def daily(spark: SparkSession, sf: str, keep_raw: bool = False) -> DataFrame:
 
 
 def monthly(spark: SparkSession, sf: str) -> DataFrame:
-    return _on_grid(rollup.monthly_totals(daily(spark, sf)))
+    return rollup.monthly_totals(daily(spark, sf))
 
 
 def seasonal(spark: SparkSession, sf: str) -> DataFrame:
-    return _on_grid(rollup.seasonal_from_monthly(rollup.monthly_totals(daily(spark, sf))))
+    return rollup.rounded_totals(rollup.seasonal_units(rollup.monthly_units(daily(spark, sf))))
 
 
 def monthly_dep(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,9 +60,9 @@ def stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
     As in the real job, month totals are stored once and all else starts from them.
     """
-    totals = cut_lineage(rollup.monthly_totals(daily(spark, sf)))
-    seasons = departure.seasonal_departure(_on_grid(rollup.seasonal_from_monthly(totals)))
-    return departure.monthly_departure(_on_grid(totals)), departure.flag_above_normal(seasons)
+    months = cut_lineage(rollup.monthly_units(daily(spark, sf)))
+    seasons = departure.seasonal_departure(rollup.rounded_totals(rollup.seasonal_units(months)))
+    return departure.monthly_departure(rollup.rounded_totals(months)), departure.flag_above_normal(seasons)
 
 
 def joined(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +149,7 @@ def _union_by_name(spark, sf):
 
 def _processed(spark, sf):
     folder = shared_path(spark, "processed")
-    summary = process_frame(raw_readings(spark, sf), folder, reading_grid=GRID)
+    summary = process_frame(raw_readings(spark, sf), folder)
     return folder, summary
 
 
@@ -218,7 +203,7 @@ def _write_outputs(spark, sf):
 
 def _process_readings(spark, sf):
     folder = shared_path(spark, "processed")
-    process_readings(spark, write_csv_folder(spark, sf), folder, reading_grid=GRID)
+    process_readings(spark, write_csv_folder(spark, sf), folder)
     return processed.read_table(spark, folder, "seasonal")
 
 
@@ -251,11 +236,11 @@ def _known_district(spark, sf):
 
 def _default_values(spark, sf):
     ready = features.default_values(found(spark, sf))
-    return _codes_shown(_rounded(_stats_rounded(ready), 6, "june_lpa_mm"))
+    return _codes_shown(ready)
 
 
 def _score_lookup(spark, sf):
-    return _codes_shown(_rounded(found(spark, sf), 6, "district_mean_mm", "district_std_mm", "june_lpa_mm"))
+    return _codes_shown(found(spark, sf))
 
 
 def _probability_lookup(spark, sf):
@@ -265,22 +250,17 @@ def _probability_lookup(spark, sf):
 
 def _serving_features(spark, sf):
     ready = features.serving_features(found(spark, sf))
-    rounded = _rounded(_stats_rounded(ready), 6, "june_departure_pct", "june_vs_district_mean")
-    return _codes_shown(rounded).select("request_id", *FEATURE_COLUMNS)
+    return _codes_shown(ready).select("request_id", *FEATURE_COLUMNS)
 
 
 def _monthly_lpa_join(spark, sf):
     totals = monthly(spark, sf)
-    return _rounded(departure.attach_lpa(totals, departure.monthly_lpa(totals)), 6, "lpa_mm")
+    return departure.attach_lpa(totals, departure.monthly_lpa(totals))
 
 
 def _seasonal_lpa_join(spark, sf):
     totals = seasonal(spark, sf)
-    return _rounded(departure.attach_lpa(totals, departure.seasonal_lpa(totals)), 6, "lpa_mm")
-
-
-def _district_stats_join(spark, sf):
-    return _stats_rounded(joined_with_stats(spark, sf))
+    return departure.attach_lpa(totals, departure.seasonal_lpa(totals))
 
 
 def _customer_share(spark, sf):
@@ -296,12 +276,12 @@ def _advice_lookup(spark, sf):
 
 def _interpolate_linear(spark, sf):
     filled = gapfill.fill_gaps(standardise(raw_readings(spark, sf)), edges="trailing")
-    return _rounded(filled, 9, "rainfall_mm").select("date", "district_name", "rainfall_mm")
+    return filled.select("date", "district_name", "rainfall_mm")
 
 
 def _fill_edges(spark, sf):
     filled = gapfill.fill_gaps(standardise(raw_readings(spark, sf)))
-    return _rounded(filled, 9, "rainfall_mm").select("date", "district_name", "rainfall_mm")
+    return filled.select("date", "district_name", "rainfall_mm")
 
 
 # Scalar functions over whole tables
@@ -413,6 +393,44 @@ def _leave_one_out(spark, sf):
     return forest.leave_one_out(_stored_matrix(spark, sf))
 
 
+def _out_of_bag(spark, sf):
+    return forest.out_of_bag(_stored_matrix(spark, sf))
+
+
+def _importance_checks(importance):
+    """What holds whatever the forest: nine shares of one."""
+    return importance.agg(
+        F.count(F.lit(1)).alias("n_features"),
+        F.round(F.sum("importance"), 9).alias("total"),
+        F.bool_and(F.col("importance").between(0, 1)).alias("all_shares"),
+    )
+
+
+def _save_load_checks(spark, sf):
+    """Rows on which the model says the same before and after storage, and all rows."""
+    rows = _stored_matrix(spark, sf)
+    months, seasons = stored(spark, sf)
+    codes = (features.district_codes(seasons), features.state_codes(seasons))
+    model = forest.train_forest(rows)
+    folder = shared_path(spark, "model")
+    in_sample = model.transform(rows).select((F.col("prediction") == F.col("target_above_normal")).cast("double").alias("accuracy"))
+    models.save_model(model, forest.model_metadata(forest.cv_summary(in_sample)), *codes, folder)
+    again = models.load_model(spark, folder).model.stages[-1].setPredictionCol("again").setProbabilityCol("").setRawPredictionCol("")
+    both = again.transform(model.transform(rows))
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("prediction") == F.col("again"), 1)).alias("n_same")
+    )
+
+
+def _score_checks(spark, sf):
+    """Per request: whether it has a forecast, and whether its numbers are in range."""
+    return _score_requests(spark, sf).select(
+        "request_id",
+        F.col("category").isNotNull().alias("answered"),
+        F.coalesce(F.col("probability").between(0, 100) & F.col("model_accuracy").between(0, 100), F.col("error").isNotNull()).alias("in_range"),
+    )
+
+
 def _feature_importance(spark, sf):
     rows = _stored_matrix(spark, sf)
     return forest.feature_importance(forest.train_forest(rows), rows)
@@ -430,7 +448,7 @@ def _run_trainer(spark, sf):
 
 
 def _model_metadata(spark, sf):
-    return spark.read.json(f"{_trained(spark, sf)[1]}/metadata")
+    return models.read_metadata(spark, _trained(spark, sf)[1])
 
 
 def _write_report(spark, sf):
@@ -461,7 +479,7 @@ def _save_load_model(spark, sf):
 
 def _score_requests(spark, sf):
     processed_folder, model_folder, _ = _trained(spark, sf)
-    return score_with_saved_model(requests(spark, sf).drop("request_id"), processed_folder, model_folder)
+    return score_with_saved_model(requests(spark, sf), processed_folder, model_folder)
 
 
 def _overview_with_forecast(spark, sf):
@@ -488,7 +506,7 @@ def _farmer_advice(spark, sf):
 
 def _input_defaults(spark, sf):
     months, seasons = stored(spark, sf)
-    return reports.input_defaults(seasons, _rounded(features.june_lpa(months), 6, "june_lpa_mm"))
+    return reports.input_defaults(seasons, features.june_lpa(months))
 
 
 def queries():
@@ -528,28 +546,28 @@ def queries():
         "monthly_lpa_join": _monthly_lpa_join,
         "seasonal_lpa_join": _seasonal_lpa_join,
         "june_features_join": joined,
-        "district_stats_join": _district_stats_join,
+        "district_stats_join": joined_with_stats,
         "score_lookup": _score_lookup,
         "probability_lookup": _probability_lookup,
         "advice_lookup": _advice_lookup,
         # Aggregations
         "monthly_totals": monthly,
-        "seasonal_totals": lambda s, d: _on_grid(rollup.seasonal_totals(daily(s, d))),
+        "seasonal_totals": lambda s, d: rollup.seasonal_totals(daily(s, d)),
         "seasonal_from_monthly": seasonal,
-        "monthly_lpa": lambda s, d: _rounded(departure.monthly_lpa(monthly(s, d)), 6, "lpa_mm"),
-        "seasonal_lpa": lambda s, d: _rounded(departure.seasonal_lpa(seasonal(s, d)), 6, "lpa_mm"),
+        "monthly_lpa": lambda s, d: departure.monthly_lpa(monthly(s, d)),
+        "seasonal_lpa": lambda s, d: departure.seasonal_lpa(seasonal(s, d)),
         "above_normal_probability": probability,
-        "district_stats": lambda s, d: _stats_rounded(features.district_stats(kharif(s, d))),
+        "district_stats": lambda s, d: features.district_stats(kharif(s, d)),
         "coverage_summary": lambda s, d: quality.coverage_summary(standardise(raw_readings(s, d))),
         "missing_summary": lambda s, d: quality.missing_summary(daily(s, d, keep_raw=True)),
         "class_balance": lambda s, d: quality.class_balance(kharif(s, d)),
         "departure_matrix": _departure_matrix,
-        "june_lpa": lambda s, d: _rounded(features.june_lpa(monthly_dep(s, d)), 6, "june_lpa_mm"),
+        "june_lpa": lambda s, d: features.june_lpa(monthly_dep(s, d)),
         "cv_summary": _cv_summary,
         # Windows and time series
         "interpolate_linear": _interpolate_linear,
         "fill_edges": _fill_edges,
-        "clean_daily": lambda s, d: _rounded(daily(s, d), 9, "rainfall_mm"),
+        "clean_daily": daily,
         "monthly_departure": monthly_dep,
         "seasonal_departure": lambda s, d: departure.seasonal_departure(seasonal(s, d)),
         "last_season": lambda s, d: reports.last_season(seasonal_dep(s, d)),
@@ -598,8 +616,8 @@ def queries():
         "low_accuracy_warning": lambda s, d: _customer_share(s, d).select("c_custkey", classes.low_accuracy(F.col("chance")).alias("low_accuracy")),
         "advice_text": _advice_text,
         # Model
-        "feature_matrix": lambda s, d: _stats_rounded(matrix(s, d)),
-        "feature_columns": lambda s, d: _stats_rounded(matrix(s, d)).select(*FEATURE_COLUMNS),
+        "feature_matrix": matrix,
+        "feature_columns": lambda s, d: matrix(s, d).select(*FEATURE_COLUMNS),
         "balanced_weights": lambda s, d: features.balanced_weights(_stored_matrix(s, d)).select(
             "district_name", "state_name", "year", "target_above_normal", "class_weight"),
         "train_forest": _train_forest,
@@ -613,12 +631,21 @@ def queries():
         "run_trainer_counts": lambda s, d: _run_trainer(s, d).select(
             "rows_given", "rows_without_june", "rows_incomplete", "rows_trained"),
         "leave_one_out_folds": lambda s, d: _leave_one_out(s, d).select("fold", "n_rows"),
-        "leave_one_out_hashed": lambda s, d: forest.leave_one_out(_stored_matrix(s, d), "hash", 3, trees=10).agg(
-            F.sum("n_rows").alias("n_rows")),
+        "leave_one_out_hashed": lambda s, d: forest.leave_one_out(_stored_matrix(s, d), "hash").select("fold", "n_rows"),
+        "out_of_bag": _out_of_bag,
+        "out_of_bag_judges": lambda s, d: _out_of_bag(s, d).select(
+            "district_name", "state_name", "year", "target_above_normal", "n_judges"),
         "train_forest_rows": lambda s, d: _train_forest(s, d).drop("prediction"),
         "feature_importance_names": lambda s, d: _feature_importance(s, d).select("feature"),
         "score_requests_known": lambda s, d: _score_requests(s, d).select(
-            "district", "state", "june_rainfall_mm", "june_departure_pct", "state_known", "error"),
+            "request_id", "district", "state", "june_rainfall_mm", "june_departure_pct", "state_known", "error"),
+        "feature_importance_checks": lambda s, d: _importance_checks(_feature_importance(s, d)),
+        "write_report_checks": lambda s, d: _importance_checks(_write_report(s, d)),
+        "save_load_model_checks": _save_load_checks,
+        "model_metadata_known": lambda s, d: _model_metadata(s, d).select(
+            F.array_join("feature_columns", " ").alias("feature_columns"), "above_normal_threshold", "predictor_month",
+            "target_season", F.col("cv_mean_accuracy").between(0, 1).alias("accuracy_in_range")),
+        "score_requests_checks": _score_checks,
         # Reports
         "district_overview": _district_overview,
         "district_overview_forecast": _overview_with_forecast,

@@ -1,13 +1,11 @@
 """DuckDB SQL with the same results as the registered queries.
 
 Written straight from the rules and not from the Spark code: seasons come from the
-daily rows, averages from joins, gap filling from frames over whole series. Totals
-lie on a grid of 1/1024 mm, see ``catalog``; for the job as a whole, readings do.
+daily rows, averages from joins, gap filling from frames over whole series. Sums are taken
+over whole numbers of 2**-65, so that they do not depend on the order of addition.
 Limits are written out here; texts are shared.
 """
 
-import re
-
 from pluvigrid.functions import fixed_values
 
 
@@ -34,8 +32,14 @@ def _even(expr: str, digits: int) -> str:
     return f"CAST(round_even(({expr}) * {scale}, 0) / {scale} AS DOUBLE)"
 
 
-def _grid(expr: str) -> str:
-    return f"CAST(round_even(({expr}) * 1024e0, 0) / 1024e0 AS DOUBLE)"
+def _exact(expr: str) -> str:
+    """The double nearest to the sum, with every value in units of 2**-65."""
+    units = f"SUM(CAST(round_even(({expr}) * 36893488147419103232e0, 0) AS HUGEINT))"
+    return f"CAST(CAST({units} AS VARCHAR) AS DOUBLE) / 36893488147419103232e0"
+
+
+def _mean(expr: str) -> str:
+    return f"{_exact(expr)} / COUNT({expr})"
 
 
 def _season(month: str) -> str:
@@ -93,24 +97,20 @@ _WITHS = {
     "daily": (("neighbours",), """
         SELECT date, state_name, district_name, coalesce(reading_mm, (nv - pv) / (nk - pk) * (rn - pk) + pv, pv, nv)
                AS rainfall_mm, reading_mm, year, month, week_number, season FROM neighbours"""),
-    "monthly_sums": (("daily",), """
-        SELECT state_name, district_name, year, month, coalesce(SUM(rainfall_mm), 0) AS total_rainfall_mm,
+    "monthly": (("daily",), f"""
+        SELECT state_name, district_name, year, month, coalesce({_exact('rainfall_mm')}, 0) AS total_rainfall_mm,
                COUNT(CASE WHEN rainfall_mm > 2.5 THEN 1 END) AS rainy_days, COUNT(rainfall_mm) AS data_days
         FROM daily GROUP BY 1, 2, 3, 4"""),
-    "monthly": (("monthly_sums",), f"""
-        SELECT * REPLACE ({_grid('total_rainfall_mm')} AS total_rainfall_mm) FROM monthly_sums"""),
-    "seasonal_sums": (("daily",), """
+    "seasonal": (("daily",), f"""
         SELECT state_name, district_name,
                CAST(CASE WHEN season = 'Rabi' AND month <= 2 THEN year - 1 ELSE year END AS INT) AS year, season,
-               coalesce(SUM(rainfall_mm), 0) AS total_rainfall_mm,
+               coalesce({_exact('rainfall_mm')}, 0) AS total_rainfall_mm,
                COUNT(CASE WHEN rainfall_mm > 2.5 THEN 1 END) AS rainy_days, COUNT(rainfall_mm) AS data_days
         FROM daily GROUP BY 1, 2, 3, 4"""),
-    "seasonal": (("seasonal_sums",), f"""
-        SELECT * REPLACE ({_grid('total_rainfall_mm')} AS total_rainfall_mm) FROM seasonal_sums"""),
-    "monthly_lpa": (("monthly",), """
-        SELECT district_name, month, AVG(total_rainfall_mm) AS lpa_mm FROM monthly GROUP BY 1, 2"""),
-    "seasonal_lpa": (("seasonal",), """
-        SELECT district_name, season, AVG(total_rainfall_mm) AS lpa_mm FROM seasonal GROUP BY 1, 2"""),
+    "monthly_lpa": (("monthly",), f"""
+        SELECT district_name, month, {_mean('total_rainfall_mm')} AS lpa_mm FROM monthly GROUP BY 1, 2"""),
+    "seasonal_lpa": (("seasonal",), f"""
+        SELECT district_name, season, {_mean('total_rainfall_mm')} AS lpa_mm FROM seasonal GROUP BY 1, 2"""),
     "monthly_dep": (("monthly", "monthly_lpa"), f"""
         SELECT *, {_anomaly('departure_pct')} AS anomaly_category FROM (
           SELECT m.*, {_even('lpa_mm', 2)} AS lpa_mm,
@@ -129,16 +129,19 @@ _WITHS = {
     "kharif": (("seasonal_dep",), """
         SELECT *, CASE WHEN departure_pct > 5.0 THEN 1 ELSE 0 END AS target_above_normal
         FROM seasonal_dep WHERE season = 'Kharif'"""),
-    "stats": (("kharif",), """
-        SELECT district_name, AVG(total_rainfall_mm) AS district_mean_mm,
-               stddev_samp(total_rainfall_mm) AS district_std_mm,
-               stddev_samp(total_rainfall_mm) / AVG(total_rainfall_mm) AS district_cv
-        FROM kharif GROUP BY 1"""),
+    "means": (("kharif",), f"""
+        SELECT district_name, {_mean('total_rainfall_mm')} AS district_mean_mm FROM kharif GROUP BY 1"""),
+    "stats": (("kharif", "means"), f"""
+        SELECT *, district_std_mm / district_mean_mm AS district_cv FROM (
+          SELECT district_name, any_value(district_mean_mm) AS district_mean_mm,
+                 CASE WHEN COUNT(*) > 1 THEN sqrt({_exact('(total_rainfall_mm - district_mean_mm) * (total_rainfall_mm - district_mean_mm)')}
+                   / (COUNT(*) - 1)) END AS district_std_mm
+          FROM kharif JOIN means USING (district_name) GROUP BY 1) t"""),
     "june": (("monthly_dep",), """
         SELECT district_name, year, total_rainfall_mm AS june_rainfall_mm, departure_pct AS june_departure_pct
         FROM monthly_dep WHERE month = 6"""),
-    "june_lpa": (("monthly_dep",), """
-        SELECT district_name, AVG(lpa_mm) AS june_lpa_mm FROM monthly_dep WHERE month = 6 GROUP BY 1"""),
+    "june_lpa": (("monthly_dep",), f"""
+        SELECT district_name, {_mean('lpa_mm')} AS june_lpa_mm FROM monthly_dep WHERE month = 6 GROUP BY 1"""),
     "district_codes": (("kharif",), """
         SELECT DISTINCT district_name, CAST(dense_rank() OVER (ORDER BY district_name) - 1 AS INT) AS district_encoded
         FROM kharif"""),
@@ -149,8 +152,8 @@ _WITHS = {
         SELECT district_name, state_name, k.year AS year, target_above_normal, june_rainfall_mm, june_departure_pct
         FROM kharif k LEFT JOIN june USING (district_name, year)"""),
     "all_features": (("joined", "stats", "district_codes", "state_codes"), f"""
-        SELECT j.*, {_even('district_mean_mm', 6)} AS district_mean_mm, {_even('district_std_mm', 6)} AS district_std_mm,
-               {_even('district_cv', 6)} AS district_cv,
+        SELECT j.*, district_mean_mm AS district_mean_mm, district_std_mm AS district_std_mm,
+               district_cv AS district_cv,
                {_even('june_rainfall_mm / district_mean_mm', 4)} AS june_vs_district_mean,
                CASE WHEN june_departure_pct > 5 THEN 1 ELSE 0 END AS june_was_above_normal,
                district_encoded, state_encoded
@@ -198,24 +201,8 @@ _WITHS = {
                {_even('stddev_pop(accuracy)', 9)} AS cv_std_accuracy,
                {_band('AVG(accuracy)', VERDICTS, 1)} AS verdict, AVG(accuracy) * 100 < 65 AS low_accuracy
         FROM order_years"""),
-    "job_daily": (("daily",), f"SELECT * REPLACE ({_grid('rainfall_mm')} AS rainfall_mm) FROM daily"),
-    "job_monthly": (("job_monthly_sums",), "SELECT * FROM job_monthly_sums"),
-    "job_seasonal": (("job_seasonal_sums",), "SELECT * FROM job_seasonal_sums"),
 }
 
-# The same steps over the readings of the whole job: totals are exact without a grid of their own.
-_JOB = (
-    "daily", "monthly_sums", "monthly", "seasonal_sums", "seasonal", "monthly_lpa", "seasonal_lpa", "monthly_dep",
-    "seasonal_dep", "probability", "kharif", "stats", "june", "june_lpa", "joined", "district_codes", "state_codes", "found", "defaulted",
-)
-_JOB_TABLE = re.compile(r"\b(FROM|JOIN) (" + "|".join(_JOB) + r")\b")
-for _name in _JOB:
-    if f"job_{_name}" not in _WITHS:
-        _needs, _body = _WITHS[_name]
-        _WITHS[f"job_{_name}"] = (
-            tuple(f"job_{n}" if n in _JOB else n for n in _needs), _JOB_TABLE.sub(r"\1 job_\2", _body)
-        )
-
 
 def _needed(names, seen):
     for name in names:
@@ -230,6 +217,12 @@ def _sql(body: str, *tables: str) -> str:
     return f"WITH {ctes}\n{body}" if ctes else body
 
 
+def _unit(*more: str) -> str:
+    """A number in [0, 1) from a feature row's keys."""
+    keys = ", ".join(f"{c}::VARCHAR" for c in ("district_name", "state_name", "year", *more))
+    return f"(('0x' || substr(md5(concat_ws('|', {keys})), 1, 8))::BIGINT / 4294967296e0)"
+
+
 _PREVIEW = "district_name, year, month, total_rainfall_mm, lpa_mm, departure_pct, anomaly_category"
 _DAILY = "date, state_name, district_name, rainfall_mm, year, month, week_number, season"
 _CUSTOMER_SHARE = "c_acctbal / 10000"
@@ -272,10 +265,10 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT CAST(o_orderdate AS DATE), """ + _even("SUM(o_totalprice)", 2) + """, NULL, o_orderpriority
             FROM orders GROUP BY 1, 4""",
-        "read_seasonal": _sql("SELECT * FROM job_seasonal_dep", "job_seasonal_dep"),
-        "read_monthly": _sql("SELECT * FROM job_monthly_dep", "job_monthly_dep"),
-        "load_processed": _sql("SELECT * FROM job_probability", "job_probability"),
-        "process_daily": _sql(f"SELECT {_DAILY} FROM job_daily", "job_daily"),
+        "read_seasonal": _sql("SELECT * FROM seasonal_dep", "seasonal_dep"),
+        "read_monthly": _sql("SELECT * FROM monthly_dep", "monthly_dep"),
+        "load_processed": _sql("SELECT * FROM probability", "probability"),
+        "process_daily": _sql(f"SELECT {_DAILY} FROM daily", "daily"),
         "process_summary": _sql(
             """SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS rejected, COUNT(*) - COUNT(reading_mm) AS missing_before,
                COUNT(*) - COUNT(rainfall_mm) AS missing_after, MIN(date) AS first_date, MAX(date) AS last_date,
@@ -285,7 +278,7 @@ def oracle_sql() -> dict[str, str]:
             """SELECT "Date" >= DATE '1998-07-01' AS with_note, COUNT(*) AS n_rows FROM raw GROUP BY 1""", "raw"),
         "write_outputs": _sql(counted, "daily", "monthly", "seasonal", "probability"),
         "output_row_counts": _sql(counted, "daily", "monthly", "seasonal", "probability"),
-        "process_readings": _sql("SELECT * FROM job_seasonal_dep", "job_seasonal_dep"),
+        "process_readings": _sql("SELECT * FROM seasonal_dep", "seasonal_dep"),
         # Projections, filters, predicates
         "rename_columns": _sql(
             'SELECT "Date" AS date, "State" AS state_name, "District" AS district_name, '
@@ -312,29 +305,29 @@ def oracle_sql() -> dict[str, str]:
         "default_values": _sql(
             f"""SELECT request_id, district_name, state_name, june_rainfall_mm,
                 coalesce(district_encoded, -1) AS district_encoded, district_known,
-                state_known, {_even('district_mean_mm', 6)} AS district_mean_mm,
-                {_even('district_std_mm', 6)} AS district_std_mm, {_even('district_cv', 6)} AS district_cv,
-                {_even('june_lpa_mm', 6)} AS june_lpa_mm, state_encoded FROM defaulted""", "defaulted"),
+                state_known, district_mean_mm AS district_mean_mm,
+                district_std_mm AS district_std_mm, district_cv AS district_cv,
+                june_lpa_mm AS june_lpa_mm, state_encoded FROM defaulted""", "defaulted"),
         "validate_june_input": _sql(
             """SELECT *, CASE WHEN june_rainfall_mm BETWEEN 0 AND 1000 THEN NULL
                ELSE 'June rainfall must be between 0 and 1000 mm' END AS input_error FROM requests""", "requests"),
         # Joins
         "monthly_lpa_join": _sql(
-            f"SELECT m.*, {_even('lpa_mm', 6)} AS lpa_mm FROM monthly m LEFT JOIN monthly_lpa "
+            f"SELECT m.*, lpa_mm AS lpa_mm FROM monthly m LEFT JOIN monthly_lpa "
             "USING (district_name, month)", "monthly", "monthly_lpa"),
         "seasonal_lpa_join": _sql(
-            f"SELECT s.*, {_even('lpa_mm', 6)} AS lpa_mm FROM seasonal s LEFT JOIN seasonal_lpa "
+            f"SELECT s.*, lpa_mm AS lpa_mm FROM seasonal s LEFT JOIN seasonal_lpa "
             "USING (district_name, season)", "seasonal", "seasonal_lpa"),
         "june_features_join": _sql("SELECT * FROM joined", "joined"),
         "district_stats_join": _sql(
-            f"""SELECT j.*, {_even('district_mean_mm', 6)} AS district_mean_mm,
-                {_even('district_std_mm', 6)} AS district_std_mm, {_even('district_cv', 6)} AS district_cv
+            f"""SELECT j.*, district_mean_mm AS district_mean_mm,
+                district_std_mm AS district_std_mm, district_cv AS district_cv
                 FROM joined j LEFT JOIN stats USING (district_name)""", "joined", "stats"),
         "score_lookup": _sql(
             f"""SELECT * EXCLUDE (district_mean_mm, district_std_mm, june_lpa_mm, district_encoded, state_encoded),
                 coalesce(district_encoded, -1) AS district_encoded, coalesce(state_encoded, -1) AS state_encoded,
-                {_even('district_mean_mm', 6)} AS district_mean_mm, {_even('district_std_mm', 6)} AS district_std_mm,
-                {_even('june_lpa_mm', 6)} AS june_lpa_mm FROM found""", "found"),
+                district_mean_mm AS district_mean_mm, district_std_mm AS district_std_mm,
+                june_lpa_mm AS june_lpa_mm FROM found""", "found"),
         "probability_lookup": _sql(
             """SELECT request_id, district_name, state_name, june_rainfall_mm,
                coalesce(years_above_normal, 0) AS years_above_normal, coalesce(total_years, 0) AS total_years,
@@ -350,13 +343,13 @@ def oracle_sql() -> dict[str, str]:
         "seasonal_totals": _sql("SELECT * FROM seasonal", "seasonal"),
         "seasonal_from_monthly": _sql("SELECT * FROM seasonal", "seasonal"),
         "monthly_lpa": _sql(
-            f"SELECT district_name, month, {_even('lpa_mm', 6)} AS lpa_mm FROM monthly_lpa", "monthly_lpa"),
+            f"SELECT district_name, month, lpa_mm AS lpa_mm FROM monthly_lpa", "monthly_lpa"),
         "seasonal_lpa": _sql(
-            f"SELECT district_name, season, {_even('lpa_mm', 6)} AS lpa_mm FROM seasonal_lpa", "seasonal_lpa"),
+            f"SELECT district_name, season, lpa_mm AS lpa_mm FROM seasonal_lpa", "seasonal_lpa"),
         "above_normal_probability": _sql("SELECT * FROM probability", "probability"),
         "district_stats": _sql(
-            f"""SELECT district_name, {_even('district_mean_mm', 6)} AS district_mean_mm,
-                {_even('district_std_mm', 6)} AS district_std_mm, {_even('district_cv', 6)} AS district_cv
+            f"""SELECT district_name, district_mean_mm AS district_mean_mm,
+                district_std_mm AS district_std_mm, district_cv AS district_cv
                 FROM stats""", "stats"),
         "coverage_summary": _sql(
             """SELECT MIN(date) AS first_date, MAX(date) AS last_date, COUNT(DISTINCT district_name) AS n_districts,
@@ -375,16 +368,16 @@ def oracle_sql() -> dict[str, str]:
                CAST(year AS VARCHAR) AS year, AVG(departure_pct) AS departure_pct
                FROM monthly_dep GROUP BY ALL""", "monthly_dep"),
         "june_lpa": _sql(
-            f"SELECT district_name, {_even('june_lpa_mm', 6)} AS june_lpa_mm FROM june_lpa", "june_lpa"),
+            f"SELECT district_name, june_lpa_mm AS june_lpa_mm FROM june_lpa", "june_lpa"),
         "cv_summary": _sql("SELECT * FROM cv", "cv"),
         # Windows and time series
         "interpolate_linear": _sql(
-            f"""SELECT date, district_name, {_even('coalesce(reading_mm, (nv - pv) / (nk - pk) * (rn - pk) + pv, pv)', 9)}
+            f"""SELECT date, district_name, coalesce(reading_mm, (nv - pv) / (nk - pk) * (rn - pk) + pv, pv)
                 AS rainfall_mm FROM neighbours""", "neighbours"),
         "fill_edges": _sql(
-            f"SELECT date, district_name, {_even('rainfall_mm', 9)} AS rainfall_mm FROM daily", "daily"),
+            "SELECT date, district_name, rainfall_mm FROM daily", "daily"),
         "clean_daily": _sql(
-            f"SELECT {_DAILY.replace('rainfall_mm', _even('rainfall_mm', 9) + ' AS rainfall_mm')} FROM daily", "daily"),
+            f"SELECT {_DAILY} FROM daily", "daily"),
         "monthly_departure": monthly_dep,
         "seasonal_departure": seasonal_dep,
         "last_season": _sql("SELECT * FROM latest", "latest"),
@@ -436,12 +429,12 @@ def oracle_sql() -> dict[str, str]:
         "june_was_above_normal": _sql("SELECT district_name, year, june_was_above_normal FROM all_features", "all_features"),
         "serving_features": _sql(
             f"""SELECT request_id, june_rainfall_mm,
-                {_even(_departure('june_rainfall_mm', 'june_lpa_mm'), 6)} AS june_departure_pct,
-                {_even('CASE WHEN district_mean_mm > 0 THEN june_rainfall_mm / district_mean_mm ELSE 1.0e0 END', 6)}
+                {_departure('june_rainfall_mm', 'june_lpa_mm')} AS june_departure_pct,
+                CASE WHEN district_mean_mm > 0 THEN june_rainfall_mm / district_mean_mm ELSE 1.0e0 END
                   AS june_vs_district_mean,
                 CASE WHEN {_departure('june_rainfall_mm', 'june_lpa_mm')} > 5 THEN 1 ELSE 0 END AS june_was_above_normal,
-                {_even('district_mean_mm', 6)} AS district_mean_mm, {_even('district_std_mm', 6)} AS district_std_mm,
-                {_even('district_cv', 6)} AS district_cv, coalesce(district_encoded, -1) AS district_encoded,
+                district_mean_mm AS district_mean_mm, district_std_mm AS district_std_mm,
+                district_cv AS district_cv, coalesce(district_encoded, -1) AS district_encoded,
                 state_encoded FROM defaulted""",
             "defaulted"),
         "probability_band": f"""
@@ -478,33 +471,51 @@ def oracle_sql() -> dict[str, str]:
                     USING (target_above_normal)""", "features"),
         # Model: what does not depend on the forest
         "run_trainer_counts": _sql(
-            """SELECT (SELECT COUNT(*) FROM job_joined) AS rows_given,
-               (SELECT COUNT(*) FROM job_joined WHERE june_rainfall_mm IS NULL OR june_departure_pct IS NULL)
+            """SELECT (SELECT COUNT(*) FROM joined) AS rows_given,
+               (SELECT COUNT(*) FROM joined WHERE june_rainfall_mm IS NULL OR june_departure_pct IS NULL)
                  AS rows_without_june,
-               (SELECT COUNT(*) FROM job_joined JOIN job_stats USING (district_name) WHERE june_rainfall_mm IS NOT NULL
+               (SELECT COUNT(*) FROM joined JOIN stats USING (district_name) WHERE june_rainfall_mm IS NOT NULL
                  AND june_departure_pct IS NOT NULL AND district_std_mm IS NULL) AS rows_incomplete,
-               (SELECT COUNT(*) FROM job_joined JOIN job_stats USING (district_name) WHERE june_rainfall_mm IS NOT NULL
+               (SELECT COUNT(*) FROM joined JOIN stats USING (district_name) WHERE june_rainfall_mm IS NOT NULL
                  AND june_departure_pct IS NOT NULL AND district_std_mm IS NOT NULL) AS rows_trained""",
-            "job_joined", "job_stats"),
+            "joined", "stats"),
         "leave_one_out_folds": _sql(
             """SELECT CAST(year AS VARCHAR) AS fold, COUNT(*) AS n_rows FROM features
                WHERE district_std_mm IS NOT NULL GROUP BY 1""", "features"),
-        "leave_one_out_hashed": _sql("SELECT COUNT(*) AS n_rows FROM features WHERE district_std_mm IS NOT NULL", "features"),
+        "leave_one_out_hashed": _sql(
+            f"""SELECT CAST(CAST(floor({_unit()} * 10) AS INT) AS VARCHAR) AS fold, COUNT(*) AS n_rows FROM features
+                WHERE district_std_mm IS NOT NULL GROUP BY 1""", "features"),
+        "out_of_bag_judges": _sql(
+            f"""SELECT district_name, state_name, year, target_above_normal, CAST(COUNT(CASE WHEN {_unit('r')} < exp(-1)
+                  OR floor({_unit()} * 10) = r THEN 1 END) AS INT) AS n_judges
+                FROM (SELECT *, unnest(range(10)) AS r FROM features WHERE district_std_mm IS NOT NULL) t
+                GROUP BY ALL""", "features"),
         "train_forest_rows": _sql("SELECT district_name, state_name, year, target_above_normal FROM features", "features"),
         "feature_importance_names": "SELECT unnest(["
             "'june_rainfall_mm', 'june_departure_pct', 'june_vs_district_mean', 'june_was_above_normal', "
             "'district_mean_mm', 'district_std_mm', 'district_cv', 'district_encoded', 'state_encoded']) AS feature",
         "score_requests_known": _sql(
-            f"""SELECT district_name AS district, state_name AS state, june_rainfall_mm, state_known,
+            f"""SELECT request_id, district_name AS district, state_name AS state, june_rainfall_mm, state_known,
                 CASE WHEN error IS NULL THEN departure END AS june_departure_pct, error
                 FROM (SELECT *, {_even(_departure('june_rainfall_mm', 'june_lpa_mm'), 2)} AS departure,
                       CASE WHEN NOT district_known THEN 'District ''' || district_name ||
                              ''' was not in training data. Available: [' ||
                              (SELECT string_agg('''' || district_name || '''', ', ' ORDER BY district_encoded)
-                              FROM job_district_codes WHERE district_encoded < 5) || ']...'
+                              FROM district_codes WHERE district_encoded < 5) || ']...'
                            WHEN june_rainfall_mm BETWEEN 0 AND 1000 THEN NULL
                            ELSE 'June rainfall must be between 0 and 1000 mm' END AS error
-                      FROM job_defaulted) t""", "job_defaulted", "job_district_codes"),
+                      FROM defaulted) t""", "defaulted", "district_codes"),
+        "feature_importance_checks": "SELECT CAST(9 AS BIGINT) AS n_features, 1.0e0 AS total, true AS all_shares",
+        "write_report_checks": "SELECT CAST(9 AS BIGINT) AS n_features, 1.0e0 AS total, true AS all_shares",
+        "save_load_model_checks": _sql("SELECT COUNT(*) AS n_rows, COUNT(*) AS n_same FROM features", "features"),
+        "model_metadata_known": """
+            SELECT 'june_rainfall_mm june_departure_pct june_vs_district_mean june_was_above_normal district_mean_mm '
+                   || 'district_std_mm district_cv district_encoded state_encoded' AS feature_columns,
+                   5.0e0 AS above_normal_threshold, CAST(6 AS BIGINT) AS predictor_month, 'Kharif' AS target_season,
+                   true AS accuracy_in_range""",
+        "score_requests_checks": _sql(
+            """SELECT request_id, district_known AND coalesce(june_rainfall_mm BETWEEN 0 AND 1000, false) AS answered,
+               true AS in_range FROM found""", "found"),
         # Reports
         "district_overview": _sql(
             f"""SELECT district_name, last_year, last_total_mm, last_departure_pct, last_lpa_mm, years_above_normal,
@@ -521,7 +532,7 @@ def oracle_sql() -> dict[str, str]:
         "input_defaults": _sql(
             f"""SELECT state_name, district_name, CAST(printf('%.1f', lpa) AS DOUBLE) AS june_default_mm,
                 'Historical June LPA for ' || district_name || ': ' || printf('%.1f', lpa) || ' mm' AS june_help
-                FROM (SELECT s.*, coalesce({_even('june_lpa_mm', 6)}, 100.0e0) AS lpa
+                FROM (SELECT s.*, coalesce(june_lpa_mm, 100.0e0) AS lpa
                       FROM (SELECT DISTINCT state_name, district_name FROM seasonal) s
                            LEFT JOIN june_lpa USING (district_name)) t""", "seasonal", "june_lpa"),
     }

@@ -4,12 +4,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvigrid.functions.classes import above_normal_flag, classify_anomaly
+from pluvigrid.functions.exact import exact_avg
 from pluvigrid.functions.numbers import departure_pct, round_even
 from pluvigrid.operators.filters import not_null_values
 
 
 def _lpa(totals: DataFrame, period: str) -> DataFrame:
-    return totals.groupBy("district_name", period).agg(F.avg("total_rainfall_mm").alias("lpa_mm"))
+    return totals.groupBy("district_name", period).agg(exact_avg(F.col("total_rainfall_mm")).alias("lpa_mm"))
 
 
 def monthly_lpa(monthly: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def _departure(totals: DataFrame, period: str) -> DataFrame:
     # A group holds one total per year (and state of the same district name): it does
     # not grow with the number of readings, so a window is cheaper than a self-join.
     same_period = Window.partitionBy("district_name", period)
-    return measure_departure(totals.withColumn("lpa_mm", F.avg("total_rainfall_mm").over(same_period)))
+    return measure_departure(totals.withColumn("lpa_mm", exact_avg(F.col("total_rainfall_mm"), same_period)))
 
 
 def monthly_departure(monthly: DataFrame) -> DataFrame:

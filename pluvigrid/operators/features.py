@@ -1,9 +1,10 @@
 """Feature matrix of the season forecast, for training and for serving."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvigrid.functions.classes import above_normal_flag
+from pluvigrid.functions.exact import deviation, exact_avg
 from pluvigrid.functions.fixed_values import (
     DEFAULT_CV,
     DEFAULT_JUNE_LPA_MM,
@@ -42,10 +43,13 @@ def june_rows(monthly: DataFrame) -> DataFrame:
 def district_stats(kharif: DataFrame) -> DataFrame:
     """Mean, sample deviation and their ratio per district; one year has no deviation."""
     total = F.col("total_rainfall_mm")
+    # A district has one row per year and state. Deviations are taken from the mean, in a second look at them.
+    mean = exact_avg(total, Window.partitionBy("district_name"))
     return (
         kharif.where(F.col("district_name").isNotNull())
+        .withColumn("__mean", mean)
         .groupBy("district_name")
-        .agg(F.avg(total).alias("district_mean_mm"), F.stddev_samp(total).alias("district_std_mm"))
+        .agg(F.max("__mean").alias("district_mean_mm"), deviation(total, F.col("__mean")).alias("district_std_mm"))
         .withColumn("district_cv", ratio(F.col("district_std_mm"), F.col("district_mean_mm")))
     )
 
@@ -53,7 +57,7 @@ def district_stats(kharif: DataFrame) -> DataFrame:
 def june_lpa(monthly: DataFrame) -> DataFrame:
     """Mean stored June LPA per district."""
     june = filter_month(monthly, PREDICTOR_MONTH).where(F.col("district_name").isNotNull())
-    return june.groupBy("district_name").agg(F.avg("lpa_mm").alias("june_lpa_mm"))
+    return june.groupBy("district_name").agg(exact_avg(F.col("lpa_mm")).alias("june_lpa_mm"))
 
 
 def june_features_join(kharif: DataFrame, june: DataFrame) -> DataFrame:
@@ -128,9 +132,11 @@ def feature_matrix(
     return drop_missing_june(season_rows(seasonal, monthly, codes))
 
 
-def balanced_weights(features: DataFrame, target: str = "target_above_normal") -> DataFrame:
-    """Adds ``class_weight`` = rows / (classes * rows of the class)."""
-    sizes = features.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+def balanced_weights(
+    features: DataFrame, target: str = "target_above_normal", times: Column | None = None
+) -> DataFrame:
+    """Adds ``class_weight`` = rows / (classes * rows of the class); with ``times``, a row counts so often."""
+    sizes = features.groupBy(target).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("n"))
     # One row per class, so two at most.
     classes = Window.partitionBy(F.lit(0))
     weight = F.sum("n").over(classes) / (F.count("n").over(classes) * F.col("n"))

@@ -1,12 +1,13 @@
 """The season forecast model: Spark ML random forest, evaluation and batch scoring."""
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pluvigrid.functions.classes import (
@@ -37,6 +38,9 @@ from pluvigrid.operators.filters import not_null_values
 
 _PARALLEL_FITS = 4
 FOLDS = 10
+REPLICAS = 10
+# Chances that a row is drawn at most 0, 1, 2, ... times, as often as rows are, one by one.
+DRAWN = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
 ROWS_PER_PARTITION = 20_000
 # Both classes are declared, so training data with only one of them still fits.
 _TWO_CLASSES = {"ml_attr": {"type": "nominal", "name": "label", "vals": ["0", "1"]}}
@@ -51,17 +55,21 @@ def trainable_rows(features: DataFrame) -> DataFrame:
     return not_null_values(features, *FEATURE_COLUMNS)
 
 
-def train_forest(features: DataFrame, trees: int = FOREST_TREES, seed: int = FOREST_SEED) -> PipelineModel:
-    """Class weights come from the given rows, so each fold has its own.
+def train_forest(
+    features: DataFrame, trees: int = FOREST_TREES, seed: int = FOREST_SEED, times: str | None = None
+) -> PipelineModel:
+    """Class weights come from the given rows, so each fold has its own; a row counts ``times`` a row.
 
     Rows are placed by key and sorted, because the forest's sampling depends on how
     rows are laid out: the same rows give the same forest on any cluster.
     """
     rows = trainable_rows(features)
     parts = rows.count() // ROWS_PER_PARTITION + 1
-    weighted = balanced_weights(rows).withColumn(
+    weighted = balanced_weights(rows, times=F.col(times) if times else None).withColumn(
         "label", F.col("target_above_normal").cast("double").alias("label", metadata=_TWO_CLASSES)
     )
+    if times:
+        weighted = weighted.withColumn("class_weight", F.col("class_weight") * F.col(times))
     laid_out = weighted.repartition(parts, *KEYS).sortWithinPartitions(*KEYS)
     vectors = _assembler("error").transform(laid_out).select("features", "label", "class_weight")
     forest = RandomForestClassifier(
@@ -76,6 +84,17 @@ def train_forest(features: DataFrame, trees: int = FOREST_TREES, seed: int = FOR
     return PipelineModel([_assembler("keep"), forest.fit(vectors)])
 
 
+def hashed_unit(*values: Column) -> Column:
+    """A number in [0, 1) from the values' texts, the same in every engine that has MD5."""
+    digits = F.substring(F.md5(F.concat_ws("|", *(v.cast("string") for v in values))), 1, 8)
+    return F.conv(digits, 16, 10).cast("double") / 2.0**32
+
+
+def dealt_to(parts: int) -> Column:
+    """The part, 0 to ``parts`` - 1, to which a row is dealt by its keys."""
+    return F.floor(hashed_unit(*map(F.col, KEYS)) * parts).cast("int")
+
+
 def leave_one_out(
     features: DataFrame, fold_column: str = "year", folds: int = FOLDS, trees: int = FOREST_TREES
 ) -> DataFrame:
@@ -88,7 +107,7 @@ def leave_one_out(
     spark = features.sparkSession
     rows = trainable_rows(features)
     if fold_column == "hash":
-        rows = rows.withColumn("hash", F.pmod(F.xxhash64(*KEYS), F.lit(folds)))
+        rows = rows.withColumn("hash", dealt_to(folds))
     elif fold_column != "year":
         raise ValueError(f"folds are by 'year' or 'hash', not {fold_column!r}")
     held = [r[0] for r in rows.select(fold_column).distinct().orderBy(fold_column).collect()]
@@ -106,6 +125,51 @@ def leave_one_out(
     return spark.createDataFrame(scores, "fold STRING, n_rows BIGINT, n_correct BIGINT, accuracy DOUBLE")
 
 
+def times_drawn(replica: int, replicas: int) -> Column:
+    """How often a replica of the rows holds a row: Poisson of mean one by hash, and never if the row is dealt to it."""
+    chance = hashed_unit(*map(F.col, KEYS), F.lit(replica))
+    drawn = F.lit(len(DRAWN))
+    for k in range(len(DRAWN) - 1, -1, -1):
+        drawn = F.when(chance < DRAWN[k], k).otherwise(drawn)
+    return F.when(dealt_to(replicas) == replica, 0).otherwise(drawn)
+
+
+def out_of_bag(features: DataFrame, replicas: int = REPLICAS, trees: int = FOREST_TREES) -> DataFrame:
+    """Every row judged by forests that have not seen it, at a fixed number of fits.
+
+    ``replicas`` forests share the ``trees``, each fitted to its own replica of the rows
+    (:func:`times_drawn`). A row is judged by those whose replica does not hold it, at least by the one it is dealt to:
+    the mean of their chances decides. Rows are scored in one pass, without a shuffle. Adds
+    ``n_judges``, ``chance``, ``prediction`` and ``accuracy``, 1 if that is right, to the trainable rows; :func:`cv_summary` of it
+    is the row-wise hold-out.
+    """
+    rows = trainable_rows(features)
+    held = {r: f"__times_{r}" for r in range(replicas)}
+    drawn = rows.withColumns({name: times_drawn(r, replicas) for r, name in held.items()})
+
+    def fitted(replica):
+        bag = drawn.where(F.col(held[replica]) > 0)
+        return train_forest(bag, max(trees // replicas, 1), FOREST_SEED + replica, held[replica])
+
+    with ThreadPoolExecutor(_PARALLEL_FITS) as pool:
+        models = list(pool.map(fitted, held))
+    judged = models[0].stages[0].transform(drawn)
+    votes, judges = F.lit(0.0), F.lit(0)
+    for replica, model in enumerate(models):
+        # Only the chance is wanted.
+        forest = model.stages[-1].setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"__chance_{replica}")
+        judged = forest.transform(judged)
+        unseen = F.col(held[replica]) == 0
+        votes = votes + F.when(unseen, vector_to_array(f"__chance_{replica}")[1]).otherwise(0.0)
+        judges = judges + F.when(unseen, 1).otherwise(0)
+    decided = judged.withColumns({"n_judges": judges, "chance": votes / judges})
+    prediction = F.when(F.col("chance") > 0.5, 1).otherwise(0)
+    return decided.withColumn("prediction", prediction).select(
+        *rows.columns, "n_judges", "chance", "prediction",
+        (F.col("prediction") == F.col("target_above_normal")).cast("double").alias("accuracy"),
+    )
+
+
 def training_counts(season_rows: DataFrame) -> dict[str, int]:
     """Rows given, dropped for want of June, skipped for another missing input, and trained on."""
     has_june = F.col("june_rainfall_mm").isNotNull() & F.col("june_departure_pct").isNotNull()
@@ -158,6 +222,13 @@ def model_metadata(cv: DataFrame) -> DataFrame:
     )
 
 
+# Columns of a forecast.
+FORECAST = (
+    "district", "state", "june_rainfall_mm", "june_departure_pct", "probability", "category", "colour", "advice",
+    "model_accuracy", "state_known", "error",
+)
+
+
 def score_requests(
     requests: DataFrame,
     model: PipelineModel,
@@ -167,9 +238,16 @@ def score_requests(
     lpa: DataFrame,
     cv_mean_accuracy: float,
 ) -> DataFrame:
-    """Forecast for every request; an unknown district or an impossible June total gets an ``error`` instead."""
+    """Forecast for every request; an unknown district or an impossible June total gets an ``error`` instead.
+
+    All other columns of a request come back with its forecast, in front; one named like a result is replaced.
+    """
     some = [r[0] for r in districts.where(F.col("district_encoded") < 5).orderBy("district_encoded").collect()]
-    found = validate_june_input(score_lookup(requests, districts, states, stats, lpa))
+    asked = ("district_name", "state_name", "june_rainfall_mm")
+    carried = [c for c in requests.columns if c not in (*asked, *FORECAST)]
+    # Packed, so that no name clashes with those of the model's columns.
+    packed = requests.select(*asked, F.struct(F.lit(0), *(F.col(f"`{c}`") for c in carried)).alias("__request"))
+    found = validate_june_input(score_lookup(packed, districts, states, stats, lpa))
     scored = model.transform(serving_features(found))
     chance = vector_to_array("probability")[1]
     unknown = F.concat(
@@ -178,6 +256,7 @@ def score_requests(
     error = F.when(~F.col("district_known"), unknown).otherwise(F.col("input_error"))
     only_known = lambda value: F.when(error.isNull(), value)
     return scored.withColumn("chance", chance).select(
+        *(F.col("__request")[c].alias(c) for c in carried),
         F.col("district_name").alias("district"),
         F.col("state_name").alias("state"),
         "june_rainfall_mm",

@@ -1,8 +1,9 @@
 """Monthly and seasonal totals."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pluvigrid.functions.exact import UNITS, exact_sum, from_units, total_units
 from pluvigrid.functions.calendar import assign_season, season_year
 from pluvigrid.functions.fixed_values import RAINY_DAY_MM
 from pluvigrid.operators.filters import not_null_values
@@ -10,23 +11,33 @@ from pluvigrid.operators.filters import not_null_values
 PLACE = ("state_name", "district_name")
 
 
-def _totals(daily: DataFrame, *period: str) -> DataFrame:
+def _units(daily: DataFrame, *period: str) -> DataFrame:
     keys = [*PLACE, *period]
     amount = F.col("rainfall_mm")
     return (
         not_null_values(daily, *keys)
         .groupBy(*keys)
         .agg(
-            F.coalesce(F.sum(amount), F.lit(0.0)).alias("total_rainfall_mm"),
+            F.coalesce(total_units(amount), F.lit(0).cast(UNITS)).alias("total_units"),
             F.count(F.when(amount > RAINY_DAY_MM, 1)).alias("rainy_days"),
             F.count(amount).alias("data_days"),
         )
     )
 
 
+def rounded_totals(units: DataFrame) -> DataFrame:
+    """``total_rainfall_mm``, the nearest double, in place of exact ``total_units``."""
+    total = from_units(F.col("total_units")).alias("total_rainfall_mm")
+    return units.select(*(total if c == "total_units" else F.col(c) for c in units.columns))
+
+
+def monthly_units(daily: DataFrame) -> DataFrame:
+    """Exact total, rainy days and days with a reading per district and month."""
+    return _units(daily, "year", "month")
+
+
 def monthly_totals(daily: DataFrame) -> DataFrame:
-    """Total, rainy days and days with a reading per district and month."""
-    return _totals(daily, "year", "month")
+    return rounded_totals(monthly_units(daily))
 
 
 def _with_season_year(df: DataFrame) -> DataFrame:
@@ -35,17 +46,26 @@ def _with_season_year(df: DataFrame) -> DataFrame:
 
 def seasonal_totals(daily: DataFrame) -> DataFrame:
     """The same per season, straight from the daily table."""
-    return _totals(_with_season_year(daily), "year", "season")
+    return rounded_totals(_units(_with_season_year(daily), "year", "season"))
 
 
-def seasonal_from_monthly(monthly: DataFrame) -> DataFrame:
-    """Seasons are whole months, so a month table gives the same totals as the days.
+def _seasons(monthly: DataFrame, total: Column) -> DataFrame:
+    seasons = _with_season_year(monthly.withColumn("season", assign_season(F.col("month"))))
+    counts = [F.sum(c).alias(c) for c in ("rainy_days", "data_days")]
+    return seasons.groupBy(*PLACE, "year", "season").agg(total, *counts)
+
+
+def seasonal_units(months: DataFrame) -> DataFrame:
+    """Seasons are whole months, so exact month totals give the same seasons as the days.
 
     About thirty times fewer rows to read than :func:`seasonal_totals`.
     """
-    seasons = _with_season_year(monthly.withColumn("season", assign_season(F.col("month"))))
-    sums = [F.sum(c).alias(c) for c in ("total_rainfall_mm", "rainy_days", "data_days")]
-    return seasons.groupBy(*PLACE, "year", "season").agg(*sums)
+    return _seasons(months, F.sum("total_units").cast(UNITS).alias("total_units"))
+
+
+def seasonal_from_monthly(monthly: DataFrame) -> DataFrame:
+    """The same from a month table, whose totals are rounded: the last bit may differ."""
+    return _seasons(monthly, exact_sum(F.col("total_rainfall_mm")).alias("total_rainfall_mm"))
 
 
 def monthly_sorted(monthly: DataFrame) -> DataFrame:

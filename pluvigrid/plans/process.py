@@ -13,11 +13,12 @@ from pluvigrid.operators.departure import (
     seasonal_departure,
 )
 from pluvigrid.operators.ordering import runs_for
-from pluvigrid.operators.quality import coverage_summary, missing_summary
-from pluvigrid.operators.rollup import monthly_totals, seasonal_from_monthly
-from pluvigrid.session import shared_path, stored
+from pluvigrid.operators.quality import coverage_summary
+from pluvigrid.operators.rollup import monthly_units, rounded_totals, seasonal_units
+from pluvigrid.session import own_session, shared_path, stored
+from pluvigrid.sources import versions
 from pluvigrid.sources.files import remove, size_of
-from pluvigrid.sources.processed import count_table, read_table, write_table
+from pluvigrid.sources.processed import read_table, write_table
 from pluvigrid.sources.readings import read_daily_csv
 
 
@@ -40,7 +41,6 @@ def process_readings(
     chunk: str = "month",
     quarantine_folder: str | None = None,
     multi_line: bool = False,
-    reading_grid: int | None = None,
 ) -> Summary:
     """Clean, fill, roll up, compare with the LPA, and write.
 
@@ -50,7 +50,7 @@ def process_readings(
     """
     raw = read_daily_csv(spark, raw_folder, multi_line, keep_surplus=quarantine_folder is not None)
     if quarantine_folder is None:
-        return process_frame(raw, out_folder, fmt, chunk, reading_grid)
+        return process_frame(raw, out_folder, fmt, chunk)
     marked = shared_path(spark, "marked-readings")
     try:
         rows = stored(mark_rejects(raw), "marked-readings", marked)
@@ -59,7 +59,7 @@ def process_readings(
         bad.write.mode("overwrite").parquet(quarantine_folder)
         rejected = bad.count()
         good = rows.where(reason.isNull()).drop("reject_reason")
-        return process_frame(good, out_folder, fmt, chunk, reading_grid, rejected)
+        return process_frame(good, out_folder, fmt, chunk, rejected)
     finally:
         remove(spark, marked)
 
@@ -69,7 +69,6 @@ def process_frame(
     out_folder: str,
     fmt: str = "parquet",
     chunk: str = "month",
-    reading_grid: int | None = None,
     rejected: int = 0,
 ) -> Summary:
     """The same from a frame of raw readings.
@@ -77,34 +76,40 @@ def process_frame(
     Parsed rows are written as columns to the shared folder first. After that every
     stage reads the table the stage before it wrote; a lost executor never sends the job
     back to the raw files. With ``chunk="range"`` the number of runs follows from the size
-    of the parsed rows. ``reading_grid`` rounds filled readings to that part of a millimetre;
-    with a power of two, totals are exact and so the same in whatever order they add up.
+    of the parsed rows. Months are summed once, exactly, and seasons from them: totals do not depend
+    on the layout of the rows.
+
+    Rows and missing readings are counted by the jobs that write them. All tables become
+    readable together when the last one is written; a job that fails before leaves the old ones.
     """
     spark = raw.sparkSession
-    parsed, scratch = shared_path(spark, "parsed-readings"), shared_path(spark, "neighbours")
+    own = own_session(spark)
+    scratch = {name: shared_path(spark, name) for name in ("parsed-readings", "neighbours", "month-units")}
+    version = versions.staged(out_folder)
+    missing = lambda c: F.count(F.when(F.col(c).isNull(), 1))
     try:
-        readings = stored(parse_readings(raw), "parsed-readings", parsed)
-        runs = runs_for(size_of(spark, parsed)) if chunk == "range" else None
-        daily = fill_daily(readings, chunk, keep_raw=True, runs=runs, scratch=scratch)
-        if reading_grid is not None:
-            daily = daily.withColumn("rainfall_mm", F.rint(F.col("rainfall_mm") * reading_grid) / reading_grid)
-        write_table(daily.drop("reading_mm"), out_folder, "daily", fmt)
-        # Counted from the columns in the shared folder, not from the files just written.
-        counted = missing_summary(daily).first()
+        parsed = parse_readings(raw)
+        stored(parsed, "parsed-readings", scratch["parsed-readings"])
+        readings = own.read.schema(parsed.schema).parquet(scratch["parsed-readings"])
+        runs = runs_for(size_of(spark, scratch["parsed-readings"])) if chunk == "range" else None
+        daily = fill_daily(readings, chunk, keep_raw=True, runs=runs, scratch=scratch["neighbours"])
+        counts = {"missing_before": missing("reading_mm"), "missing_after": missing("rainfall_mm")}
+        seen = {"daily": write_table(daily, version, "daily", fmt, counts)}
+        days = read_table(own, version, "daily", fmt)
+        coverage = coverage_summary(days).first().asDict()
+        months = stored(monthly_units(days), "month-units", scratch["month-units"])
+        seen["monthly"] = write_table(monthly_departure(rounded_totals(months)), version, "monthly", fmt, {})
+        seasons = rounded_totals(seasonal_units(months))
+        seen["seasonal"] = write_table(flag_above_normal(seasonal_departure(seasons)), version, "seasonal", fmt, {})
+        odds = above_normal_probability(read_table(own, version, "seasonal", fmt))
+        seen["probability"] = write_table(odds, version, "probability", fmt, {})
     finally:
-        remove(spark, parsed)
-        remove(spark, scratch)
-    stored_daily = read_table(spark, out_folder, "daily", fmt)
-    coverage = coverage_summary(stored_daily).first().asDict()
-    write_table(monthly_departure(monthly_totals(stored_daily)), out_folder, "monthly", fmt)
-    seasonal = seasonal_from_monthly(read_table(spark, out_folder, "monthly", fmt))
-    write_table(flag_above_normal(seasonal_departure(seasonal)), out_folder, "seasonal", fmt)
-    odds = above_normal_probability(read_table(spark, out_folder, "seasonal", fmt))
-    write_table(odds, out_folder, "probability", fmt)
-    rows = {"daily": counted["n_rows"]}
-    # These have a thirtieth of the daily rows and less.
-    rows |= {name: count_table(spark, out_folder, name, fmt) for name in ("monthly", "seasonal", "probability")}
-    return Summary(rows, rejected, counted["missing_before"], counted["missing_after"], coverage)
+        for path in scratch.values():
+            remove(spark, path)
+    versions.publish(spark, out_folder, version)
+    versions.prune(spark, out_folder)
+    rows = {name: found["n_rows"] for name, found in seen.items()}
+    return Summary(rows, rejected, seen["daily"]["missing_before"], seen["daily"]["missing_after"], coverage)
 
 
 def output_row_counts(spark: SparkSession, counts: dict[str, int]) -> DataFrame:

@@ -27,7 +27,11 @@ def run_trainer(
     fold_column: str = "year",
     folds: int = forest.FOLDS,
 ) -> DataFrame:
-    """Train, evaluate and save; returns one row: the evaluation, and how many rows were used and left out."""
+    """Train, evaluate and save; returns one row: the evaluation, and how many rows were used and left out.
+
+    ``fold_column`` is ``year`` or ``hash``, see :func:`forest.leave_one_out`, or ``row``: every row is
+    judged by forests that have not seen it, see :func:`forest.out_of_bag`.
+    """
     seasonal = read_seasonal(spark, processed_folder, fmt)
     monthly = read_monthly(spark, processed_folder, fmt)
     codes = (district_codes(seasonal), state_codes(seasonal))
@@ -35,7 +39,8 @@ def run_trainer(
     rows = cut_lineage(season_rows(seasonal, monthly, codes))
     features = drop_missing_june(rows)
     counts = {name: F.lit(n).cast("long") for name, n in forest.training_counts(rows).items()}
-    scores = forest.leave_one_out(features, fold_column, folds)
+    row_wise = fold_column == "row"
+    scores = forest.out_of_bag(features) if row_wise else forest.leave_one_out(features, fold_column, folds)
     summary = cut_lineage(forest.cv_summary(scores).withColumns(counts))
     model = forest.train_forest(features)
     save_model(model, forest.model_metadata(summary), *codes, model_folder)

@@ -70,6 +70,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return stored(df, "lineage")
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """Another session with the same settings on the same cluster; what it observes stays out of the caller's."""
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if session.conf.isModifiable(key):
+            session.conf.set(key, value)
+    return session
+
+
 def release(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; frames that read them end here."""
     remove(spark, _application_folder(spark))

@@ -1,11 +1,8 @@
 """File listing through Hadoop's file system API, on any storage Spark can read."""
 
-from concurrent.futures import ThreadPoolExecutor
-
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
-_HEADER_READERS = 16
-
 
 def _path(spark: SparkSession, folder: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -38,21 +35,41 @@ def list_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
     return sorted(str(p.toString()) for p in found if p.getName().endswith(suffix))
 
 
-def first_lines(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The first line with text of each file: one small read per file, several at a time."""
-    jvm = spark.sparkContext._jvm
+def subfolders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders directly in ``folder``."""
+    fs, target = _path(spark, folder)
+    return [str(s.getPath().getName()) for s in fs.listStatus(target) if s.isDirectory()]
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; False if there is one already. Of several processes one succeeds."""
+    fs, target = _path(spark, path)
+    try:
+        fs.create(target, False).close()
+    except Py4JJavaError as error:
+        if fs.exists(target):
+            return False
+        raise error
+    return True
 
-    def first_line(path: str) -> str:
-        fs, target = _path(spark, path)
-        stream = jvm.java.io.InputStreamReader(fs.open(target), "UTF-8")
-        reader = jvm.java.io.BufferedReader(stream)
-        try:
-            line = reader.readLine()
-            while line is not None and not line.strip():
-                line = reader.readLine()
-            return line or ""
-        finally:
-            reader.close()
-
-    with ThreadPoolExecutor(_HEADER_READERS) as pool:
-        return list(pool.map(first_line, paths))
+
+def put_line(spark: SparkSession, path: str, line: str) -> None:
+    """A one-line file that appears whole: written under another name and renamed."""
+    fs, target = _path(spark, path)
+    _, written = _path(spark, f"{path}.tmp")
+    stream = fs.create(written, True)
+    stream.write(bytearray(line + "\n", "utf-8"))
+    stream.close()
+    if not fs.rename(written, target):
+        raise OSError(f"could not put {path!r} in place")
+
+
+def read_line(spark: SparkSession, path: str) -> str:
+    """The first line of a small file that this package wrote."""
+    fs, target = _path(spark, path)
+    jvm = spark.sparkContext._jvm
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(target), "UTF-8"))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()

@@ -5,6 +5,7 @@ from typing import NamedTuple
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Row, SparkSession
 
+from pluvigrid.sources import versions
 from pluvigrid.sources.files import exists
 
 
@@ -23,14 +24,24 @@ def write_report(importance: DataFrame, folder: str) -> None:
 def save_model(
     model: PipelineModel, metadata: DataFrame, districts: DataFrame, states: DataFrame, folder: str
 ) -> None:
-    model.write().overwrite().save(f"{folder}/forest")
-    districts.write.mode("overwrite").parquet(f"{folder}/district_codes")
-    states.write.mode("overwrite").parquet(f"{folder}/state_codes")
-    metadata.write.mode("overwrite").json(f"{folder}/metadata")
+    """Write all parts of a model as a new version and publish it; until then the old one is loaded."""
+    spark, version = districts.sparkSession, versions.staged(folder)
+    model.write().save(f"{version}/forest")
+    districts.write.parquet(f"{version}/district_codes")
+    states.write.parquet(f"{version}/state_codes")
+    metadata.write.json(f"{version}/metadata")
+    versions.publish(spark, folder, version)
+    versions.prune(spark, folder)
+
+
+def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """One row that describes the model last published."""
+    return spark.read.json(f"{versions.location(spark, folder)}/metadata")
 
 
 def load_model(spark: SparkSession, folder: str) -> SavedModel | None:
-    """The saved model, or None if there is none."""
+    """The model last published, or None if there is none."""
+    folder = versions.location(spark, folder)
     if not exists(spark, f"{folder}/forest") or not exists(spark, f"{folder}/metadata"):
         return None
     return SavedModel(

@@ -1,12 +1,13 @@
 """Reading and writing the processed tables."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pluvigrid.functions.fixed_values import TABLE_NAMES
 from pluvigrid.operators.cleaning import require_columns
 from pluvigrid.schemas import MONTHLY_REQUIRED, PROCESSED_SCHEMAS, SEASONAL_REQUIRED
+from pluvigrid.sources import versions
 from pluvigrid.sources.files import exists
 
 # Queries filter the daily table by year and the seasonal one by season.
@@ -23,8 +24,14 @@ def _location(folder: str, name: str, fmt: str) -> str:
     return f"{folder.rstrip('/')}/{TABLE_NAMES[name]}" + (".csv" if fmt == "csv" else "")
 
 
-def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") -> None:
-    """Overwrite one processed table.
+def write_table(
+    df: DataFrame, folder: str, name: str, fmt: str = "parquet", counted: dict[str, Column] | None = None
+) -> dict[str, int]:
+    """Write one processed table to ``folder``, that of a new version.
+
+    ``counted`` names aggregates that the writing job takes along, after its last shuffle, besides
+    ``n_rows``; they are returned. A column ``reading_mm`` serves them and is not written. A session that
+    observes a job can no longer serialise ML transformations, so pass None where it may need to.
 
     Partitioned tables are rebalanced by their partition column: adaptive execution
     splits large partitions and merges small ones, so no task writes a whole year
@@ -40,7 +47,12 @@ def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") ->
     else:
         order = (PARTITION_COLUMNS[name], *order)
         spread = df.hint("rebalance", PARTITION_COLUMNS[name])
-    writer = spread.sortWithinPartitions(*order).write.mode("overwrite")
+    rows = spread.sortWithinPartitions(*order)
+    seen = Observation() if counted is not None else None
+    if counted is not None:
+        aggregates = {"n_rows": F.count(F.lit(1)), **counted}
+        rows = rows.observe(seen, *(a.alias(n) for n, a in aggregates.items()))
+    writer = rows.drop("reading_mm").write
     path = _location(folder, name, fmt)
     if fmt == "csv":
         writer.csv(path, header=True)
@@ -48,6 +60,7 @@ def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") ->
         writer.partitionBy(PARTITION_COLUMNS[name]).parquet(path)
     else:
         writer.parquet(path)
+    return dict(seen.get) if seen is not None else {}
 
 
 def count_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet") -> int:
@@ -58,20 +71,24 @@ def count_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet
 def write_outputs(
     daily: DataFrame, monthly: DataFrame, seasonal: DataFrame, probability: DataFrame, folder: str, fmt: str = "parquet"
 ) -> dict[str, int]:
-    """Write all four tables; returns their row counts.
+    """Write all four tables and publish them together; returns their row counts.
 
     Each table is computed on its own. :func:`process_readings` reads back each
     written table for the next one instead.
     """
+    spark, version = daily.sparkSession, versions.staged(folder)
     tables = {"daily": daily, "monthly": monthly, "seasonal": seasonal, "probability": probability}
     for name, df in tables.items():
-        write_table(df, folder, name, fmt)
-    return {name: count_table(daily.sparkSession, folder, name, fmt) for name in tables}
+        write_table(df, version, name, fmt)
+    counts = {name: count_table(spark, version, name, fmt) for name in tables}
+    versions.publish(spark, folder, version)
+    versions.prune(spark, folder)
+    return counts
 
 
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """One processed table with its columns in the documented order."""
-    path = _location(folder, name, fmt)
+    """One processed table as last published, with its columns in the documented order."""
+    path = _location(versions.location(spark, folder), name, fmt)
     if not exists(spark, path):
         raise FileNotFoundError(f"{path!r} is missing: run process_readings first")
     if fmt == "csv":
@@ -110,7 +127,8 @@ def read_monthly(spark: SparkSession, folder: str, fmt: str = "parquet") -> Data
 
 
 def load_processed(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """The three report tables, also registered as views of the same names."""
+    """The three report tables of one version, also registered as views of the same names."""
+    folder = versions.location(spark, folder)
     tables = {name: read_table(spark, folder, name, fmt) for name in ("monthly", "seasonal", "probability")}
     for name, df in tables.items():
         df.createOrReplaceTempView(name)

@@ -4,12 +4,12 @@ import csv
 from collections import defaultdict
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvigrid.functions.fixed_values import SURPLUS
 from pluvigrid.functions.text import null_tokens
-from pluvigrid.sources.files import first_lines, list_files
+from pluvigrid.sources.files import list_files
 
 
 def require_inputs(spark: SparkSession, folder: str) -> list[str]:
@@ -29,6 +29,28 @@ def _header(line: str) -> tuple[str, ...]:
     return tuple(next(csv.reader([line.removeprefix("﻿")]), ()))
 
 
+def _file_name() -> Column:
+    """The file's name as it is: the metadata has it as part of a URI, where a plus stands for itself."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
+def header_lines(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Each different first line with text, and the names of the files that begin with it.
+
+    Executors find the lines in a scan of plain text, which opens no file on the driver; of
+    the lines only the first of each file leaves its task. A file without such a line is not named.
+    """
+    lines = spark.read.text(paths).select(
+        "value", _file_name().alias("name"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    # A file's beginning lies in one partition, where places follow its lines.
+    begun = lines.where((F.col("start") == 0) & F.col("value").rlike("\\S"))
+    firsts = begun.groupBy("name").agg(F.min_by("value", "place").alias("header"))
+    found = firsts.groupBy("header").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return {row["header"]: row["names"] for row in found.collect()}
+
+
 def union_by_name(*frames: DataFrame) -> DataFrame:
     """Stack rows by column name; a column a frame lacks is NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -44,7 +66,7 @@ def _scan(spark: SparkSession, header: tuple[str, ...], paths: list[str], multi_
     return rows.select(
         *(null_tokens(F.col(f"`{name}`")).alias(name) for name in header),
         SURPLUS,
-        F.col("_metadata.file_name").alias("source_file"),
+        _file_name().alias("source_file"),
         F.struct(block, F.monotonically_increasing_id().alias("row")).alias("file_position"),
     )
 
@@ -66,8 +88,9 @@ def read_daily_csv(
     """
     paths = require_inputs(spark, folder)
     by_header = defaultdict(list)
-    for path, line in zip(paths, first_lines(spark, paths)):
-        by_header[_header(line)].append(path)
+    line_of = {name: line for line, names in header_lines(spark, paths).items() for name in names}
+    for path in paths:
+        by_header[_header(line_of.get(path.rsplit("/", 1)[1], ""))].append(path)
     frames = [_scan(spark, header, group, multi_line) for header, group in by_header.items()]
     merged = union_by_name(*frames)
     last = ["source_file", "file_position"]
