@@ -23,6 +23,7 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -40,14 +41,20 @@ SECOND_ID = (1 << ID_BITS) - 1
 
 
 class Side:
-    """One tokenizer: ids of texts, and the bytes of each id."""
+    """One tokenizer: ids of texts with a blank before each, and the bytes of each id."""
 
     def __init__(self, encode, spelled: list[bytes]):
         self.encode, self.spelled = encode, spelled
         self.lengths = np.array([len(t) for t in spelled], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.letters = np.frombuffer(b"".join(spelled), np.uint8)
 
-    def spells(self, ids: np.ndarray, text: bytes) -> bool:
-        return b"".join(map(self.spelled.__getitem__, ids.tolist())) == text
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all tokens side by side."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        shift = np.repeat(self.starts[ids] - (ends - lengths), lengths)
+        return self.letters[np.arange(len(shift)) + shift]
 
     @lru_cache(maxsize=None)
     def digits(self, between: str, last: str) -> np.ndarray:
@@ -67,7 +74,7 @@ def byte_level(path: str) -> Side:
     encoding = tiktoken.Encoding("vocabulary", pat_str=tokens.MergeTree.SPLIT.pattern, mergeable_ranks=plain, special_tokens={})
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        return [encoding.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int64) for t in texts]
+        return [encoding.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]
 
     return Side(encode, tree.tokens)
 
@@ -84,7 +91,7 @@ def pieces(path: str) -> Side:
         return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in model.encode(texts, num_threads=1)]
+        return [np.array(ids, np.uint32) for ids in model.encode(texts, num_threads=1)]
 
     return Side(encode, [spelled(i) for i in range(model.get_piece_size())])
 
@@ -93,43 +100,44 @@ def sides(first: str | None, second: str | None) -> tuple[Side, Side]:
     return byte_level(first or tokens.vocabulary_path(FIRST)), pieces(second or tokens.vocabulary_path(SECOND))
 
 
-def near_middle(ends_a, ends_b, a_lo, a_hi, b_lo, b_hi) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_middle(next_a, next_b, shared, a_lo, a_hi, b_lo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A common end inside each interval of tokens, as the numbers of tokens before it (0: none).
 
-    From the end of the middle token, each side in turn is bisected for the next end of the other one.
+    ``next_b`` bisects the second side for each end of the first: the first token to end there or
+    later; ``next_a`` the other way round, and ``shared`` says where that one ends at the same byte.
+    The search leaps from side to side, from the middle token to the right, then to the left.
     The third result says whether nothing is shared between the cut and the interval's end.
     """
-    middle = (a_lo + a_hi) // 2
+    middle = (a_lo + a_hi) // 2 - 1
     cut_a, cut_b = np.zeros_like(a_lo), np.zeros_like(a_lo)
     # To the right; an interval's own last end is common and stops the search.
-    todo, end = np.arange(len(a_lo)), ends_a[middle - 1]
+    todo, i = np.arange(len(a_lo)), middle
     while len(todo):
-        j = np.searchsorted(ends_b, end)
-        i = np.searchsorted(ends_a, ends_b[j])
-        met = ends_a[i] == ends_b[j]
-        inside = met & (i + 1 < a_hi[todo])
-        cut_a[todo[inside]], cut_b[todo[inside]] = i[inside] + 1, j[inside] + 1
-        todo, end = todo[~met], ends_a[i[~met]]
-    rest_is_leaf = cut_a == 0
-    # To the left of what had nothing.
+        j = next_b[i]
+        i = next_a[j]
+        met = shared[j]
+        cut_a[todo[met]], cut_b[todo[met]] = i[met] + 1, j[met] + 1
+        todo, i = todo[~met], i[~met]
+    rest_is_leaf = cut_a == a_hi
+    cut_a[rest_is_leaf] = 0
+    # To the left of those that found no other.
     todo = np.flatnonzero(rest_is_leaf)
-    end = ends_a[middle[todo] - 1]
+    j = next_b[middle[todo]] - 1
     while len(todo):
-        j = np.searchsorted(ends_b, end) - 1  # the last end before
         there = j >= b_lo[todo]
         todo, j = todo[there], j[there]
-        i = np.searchsorted(ends_a, ends_b[j])
-        met = ends_a[i] == ends_b[j]
+        i, met = next_a[j], shared[j]
         cut_a[todo[met]], cut_b[todo[met]] = i[met] + 1, j[met] + 1
-        todo, i = todo[~met], i[~met]
-        there = i > a_lo[todo]
+        todo, i = todo[~met], i[~met] - 1
+        there = i >= a_lo[todo]
         todo, i = todo[there], i[there]
-        # The first side's last end before it may be common itself.
-        end = ends_a[i - 1] + 1
+        j = next_b[i]
+        # The last end of the second side up to there, which may be common.
+        j = j - ~(shared[j] & (next_a[j] == i))
     return cut_a, cut_b, rest_is_leaf
 
 
-def leaf_groups(ends_a, ends_b, counts_a, counts_b) -> tuple[np.ndarray, np.ndarray]:
+def leaf_groups(next_a, next_b, shared, counts_a, counts_b) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of tokens before the end of each group, for texts of so many tokens side by side."""
     some = counts_a > 0
     a_hi, b_hi = np.cumsum(counts_a)[some], np.cumsum(counts_b)[some]
@@ -139,35 +147,49 @@ def leaf_groups(ends_a, ends_b, counts_a, counts_b) -> tuple[np.ndarray, np.ndar
         single = (a_hi - a_lo == 1) | (b_hi - b_lo == 1)
         leaves.append((a_hi[single], b_hi[single]))
         a_lo, a_hi, b_lo, b_hi = (x[~single] for x in (a_lo, a_hi, b_lo, b_hi))
-        cut_a, cut_b, rest_is_leaf = near_middle(ends_a, ends_b, a_lo, a_hi, b_lo, b_hi)
-        whole, right = cut_a == 0, (cut_a > 0) & ~rest_is_leaf
+        cut_a, cut_b, rest_is_leaf = near_middle(next_a, next_b, shared, a_lo, a_hi, b_lo)
         leaves.append((a_hi[rest_is_leaf], b_hi[rest_is_leaf]))
-        left = ~whole
-        a_lo, b_lo, a_hi, b_hi = (
-            np.concatenate(pair)
-            for pair in (
-                (a_lo[left], cut_a[right]), (b_lo[left], cut_b[right]), (cut_a[left], a_hi[right]), (cut_b[left], b_hi[right])
-            )
-        )
+        # Both parts of each interval, in the order of the text.
+        open_parts = np.stack([cut_a > 0, ~rest_is_leaf], axis=1)
+        a_lo, a_hi, b_lo, b_hi = (
+            np.stack(pair, axis=1)[open_parts] for pair in ((a_lo, cut_a), (cut_a, a_hi), (b_lo, cut_b), (cut_b, b_hi))
+        )
     last_a, last_b = zip((none, none), *leaves)
     return np.sort(np.concatenate(last_a)), np.sort(np.concatenate(last_b))
 
 
+def _misspelled(texts: list[bytes], tokenised: list[tuple[Side, list[np.ndarray]]]) -> list[int]:
+    """Places of the texts that are empty or whose ids on some side do not spell them."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    wrong = sizes == 0
+    for side, ids in tokenised:
+        joined = np.concatenate(ids)
+        ends = np.concatenate([[0], np.cumsum(side.lengths[joined])])[np.cumsum([0, *map(len, ids)])]
+        wrong |= np.diff(ends) != sizes
+        spelled = side.spell(joined)
+        # Side by side first: nearly always all texts are spelled as they are.
+        if wrong.any() or spelled.tobytes() != b"".join(texts):
+            for k in np.flatnonzero(~wrong):
+                wrong[k] = spelled[ends[k] : ends[k + 1]].tobytes() != texts[k]
+    return np.flatnonzero(wrong).tolist()
+
+
 class Aligned:
     """Tokens of a slice of texts on one axis of bytes, their groups and links."""
 
     def __init__(self, texts: list[str], one: Side, other: Side):
         self.one, self.other = one, other
-        ids_a, ids_b = one.encode(texts), other.encode(texts)
-        none = np.empty(0, np.int64)
-        for k, text in enumerate(texts):
-            spelled = (" " + text).encode()
-            if not text or not one.spells(ids_a[k], spelled) or not other.spells(ids_b[k], spelled):
-                ids_a[k] = ids_b[k] = none
-        self.n_a, self.n_b = (np.array([len(i) for i in ids], np.int64) for ids in (ids_a, ids_b))
-        self.ids_a, self.ids_b = (np.concatenate([none, *ids]) for ids in (ids_a, ids_b))
+        spelled = [(" " + t).encode() if t else b"" for t in texts]
+        found = [one.encode(texts), other.encode(texts)]
+        for k in _misspelled(spelled, [(side, ids) for side, ids in zip((one, other), found)]):
+            found[0][k] = found[1][k] = np.empty(0, np.uint32)
+        self.n_a, self.n_b = (np.array([len(i) for i in ids], np.int64) for ids in found)
+        self.ids_a, self.ids_b = (np.concatenate(ids).astype(np.int64) for ids in found)
         self.ends_a, self.ends_b = np.cumsum(one.lengths[self.ids_a]), np.cumsum(other.lengths[self.ids_b])
-        self.last_a, self.last_b = leaf_groups(self.ends_a, self.ends_b, self.n_a, self.n_b)
+        # Each end bisects the other side's ends; all at once.
+        self.next_a, self.next_b = np.searchsorted(self.ends_a, self.ends_b), np.searchsorted(self.ends_b, self.ends_a)
+        self.shared = self.ends_a[self.next_a] == self.ends_b
+        self.last_a, self.last_b = leaf_groups(self.next_a, self.next_b, self.shared, self.n_a, self.n_b)
         self.texts_a = np.concatenate([[0], np.cumsum(self.n_a)])
         # Groups end with texts, so the number of groups up to a text's end is that of its last token.
         self.groups_at = np.concatenate([[0], np.searchsorted(self.last_a, np.cumsum(self.n_a), side="right")])
@@ -176,12 +198,9 @@ class Aligned:
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """``(text, pair)`` of all links: one for each end of either side, common ends once."""
         text_a = np.repeat(np.arange(len(self.n_a)), self.n_a)
-        met = np.searchsorted(self.ends_b, self.ends_a)
-        at_a = self.ids_a << ID_BITS | self.ids_b[met]
-        open_ended = np.ones(len(self.ids_b), bool)
-        open_ended[self.last_b - 1] = False
-        j = np.flatnonzero(open_ended)
-        i = np.searchsorted(self.ends_a, self.ends_b[j])
+        at_a = self.ids_a << ID_BITS | self.ids_b[self.next_b]
+        j = np.flatnonzero(~self.shared)
+        i = self.next_a[j]
         at_b = self.ids_a[i] << ID_BITS | self.ids_b[j]
         return np.concatenate([text_a, text_a[i]]), np.concatenate([at_a, at_b])
 
@@ -251,7 +270,7 @@ class Chunk:
 
     def add(self, doc_ids: list, aligned: Aligned) -> None:
         text, pair = aligned.links()
-        pairs, code = np.unique(pair, return_inverse=True)
+        code, pairs = pd.factorize(pair)
         self.slices.append((pairs, (text + len(self.docs)).astype(np.int32), code.astype(np.int32)))
         n_links = aligned.n_a + aligned.n_b - aligned.n_groups
         digests = [hashlib.sha256(shown).hexdigest() if shown else "" for shown in aligned.shown()]
