@@ -241,7 +241,11 @@ def segments(docs: DataFrame, hot: np.ndarray, window: int = WINDOW, gram: int =
         leader = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
         tie = (found["doc"] == found["doc"][leader]) & (found["start"] == found["start"][leader])
         copy = same & ~tie
-        kept = ~(same & tie)  # repeated rows are one document
+        rows = batch.column("row").to_numpy(zero_copy_only=False)[found["text"]]
+        # Repeated rows are one document; another text of that id is not, and needs its symbols.
+        again = same & tie
+        again[1:] &= rows[1:] == rows[:-1]
+        kept = ~again
         lengths = np.where(copy, 0, found["windows"] + extra - 1)[kept]
         ends = np.cumsum(lengths)
         inside = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
@@ -251,7 +255,6 @@ def segments(docs: DataFrame, hot: np.ndarray, window: int = WINDOW, gram: int =
         binary = pa.Array.from_buffers(
             pa.binary(), int(kept.sum()), [pa.py_buffer(valid), pa.py_buffer(offsets.tobytes()), pa.py_buffer(symbols.tobytes())]
         )
-        rows = batch.column("row").to_numpy(zero_copy_only=False)[found["text"]]
         key = np.where(copy, rows ^ found["start"], found["key"])
         return pa.RecordBatch.from_arrays(
             [

@@ -343,3 +343,16 @@ def test_empty_table(spark, operator):
 def test_empty_tables_of_toxicity(spark):
     frame = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.scores(documents(spark).limit(0), frame).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 3])
+def test_several_texts_of_one_id_in_any_partitions(spark, partitions):
+    """Both texts of an id begin with a passage that an earlier document holds; where rows lie changes nothing."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, f"start of it {passage}"), (7, f"{passage} one end"), (7, f"{passage} another end"), (7, f"{passage} one end")]
+    rows += [(None, f"{passage} unnamed"), (None, f"{passage} also unnamed")]
+    docs = documents(spark, rows).coalesce(1)
+    docs = docs.repartition(partitions, "text") if partitions > 1 else docs
+    want = [(i, len(w), sum(gone)) for (i, _), (w, gone) in zip(rows, removed_words(rows))]
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substrings.removals(docs).collect()]
+    assert multiset(got) == multiset(want)
