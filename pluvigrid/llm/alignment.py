@@ -8,7 +8,7 @@ intervals of a slice of texts take each step together.
 
 Two tokens are linked where their bytes overlap: each end of either side closes one link. How
 often a pair of ids is linked in the whole corpus is counted from chunks: a task writes one
-row per chunk of at most ``CHUNK`` links (or one text) with its different pairs and, per text, how often it
+row per chunk of ``CHUNK`` links (beyond them, one slice or one long text at most) with its different pairs and, per text, how often it
 has them; texts are tokenised once. Pairs are summed over chunks, the highest count per id of
 the second side (at most as many rows as its vocabulary, so it is broadcast) marks the best ones,
 and each chunk gets back the counts of its own pairs, in a group bounded by the chunk.

@@ -1,6 +1,5 @@
 """Merkle manifest, tokenizer alignment and SimHash groups against plain re-computations."""
 
-import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +10,7 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from pluvigrid.llm import alignment, frames, merkle, queries, simhash
+from pluvigrid.llm import alignment, merkle, queries, simhash
 from llm_support import documents, multiset, sha, texts, words
 
 SF = "/root/testdata/sf0.001"
