@@ -6,11 +6,13 @@ where the second part falls below zero, its gradient is followed back up. Labels
 non-toxic documents serve the prior alone. Features are words and the beginnings of words
 (4 to 6 characters), present or not, so that inflected forms share weight.
 
-Nothing is sampled. Features are counted over all documents that are not held out, per
-partition first, and all those typical of confirmed toxic ones are used. Documents are then
-reduced to the features they have, equal ones are counted together, and every step of the fit
-sums the risk over all of them: on the driver up to ``GATHERED`` features present, beyond that
-in Spark. Sums are of multiples of ``GRID``, so that they are the same in any order.
+Nothing is sampled. Features are counted over all confirmed toxic documents first; only those in
+more than ``SURPRISE`` of them can be typical. One pass over all texts then writes which of these
+each document has. From that table come their counts over all documents that are not held out, the
+choice of the typical ones, the different sets of them and, after the fit, the scores. Every step of
+the fit sums the risk over all sets in one Spark job; the driver gets a row per feature. Sums are of
+multiples of ``GRID``, so that they are the same in any order. The driver and the tasks hold the
+features that may be typical: words of several toxic documents, a vocabulary and not a corpus.
 
 Documents with crc32(doc_id as text) mod 5 = 0 are held out; a null id is not. A null or empty
 text has the score of no feature. Without a confirmed toxic document every score is 0.
@@ -18,6 +20,8 @@ A document with several label rows is toxic if one of them says so. Repeated row
 score each; ties need no order; an empty table gives no row; other columns are not read.
 """
 
+from array import array
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,16 +33,16 @@ from pyspark.sql import functions as F
 from pluvigrid.llm import frames, words
 from pluvigrid.llm.tokens import Memo
 
-GATHERED = 10_000_000  # features present, over all different documents, that the driver may hold
 COUNTED = 500_000  # features that a task counts before it passes the counts on
+LONGEST = 64  # bytes of a word that a memo may keep
 BLOCK = 5_000  # different documents that a task sums at once
 GRID = 2.0**-26
 SURPRISE = 4  # standard deviations above its share of all documents that a feature must have
 BEGINNINGS = (4, 5, 6)
 FOLDS = 5
-STEPS, RATE, DECAY = 300, 0.05, 1e-4
-# Beyond so many documents the decay falls with their number: what a feature needs against it
-# stays a number of documents and does not become a share, which rare sources never reach.
+STEPS, RATE, DECAY = 100, 0.1, 1e-4
+# The decay falls with the number of documents: what a feature needs against it stays a number
+# of documents and does not become a share, which rare sources never reach.
 DECAY_ROWS = 20_000
 PRIOR_RANGE = (0.01, 0.9)
 EDGES = b".,!?;:\"'()[]"
@@ -62,6 +66,13 @@ def features(text: bytes) -> set[int]:
     return {f for word in set(words.split(text.lower())) for f in features_of_word(word)}
 
 
+class WordMemo(Memo):
+    """A memo that takes no long words, so that its number of entries bounds its bytes too."""
+
+    def __missing__(self, word):
+        return self.compute(word) if len(word) > LONGEST else super().__missing__(word)
+
+
 @dataclass(frozen=True)
 class Model:
     """Weight per feature and a constant."""
@@ -71,7 +82,7 @@ class Model:
 
     def scorer(self):
         """Score of a text; per word the few features with a weight are kept in a memo."""
-        known = Memo(lambda word: tuple(f for f in features_of_word(word) if f in self.weights))
+        known = WordMemo(lambda word: tuple(f for f in features_of_word(word) if f in self.weights))
 
         def score(text: bytes) -> float:
             found = {f for word in set(words.split(text.lower())) for f in known[word]}
@@ -81,13 +92,9 @@ class Model:
         return score
 
 
-def free(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, toxic`` of the documents that are not held out; confirmed toxic ones are marked."""
-    confirmed = labels.where((F.col("toxic") == 1) & ~held_out()).select("doc_id").distinct()
-    # An id is a few bytes beside its text; texts are not moved.
-    marked = F.broadcast(confirmed.withColumn("toxic", F.lit(True)))
-    rows = docs.where(~held_out()).select("doc_id", frames.text_column()).join(marked, "doc_id", "left")
-    return rows.select("text", F.coalesce("toxic", F.lit(False)).alias("toxic"))
+def confirmed(labels: DataFrame) -> DataFrame:
+    """Ids of confirmed toxic documents that are not held out. Spark chooses the join by their size."""
+    return labels.where((F.col("toxic") == 1) & ~held_out()).select("doc_id").distinct()
 
 
 def prior(labels: DataFrame) -> float:
@@ -97,59 +104,114 @@ def prior(labels: DataFrame) -> float:
     return float(np.clip(share or 0.0, *PRIOR_RANGE))
 
 
-def feature_counts(rows: DataFrame) -> DataFrame:
-    """``feature, toxic, other``: confirmed documents, and documents of any kind, that have it."""
+def candidates(toxic: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features in more than ``SURPRISE`` of the confirmed documents ``toxic``, sorted, and in how many.
+
+    With ``e`` expected, ``(n - e) / sqrt(e + 1) > SURPRISE`` needs ``n > SURPRISE``, so no other
+    feature can be chosen, whatever its count in the other documents.
+    """
 
     def counted(counts):
-        columns = [counts.keys(), (n[0] for n in counts.values()), (n[1] for n in counts.values())]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["feature", "toxic", "other"])
+        columns = [pa.array(c, pa.int64()) for c in (counts.keys(), counts.values())]
+        return pa.RecordBatch.from_arrays(columns, names=["feature", "toxic"])
 
     def run(batches):
-        known, counts = Memo(lambda word: tuple(features_of_word(word))), {}
+        known, counts = WordMemo(lambda word: tuple(features_of_word(word))), Counter()
         for batch in batches:
-            for text, toxic in zip(frames.texts_as_bytes(batch), batch.column("toxic").to_pylist()):
-                for feature in {f for word in set(words.split(text.lower())) for f in known[word]}:
-                    count = counts.get(feature)
-                    if count is None:
-                        count = counts[feature] = [0, 0]
-                    count[0] += toxic
-                    count[1] += 1
+            for text in frames.texts_as_bytes(batch):
+                counts.update({f for word in set(words.split(text.lower())) for f in known[word]})
                 if len(counts) >= COUNTED:
                     yield counted(counts)
-                    counts = {}
+                    counts = Counter()
         if counts:
             yield counted(counts)
 
-    partial = frames.map_arrow(rows, run, "feature long, toxic long, other long")
-    return partial.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    partial = frames.map_arrow(toxic.select(frames.text_column()), run, "feature long, toxic long")
+    total = partial.groupBy("feature").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") > SURPRISE)
+    found = total.toArrow().sort_by("feature")
+    return found["feature"].to_numpy(), found["toxic"].to_numpy()
+
 
+def present(docs: DataFrame, features: np.ndarray) -> DataFrame:
+    """``doc_id, held_out, places``: the places in ``features`` of those that each text has, ascending.
+
+    The only pass over all texts; what follows reads the table it writes.
+    """
+
+    def run(batches):
+        place = {int(f): i for i, f in enumerate(features)}
+        known = WordMemo(lambda word: tuple(place[f] for f in features_of_word(word) if f in place))
+        for whole in batches:
+            for start in range(0, whole.num_rows, frames.SLICE):
+                batch, values, ends = whole.slice(start, frames.SLICE), array("i"), [0]
+                for text in frames.texts_as_bytes(batch):
+                    values.extend(sorted({i for word in set(words.split(text.lower())) for i in known[word]}))
+                    ends.append(len(values))
+                places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(values, np.int32)))
+                columns = [batch.column("doc_id"), batch.column("held_out"), places]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "places"])
+
+    rows = docs.select("doc_id", held_out().alias("held_out"), frames.text_column())
+    schema = f"{frames.ddl(rows, 'doc_id')}, held_out boolean, places array<int>"
+    return frames.stored(frames.map_arrow(rows, run, schema), "toxic-places")
+
+
+def _added(parts: DataFrame, width: int, *names: str) -> np.ndarray:
+    """Sums by ``place``, one row per name; added up by executors, so the driver gets ``width`` rows."""
+    total = parts.groupBy("place").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    out = np.zeros((len(names), width))
+    out[:, total["place"].to_numpy()] = [total[n].to_numpy() for n in names]
+    return out
+
+
+def typical(free: DataFrame, toxic: np.ndarray, toxic_rows: int, any_rows: int) -> np.ndarray:
+    """For each candidate, whether it is typical of toxic documents, by its count in all of ``free``."""
+
+    def run(batches):
+        counts = np.zeros(len(toxic), np.int64)
+        for batch in batches:
+            counts += np.bincount(batch.column("places").flatten(), minlength=len(toxic))
+        place = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(counts[place])], names=["place", "other"])
 
-def choose_features(rows: DataFrame, toxic_rows: int, any_rows: int) -> np.ndarray:
-    """The features typical of toxic documents, sorted."""
-    expected = toxic_rows * (F.col("other") + 1) / (any_rows + 2)
-    surprise = (F.col("toxic") - expected) / F.sqrt(expected + 1)
-    best = feature_counts(rows).where(surprise > SURPRISE).select("feature")
-    return np.sort(np.array([r["feature"] for r in best.collect()], np.int64))
+    parts = frames.map_arrow(free.select("places"), run, "place int, other long")
+    (other,) = _added(parts, len(toxic), "other")
+    expected = toxic_rows * (other + 1) / (any_rows + 2)
+    return (toxic - expected) / np.sqrt(expected + 1) > SURPRISE
 
 
 def reduced(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """``columns, toxic, other``: the different sets of chosen features and how often they occur.
+    """``rows`` with ``columns`` in place of ``places``: what is left with the chosen candidates alone.
 
     A set is the sorted places of its features, then the place of the constant, as int32.
     """
+    kept = [c for c in rows.columns if c != "places"]
+    place = np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
+    constant = int(chosen.sum())
 
     def run(batches):
-        place = {int(f): i for i, f in enumerate(chosen)}
-        known = Memo(lambda word: tuple(place[f] for f in features_of_word(word) if f in place))
         for batch in batches:
-            found = []
-            for text in frames.texts_as_bytes(batch):
-                present = {i for word in set(words.split(text.lower())) for i in known[word]}
-                found.append(np.array([*sorted(present), len(chosen)], np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("toxic")], names=["columns", "toxic"])
+            lists = batch.column("places")
+            values = place[lists.flatten().to_numpy()]
+            lengths = lists.value_lengths().to_numpy(False)
+            row = np.repeat(np.arange(len(batch)), lengths)
+            row, values = row[values >= 0], values[values >= 0]
+            # One more place at the end of each row, for the constant.
+            ends = np.cumsum(np.bincount(row, minlength=len(batch)) + 1)
+            filled = np.full(ends[-1] if len(ends) else 0, constant, np.int32)
+            filled[np.arange(len(values)) + row] = values
+            buffers = [None, pa.py_buffer(np.append(0, ends * 4).astype(np.int32)), pa.py_buffer(filled)]
+            sets = pa.Array.from_buffers(pa.binary(), len(batch), buffers)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sets], names=[*kept, "columns"])
+
+    return frames.map_arrow(rows, run, f"{frames.ddl(rows, *kept)}, columns binary")
+
 
-    sets = frames.map_arrow(rows, run, "columns binary, toxic boolean").groupBy("columns")
-    return frames.stored(sets.agg(F.count_if("toxic").alias("toxic"), F.count(F.lit(1)).alias("other")), "toxic-sets")
+def distinct_sets(free: DataFrame, labels: DataFrame) -> DataFrame:
+    """``columns, toxic, other``: the different sets of ``free`` and how often they occur."""
+    marked = free.join(confirmed(labels).withColumn("toxic", F.lit(True)), "doc_id", "left")
+    sets = marked.groupBy("columns").agg(F.count("toxic").alias("toxic"), F.count(F.lit(1)).alias("other"))
+    return frames.stored(sets, "toxic-sets")
 
 
 class Sets:
@@ -164,9 +226,13 @@ class Sets:
         self.counts = np.array([toxic.to_numpy(False), other.to_numpy(False)], float)
         self.width = width
 
+    def values(self, at: np.ndarray) -> np.ndarray:
+        """Sum of the weights ``at`` of each set; no set is empty, for each holds the constant."""
+        return np.add.reduceat(at[self.columns], self.starts) if len(self.starts) else np.empty(0)
+
     def sums(self, at: np.ndarray) -> np.ndarray:
         """For toxic and other documents: the loss as negatives, then its slope by feature and constant."""
-        value = np.add.reduceat(at[self.columns], self.starts)
+        value = self.values(at)
         loss = np.round(np.logaddexp(0, value) / GRID) * GRID
         slope = np.round(1 / (1 + np.exp(-np.clip(value, -30, 30))) / GRID) * GRID
         out = np.empty((2, self.width + 2))
@@ -177,11 +243,7 @@ class Sets:
 
 
 def summed(sets: DataFrame, width: int):
-    """A function from weights to ``Sets.sums`` over all of ``sets``."""
-    present = sets.agg(F.sum(F.length("columns") / 4)).first()[0]
-    if present <= GATHERED:
-        rows = sets.toArrow().sort_by("columns").combine_chunks()
-        return Sets(*(rows.column(c).chunk(0) for c in ("columns", "toxic", "other")), width).sums
+    """A function from weights to ``Sets.sums`` over all of ``sets``: one Spark job a call, whatever their number."""
 
     def everywhere(at):
         def run(batches):
@@ -190,10 +252,11 @@ def summed(sets: DataFrame, width: int):
                 for start in range(0, batch.num_rows, BLOCK):
                     part = batch.slice(start, BLOCK)
                     total += Sets(*(part.column(c) for c in ("columns", "toxic", "other")), width).sums(at)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+            place = np.flatnonzero(total.any(axis=0)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (place, *total[:, place])], names=["place", "toxic", "other"])
 
-        parts = frames.map_arrow(sets, run, "total binary").toLocalIterator()
-        return sum(np.frombuffer(r["total"]).reshape(2, width + 2) for r in parts)
+        parts = frames.map_arrow(sets, run, "place int, toxic double, other double")
+        return _added(parts, width + 2, "toxic", "other")
 
     return everywhere
 
@@ -204,7 +267,7 @@ def fit(sums, toxic: np.ndarray, any_rows: int, prior: float) -> tuple[np.ndarra
     ``toxic``: confirmed documents by feature, and their number.
     """
     toxic_rows = toxic[-1]
-    decay = DECAY * min(1, DECAY_ROWS / any_rows)
+    decay = DECAY / (1 + any_rows / DECAY_ROWS)
     at = np.zeros(len(toxic))
     at[-1] = np.log(prior / (1 - prior))
     mean, square = np.zeros(len(at)), np.zeros(len(at))
@@ -222,19 +285,28 @@ def fit(sums, toxic: np.ndarray, any_rows: int, prior: float) -> tuple[np.ndarra
     return at[:-1], float(at[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = free(docs, labels)
-    toxic_rows, any_rows = rows.agg(F.count_if("toxic"), F.count(F.lit(1))).first()
+def _trained(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame | None]:
+    """The model, and ``doc_id, held_out, columns`` of all documents, or None without a chosen feature."""
+    ids = docs.where(~held_out()).select("doc_id")
+    any_rows, toxic_rows = ids.count(), ids.join(confirmed(labels), "doc_id", "left_semi").count()
+    nothing = Model({}, -np.inf), None
     if not toxic_rows:
-        return Model({}, -np.inf)
-    chosen = choose_features(rows, toxic_rows, any_rows)
-    if not len(chosen):
-        return Model({}, -np.inf)
-    sums = summed(reduced(rows, chosen), len(chosen))
-    # At a score of 30 the slope is 1 on the grid, so that its sums are counts of documents.
-    toxic = np.round(sums(np.append(np.zeros(len(chosen)), 30.0))[0, 1:])
-    weights, constant = fit(sums, toxic, any_rows, prior(labels))
-    return Model({int(f): float(w) for f, w in zip(chosen, weights)}, constant)
+        return nothing
+    found, counts = candidates(docs.select("doc_id", "text").join(confirmed(labels), "doc_id", "left_semi"))
+    if not len(found):
+        return nothing
+    rows = present(docs, found)
+    chosen = typical(rows.where(~F.col("held_out")), counts, toxic_rows, any_rows)
+    if not chosen.any():
+        return nothing
+    rows = reduced(rows, chosen)
+    sums = summed(distinct_sets(rows.where(~F.col("held_out")), labels), int(chosen.sum()))
+    weights, constant = fit(sums, np.append(counts[chosen], toxic_rows), any_rows, prior(labels))
+    return Model({int(f): float(w) for f, w in zip(found[chosen], weights)}, constant), rows
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    return _trained(docs, labels)[0]
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -257,8 +329,19 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFram
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` per document."""
-    scored = score(docs.select("doc_id", frames.text_column()), train(docs, labels)).drop("text")
-    return scored.select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
-    )
+    """``doc_id, held_out, score, predicted`` per document; texts are not read again after the fit."""
+    model, rows = _trained(docs, labels)
+    if rows is None:
+        scored = docs.select("doc_id", held_out().alias("held_out"), F.lit(0.0).alias("score"))
+    else:
+        at = np.array([*(w for _, w in sorted(model.weights.items())), model.constant])
+
+        def run(batches):
+            for batch in batches:
+                ones = pa.array(np.ones(len(batch)))
+                value = Sets(batch.column("columns"), ones, ones, len(at) - 1).values(at)
+                columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(value, -30, 30))))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score"])
+
+        scored = frames.map_arrow(rows, run, f"{frames.ddl(rows, 'doc_id')}, held_out boolean, score double")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

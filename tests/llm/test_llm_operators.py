@@ -319,14 +319,58 @@ def test_toxicity_of_a_rare_source(spark):
     assert {(r.toxic, r.predicted) for r in got.collect()} == {(True, 1), (False, 0)}
 
 
-def test_risk_is_the_same_on_the_driver_and_in_spark(spark, monkeypatch):
+def plain_fit(rows, labels, steps):
+    """Weight by feature, from a matrix of all documents and all their features."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    known = {i: t for i, _, t in labels if not held(i)}
+    free = [(known.get(i) == 1, toxicity.features(t.encode())) for i, t in rows if not held(i)]
+    toxic, names = np.array([t for t, _ in free]), sorted(set().union(*(f for _, f in free)))
+    x = np.array([[f in found for f in names] for _, found in free], float)
+    expected = toxic.sum() * (x.sum(0) + 1) / (len(free) + 2)
+    typical = (x[toxic].sum(0) - expected) / np.sqrt(expected + 1) > toxicity.SURPRISE
+    x = np.hstack([x[:, typical], np.ones((len(free), 1))])
+    share = np.clip(np.mean(list(known.values())), *toxicity.PRIOR_RANGE)
+    decay = toxicity.DECAY / (1 + len(free) / toxicity.DECAY_ROWS)
+    at, mean, square = np.zeros(x.shape[1]), 0, 0
+    at[-1] = np.log(share / (1 - share))
+    for step in range(1, steps + 1):
+        value = x @ at
+        # On the operator's grid: the constant's first slope is zero, and Adam would blow up what rounding leaves.
+        loss, odds = (np.round(v / toxicity.GRID) * toxicity.GRID for v in (np.log1p(np.exp(value)), 1 / (1 + np.exp(-value))))
+        whole, part = (odds @ x) / len(free), share * (odds[toxic] @ x[toxic]) / toxic.sum()
+        if loss.mean() - share * loss[toxic].mean() >= 0:
+            slope = whole - part + share * ((odds[toxic] - 1) @ x[toxic]) / toxic.sum()
+        else:
+            slope = part - whole
+        slope[:-1] += decay * at[:-1]
+        mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
+        at = at - toxicity.RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    return dict(zip(np.array(names)[typical], at[:-1])), at[-1]
+
+
+def test_weights_equal_those_from_all_features_of_all_documents(spark, monkeypatch):
     rows, labels = labelled(spark, 400)
     frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    monkeypatch.setattr(toxicity, "STEPS", 5)
-    gathered = toxicity.train(documents(spark, rows), frame)
-    monkeypatch.setattr(toxicity, "GATHERED", 0)
-    monkeypatch.setattr(toxicity, "BLOCK", 7)
-    assert toxicity.train(documents(spark, rows), frame) == gathered and gathered.weights
+    monkeypatch.setattr(toxicity, "STEPS", 12)
+    weights, constant = plain_fit(rows, labels, 12)
+    model = toxicity.train(documents(spark, rows), frame)
+    assert model.weights.keys() == weights.keys() and len(weights) > 3
+    assert np.allclose([model.weights[f] for f in weights], list(weights.values()), atol=1e-4)
+    assert np.isclose(model.constant, constant, atol=1e-4)
+    # The same to the last bit in whatever parts the rows and sets are added up.
+    for name, value in (("BLOCK", 7), ("COUNTED", 5), ("LONGEST", 3)):
+        monkeypatch.setattr(toxicity, name, value)
+    assert toxicity.train(documents(spark, rows).repartition(3), frame) == model
+
+
+def test_scores_after_the_fit_equal_those_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 12)
+    rows, labels = labelled(spark, 300)
+    rows += [(1000, None), (1001, ""), (None, "vile nasty"), (4, "another vile text of the id")]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = multiset((r.doc_id, round(r.score, 12)) for r in toxicity.scores(documents(spark, rows), frame).collect())
+    score = toxicity.train(documents(spark, rows), frame).scorer()
+    assert got == multiset((i, round(score((t or "").encode()), 12)) for i, t in rows)
 
 
 # Empty tables.
