@@ -35,6 +35,8 @@ from pluvigrid.llm.tokens import Memo
 
 COUNTED = 500_000  # features that a task counts before it passes the counts on
 LONGEST = 64  # bytes of a word that a memo may keep
+SENT = 4_000_000  # ids of confirmed documents that are broadcast; beyond that both sides are shuffled
+PLACES = 16_000_000  # features present that a task of the fit sums: its work outweighs the row per feature it passes on
 BLOCK = 5_000  # different documents that a task sums at once
 GRID = 2.0**-26
 SURPRISE = 4  # standard deviations above its share of all documents that a feature must have
@@ -93,8 +95,9 @@ class Model:
 
 
 def confirmed(labels: DataFrame) -> DataFrame:
-    """Ids of confirmed toxic documents that are not held out. Spark chooses the join by their size."""
-    return labels.where((F.col("toxic") == 1) & ~held_out()).select("doc_id").distinct()
+    """Ids of confirmed toxic documents that are not held out; up to ``SENT`` go to the texts, not texts to them."""
+    ids = labels.where((F.col("toxic") == 1) & ~held_out()).select("doc_id").distinct()
+    return F.broadcast(ids) if ids.count() <= SENT else ids
 
 
 def prior(labels: DataFrame) -> float:
@@ -207,11 +210,13 @@ def reduced(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
     return frames.map_arrow(rows, run, f"{frames.ddl(rows, *kept)}, columns binary")
 
 
-def distinct_sets(free: DataFrame, labels: DataFrame) -> DataFrame:
+def distinct_sets(free: DataFrame, toxic_ids: DataFrame) -> DataFrame:
     """``columns, toxic, other``: the different sets of ``free`` and how often they occur."""
-    marked = free.join(confirmed(labels).withColumn("toxic", F.lit(True)), "doc_id", "left")
+    marked = free.join(toxic_ids.withColumn("toxic", F.lit(True)), "doc_id", "left")
     sets = marked.groupBy("columns").agg(F.count("toxic").alias("toxic"), F.count(F.lit(1)).alias("other"))
-    return frames.stored(sets, "toxic-sets")
+    sets = frames.stored(sets, "toxic-sets")
+    places = sets.agg(F.sum(F.length("columns") / 4)).first()[0] or 0
+    return sets.coalesce(1 + int(places // PLACES))
 
 
 class Sets:
@@ -288,11 +293,12 @@ def fit(sums, toxic: np.ndarray, any_rows: int, prior: float) -> tuple[np.ndarra
 def _trained(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame | None]:
     """The model, and ``doc_id, held_out, columns`` of all documents, or None without a chosen feature."""
     ids = docs.where(~held_out()).select("doc_id")
-    any_rows, toxic_rows = ids.count(), ids.join(confirmed(labels), "doc_id", "left_semi").count()
+    toxic_ids = confirmed(labels)
+    any_rows, toxic_rows = ids.count(), ids.join(toxic_ids, "doc_id", "left_semi").count()
     nothing = Model({}, -np.inf), None
     if not toxic_rows:
         return nothing
-    found, counts = candidates(docs.select("doc_id", "text").join(confirmed(labels), "doc_id", "left_semi"))
+    found, counts = candidates(docs.select("doc_id", "text").join(toxic_ids, "doc_id", "left_semi"))
     if not len(found):
         return nothing
     rows = present(docs, found)
@@ -300,7 +306,7 @@ def _trained(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame | Non
     if not chosen.any():
         return nothing
     rows = reduced(rows, chosen)
-    sums = summed(distinct_sets(rows.where(~F.col("held_out")), labels), int(chosen.sum()))
+    sums = summed(distinct_sets(rows.where(~F.col("held_out")), toxic_ids), int(chosen.sum()))
     weights, constant = fit(sums, np.append(counts[chosen], toxic_rows), any_rows, prior(labels))
     return Model({int(f): float(w) for f, w in zip(found[chosen], weights)}, constant), rows
 

@@ -358,7 +358,7 @@ def test_weights_equal_those_from_all_features_of_all_documents(spark, monkeypat
     assert np.allclose([model.weights[f] for f in weights], list(weights.values()), atol=1e-4)
     assert np.isclose(model.constant, constant, atol=1e-4)
     # The same to the last bit in whatever parts the rows and sets are added up.
-    for name, value in (("BLOCK", 7), ("COUNTED", 5), ("LONGEST", 3)):
+    for name, value in (("BLOCK", 7), ("COUNTED", 5), ("LONGEST", 3), ("SENT", 0), ("PLACES", 100)):
         monkeypatch.setattr(toxicity, name, value)
     assert toxicity.train(documents(spark, rows).repartition(3), frame) == model
 
