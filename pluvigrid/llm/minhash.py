@@ -17,10 +17,14 @@ Groups of copies are handled without listing their pairs:
   that compare sets inside a task and pass on true links alone.
 
 A document with fewer words than a shingle is one shingle; without words it has none and is
-linked with nothing. Rows of one id are one document, rows without id are apart unless
-equal. Components are named by their smallest id (null if no member has one). An empty
-table gives no row. Where a key, hub or class may be hot, joins are salted or left to adaptive
-execution, which splits them. Extra columns are dropped by ``groups`` and kept by ``deduplicate``.
+linked with nothing. Rows of one id are one document: where their texts have other sets, the
+id links them. Rows without id are apart unless similar. Components are named by their smallest id
+(null if no member has one). Very long texts are used whole. An empty table gives no row. Where a
+key, hub or class may be hot, joins are salted or left to adaptive execution, which splits
+them. Extra columns are dropped by ``groups`` and kept by ``deduplicate``. It keeps one document of
+each component: that of the smallest id, with each of its different texts once, or without
+ids the row whose number is least. Of rows with the same id and text, the one whose columns
+hash least as JSON text stays. All rows without words stay.
 """
 
 import numpy as np
@@ -91,6 +95,11 @@ def row_number():
     return F.xxhash64(F.col("doc_id").cast("long"), frames.text_column())
 
 
+def set_name():
+    """The node of a set that has no id of its own."""
+    return F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("set_a", "set_b", "n_shingles"), 2)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """Per row: number of shingles, two sums that stand for the set, and the signature."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_number().alias("row"), frames.text_column())
@@ -110,17 +119,36 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
     schema = "doc_id long, row long, n_shingles long, set_a long, set_b long, signature binary, any boolean"
     signed = frames.map_batches(source, run, schema)
-    unnamed = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("set_a", "set_b", "n_shingles"), 2)
-    return frames.stored(signed.withColumn("node", F.coalesce("doc_id", unnamed)), "signatures")
+    return frames.stored(signed.withColumn("node", F.coalesce("doc_id", set_name())), "signatures")
+
+
+def ids_with_sets(signed: DataFrame) -> DataFrame:
+    """``node``: the ids whose rows have several sets; they cannot name one of them."""
+    sums = ("set_a", "set_b", "n_shingles")
+    ends = signed.where("any and doc_id is not null").groupBy("doc_id")
+    ends = ends.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in sums for f in (F.min, F.max)))
+    differ = " or ".join(f"min_{c} < max_{c}" for c in sums)
+    return frames.stored(ends.where(differ).select(F.col("doc_id").alias("node")), "several")
 
 
-def classes(signed: DataFrame) -> DataFrame:
-    """One row per distinct shingle set, named by its smallest node."""
-    return (
+def classes(signed: DataFrame, several: DataFrame) -> DataFrame:
+    """One row per distinct shingle set, named by its smallest node, or by itself if that has several sets."""
+    least = (
         signed.where("any")
         .groupBy("set_a", "set_b", "n_shingles")
         .agg(F.min("node").alias("node"), F.max("signature").alias("signature"))
     )
+    named = least.join(several.withColumn("shared", F.lit(True)), "node", "left")
+    node = F.when(F.col("shared"), set_name()).otherwise(F.col("node")).alias("node")
+    return frames.stored(named.select("set_a", "set_b", "n_shingles", node, "signature"), "classes")
+
+
+def id_links(signed: DataFrame, several: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links ``u, v`` between an id of several sets and the class of each."""
+    rows = signed.where("any and doc_id is not null").select(F.col("node").alias("u"), "set_a", "set_b", "n_shingles")
+    rows = rows.join(several.select(F.col("node").alias("u")), "u", "left_semi").distinct()
+    names = nodes.select("set_a", "set_b", "n_shingles", F.col("node").alias("v"))
+    return rows.join(names, ["set_a", "set_b", "n_shingles"]).select("u", "v")
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
@@ -163,7 +191,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return frames.map_batches(both, run, "hub long, node long")
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def texts_of(docs: DataFrame, wanted: DataFrame, several: DataFrame, size: int) -> DataFrame:
     """``node, text``: a text of each of the named nodes ``node, set_a``."""
 
     def run(batch):
@@ -175,10 +203,11 @@ def texts_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     schema = "node long, set_a long, text string"
     source = docs.select(F.col("doc_id").cast("long").alias("node"), frames.text_column())
-    # Rows of one id may hold other texts: only that of the class counts.
+    # A row without words may have the id of a class too: only the text of the class counts.
     named = source.join(wanted.where(F.col("node") < UNNAMED).select("node"), "node", "left_semi")
     by_node = frames.map_batches(named, run, schema).join(wanted.select("node", "set_a"), ["node", "set_a"], "left_semi")
-    unnamed = frames.map_batches(source.where("node is null"), run, schema).drop("node")
+    nameless = source.where("node is null").unionByName(source.join(several, "node", "left_semi"))
+    unnamed = frames.map_batches(nameless, run, schema).drop("node")
     by_set = unnamed.join(wanted.where(F.col("node") >= UNNAMED).select("node", "set_a"), "set_a")
     return by_node.select("node", "text").unionByName(by_set.select("node", "text")).dropDuplicates(["node"])
 
@@ -265,33 +294,35 @@ def rest_links(
     return met.groupBy("hub", "i", "j").applyInPandas(compare, "u long, v long")
 
 
-def linked(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
+def linked(
+    docs: DataFrame, signed: DataFrame, nodes: DataFrame, several: DataFrame, size: int, percent: int
+) -> DataFrame:
     """``node, component`` for the nodes with links."""
-    nodes = frames.stored(classes(signed), "classes")
     keyed = shared_keys(nodes)
     stars = keyed.where("node <> hub").select("hub", "node").distinct()
     pairs = frames.stored(near_pairs(stars, nodes), "pairs")
     wanted = keyed.select("node").distinct().join(nodes.select("node", "set_a"), "node")
-    texts = frames.stored(texts_of(docs, wanted, size), "texts")
-    links = frames.stored(confirmed(pairs, texts, size, percent), "confirmed")
+    texts = frames.stored(texts_of(docs, wanted, several, size), "texts")
+    same_id = id_links(signed, several, nodes)
+    links = frames.stored(confirmed(pairs, texts, size, percent).unionByName(same_id), "confirmed")
     more = rest_links(keyed, components(links), nodes, texts, size, percent)
     return components(links.unionByName(more))
 
 
 def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``doc_id, row, n_shingles, node, component`` per row of ``docs``."""
+    """``doc_id, row, n_shingles, any, node, component`` per row of ``docs``."""
     signed = signatures(docs, size)
-    found = linked(docs, signed, size, percent)
-    by_class = (
-        classes(signed)
-        .join(found, "node", "left")
-        .select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
+    several = ids_with_sets(signed)
+    nodes = classes(signed, several)
+    found = linked(docs, signed, nodes, several, size, percent)
+    by_class = nodes.join(found, "node", "left").select(
+        "set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component")
     )
     rows = signed.select("doc_id", "row", "node", "n_shingles", "set_a", "set_b", "any")
     # Without words, a document is a group of its own.
     component = F.when(F.col("any"), F.col("component")).otherwise(F.col("node")).alias("component")
     labelled = rows.join(by_class, ["set_a", "set_b", "n_shingles"], "left")
-    return labelled.select("doc_id", "row", "n_shingles", "node", component)
+    return labelled.select("doc_id", "row", "n_shingles", "any", "node", component)
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -302,6 +333,19 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the rows that are in a group with a smaller id."""
-    gone = _labelled(docs, size, percent).where("node <> component").select(F.col("row").alias("__gone")).distinct()
-    return docs.join(gone, row_number() == F.col("__gone"), "left_anti")
+    """``docs`` with one document of each group, and all rows without words."""
+    rows = _labelled(docs, size, percent).where("any").groupBy("component", "node", "row")
+    rows = frames.stored(rows.agg(F.count(F.lit(1)).alias("copies")), "labelled")
+    # Rows that name their component have one id, or none and similar texts.
+    named = rows.where("node = component")
+    least = named.where(F.col("component") >= UNNAMED).groupBy("component").agg(F.min("row").alias("least"))
+    named = lookup(named, least, "component").withColumn("stays", F.expr("row = coalesce(least, row)"))
+    gone = rows.where("node <> component").select("row").unionByName(named.where("not stays").select("row"))
+    repeated = named.where("stays and copies > 1").select("row")
+    once = docs.join(
+        gone.unionByName(repeated).distinct().withColumnRenamed("row", "__gone"), row_number() == F.col("__gone"), "left_anti"
+    )
+    again = docs.withColumn("__row", row_number()).join(repeated.withColumnRenamed("row", "__row"), "__row", "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = again.groupBy("__row").agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("__first"))
+    return once.unionByName(first.select("__first.*"))
