@@ -5,8 +5,8 @@ by the index of their cell on the Hilbert curve (ties: by id, checksum and size)
 order is cut into runs. Files of one run then cover small ranges of every dimension, so
 readers can prune on any of them. Row counts of shards differ by one at most (law ``rows``).
 
-Numbers are quantised by value, strings by their first seven bytes; nulls are the lowest. The
-order is found by a range partitioning, which spreads a hot cell over several tasks; a run's
+Numbers are quantised by value, all else by the place of the whole value, however long, among the
+values of all rows in the order of their UTF-8 bytes; nulls are the lowest. The order is found by a range partitioning, which spreads a hot cell over several tasks; a run's
 place in the whole comes from one count per partition. Repeated rows take places of their
 own, next to each other. With fewer rows than shards some shards are empty; an empty table
 gives no row. Columns named like a result are replaced.
@@ -58,24 +58,51 @@ def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return index
 
 
-def _measure(df: DataFrame, column: str) -> Column:
-    """The dimension as a number in the column's own order."""
-    if isinstance(df.schema[column].dataType, T.NumericType):
-        return F.col(column).cast("double")
-    prefix = F.rpad(F.hex(F.substring(F.col(column).cast("string").cast("binary"), 1, 7)), 14, "0")
-    return F.conv(prefix, 16, 10).cast("double")
+def _text_cuts(df: DataFrame, column: str, steps: int) -> list[str]:
+    """The values at ``1 / steps``, ``2 / steps`` and so on of all rows, in the order of the values.
+
+    Rows are counted by value first, so a hot value is one row. Counts are added up within range
+    partitions of the values and over one sum per partition.
+    """
+    value = F.col(column).cast("string").alias("value")
+    counts = df.select(value).where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = frames.stored(
+        counts.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()), "values"
+    )
+    sizes = placed.groupBy("part").agg(F.sum("n").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    rows = sizes.agg(F.sum("size")).first()[0]
+    if not rows:
+        return []
+    end = F.col("start") + F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    ends = placed.join(F.broadcast(starts), "part").select("value", "n", end.alias("end"))
+    passed = ends.selectExpr("value", f"((end - n) * {steps}) div {rows} AS first", f"(end * {steps}) div {rows} AS last")
+    # At most ``steps`` rows.
+    found = passed.where("first < last").orderBy("last").collect()
+    return [r["value"] for r in found for _ in range(r["first"], min(r["last"], steps - 1))]
+
+
+def cells(df: DataFrame, dimensions=DIMENSIONS, bits: int = BITS) -> list[Column]:
+    """Per dimension, how many of its cut points lie below the row's value; they are quantiles of all rows."""
+    steps = 1 << bits
+    shares = F.array(*(F.lit(i / steps) for i in range(1, steps)))
+    numbers = [d for d in dimensions if isinstance(df.schema[d].dataType, T.NumericType)]
+    cuts = {d: _text_cuts(df, d, steps) for d in dimensions if d not in numbers}
+    if numbers:
+        found = df.agg(*(F.percentile_approx(F.col(d).cast("double"), shares, QUANTILE_ACCURACY) for d in numbers)).first()
+        cuts |= dict(zip(numbers, found))
+    kinds = {d: "double" if d in numbers else "string" for d in dimensions}
+    return [
+        sum((F.coalesce((F.col(d).cast(kinds[d]) > cut).cast("int"), F.lit(0)) for cut in cuts[d] or []), F.lit(0))
+        for d in dimensions
+    ]
 
 
 def curve(df: DataFrame, dimensions=DIMENSIONS, bits: int = BITS, name: str = "curve") -> DataFrame:
-    """``df`` with each row's place on the curve; every cut point is a quantile of all rows."""
-    shares = F.array(*(F.lit(i / (1 << bits)) for i in range(1, 1 << bits)))
-    cuts = df.agg(
-        *(F.percentile_approx(_measure(df, d), shares, QUANTILE_ACCURACY).alias(f"c{i}") for i, d in enumerate(dimensions))
-    ).first()
-    cells = [
-        sum((F.coalesce((_measure(df, d) > cut).cast("int"), F.lit(0)) for cut in cuts[i] or []), F.lit(0)).alias(f"__c{i}")
-        for i, d in enumerate(dimensions)
-    ]
+    """``df`` with each row's place on the curve."""
+    placed = [cell.alias(f"__c{i}") for i, cell in enumerate(cells(df, dimensions, bits))]
     kept = [c for c in df.columns if c != name]
 
     def run(batch):
@@ -84,7 +111,7 @@ def curve(df: DataFrame, dimensions=DIMENSIONS, bits: int = BITS, name: str = "c
             [*(batch.column(c) for c in kept), pa.array(hilbert_index(coordinates, bits), pa.int64())], names=[*kept, name]
         )
 
-    return frames.map_batches(df.select(*kept, *cells), run, f"{frames.ddl(df, *kept)}, `{name}` long")
+    return frames.map_batches(df.select(*kept, *placed), run, f"{frames.ddl(df, *kept)}, `{name}` long")
 
 
 def shards(df: DataFrame, order: list[str], count: int = SHARDS, parts: int | None = None) -> DataFrame:

@@ -181,6 +181,34 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert sharding.assignment(documents(spark, rows[:3])).count() == 3
 
 
+def quantile_cells(values, steps):
+    """Cells by plain sorting: the cut points below each value; a null lies below all."""
+    known = sorted(v for v in values if v is not None)
+    cuts = [known[-(-i * len(known) // steps) - 1] for i in range(1, steps)] if known else []
+    return [sum(v is not None and v > cut for cut in cuts) for v in values]
+
+
+def test_cells_take_whole_values(spark):
+    """Values with a long common prefix, a hot one, nulls, empty and long ones; a dimension without values."""
+    prefix = "common_crawl_" * 30
+    names = [f"{prefix}{i}" for i in range(16)] * 5
+    rows = [(i, n, None, i % 7) for i, n in enumerate(names)]
+    frame = spark.createDataFrame(rows, "id long, source string, lang string, n long").repartition(4)
+    for extra in ([], [(1000 + i, v, None, None) for i, v in enumerate([prefix + "hot"] * 40 + ["", None, "é", "\U0001f600", "z" * 9000])]):
+        df = frame.unionByName(spark.createDataFrame(extra, frame.schema)) if extra else frame
+        dimensions = ("source", "lang", "n")
+        got = {r[0]: tuple(r)[1:] for r in df.select("id", *sharding.cells(df, dimensions)).collect()}
+        every = rows + extra
+        encoded = [None if r[1] is None else r[1].encode() for r in every]
+        want = [quantile_cells(column, 32) for column in (encoded, [r[2] for r in every], [r[3] for r in every])]
+        assert got == {r[0]: cell for r, cell in zip(every, zip(*want))}
+        if not extra:
+            assert len({cell[0] for cell in got.values()}) == 16
+        order = {r.id: r.curve for r in sharding.curve(df, dimensions).select("id", "curve").collect()}
+        ids = sorted(got)
+        assert [order[i] for i in ids] == sharding.hilbert_index(np.array([got[i] for i in ids])).tolist()
+
+
 # Secrets.
 
 
