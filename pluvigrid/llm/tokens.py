@@ -18,8 +18,13 @@ import regex
 
 NONE = 1 << 61
 POSITIONS = 24  # bits of a tree or heap key that hold the position
-POSITION_MASK, ID_MASK = (1 << POSITIONS) - 1, (1 << 16) - 1
-WORDS_KEPT, CHUNKS_KEPT = 300_000, 150_000  # entries of one generation of a memo; they bound a worker's memory
+LONG, WIDE = 1 << POSITIONS, 48  # words of more symbols than LONG get WIDE bits for the position
+IDS = 1 << 16
+ID_MASK = IDS - 1
+# Entries of one generation of a memo, letters of a word that is kept, and letters per entry
+# in a generation: together they bound a worker's memory.
+WORDS_KEPT, CHUNKS_KEPT = 300_000, 150_000
+LETTERS_KEPT, MEAN_LETTERS = 256, 16
 
 
 def byte_characters() -> list[str]:
@@ -47,6 +52,29 @@ class Memo(dict):
         return value
 
 
+class TextMemo(Memo):
+    """A memo whose words are texts: bounded by their letters too; long ones are computed each time."""
+
+    letters = 0
+
+    def __missing__(self, word):
+        if len(word) > LETTERS_KEPT:
+            return self.compute(word)
+        if self.letters + len(word) > self.size * MEAN_LETTERS:
+            self.older = dict(self)
+            self.clear()
+        value = super().__missing__(word)
+        self.letters = len(word) + (self.letters if len(self) > 1 else 0)
+        return value
+
+
+def fitting(vocabulary: dict[str, int]) -> dict[str, int]:
+    """The vocabulary, if merge keys have room for its ids."""
+    if max(vocabulary.values(), default=0) >= IDS:
+        raise ValueError(f"ids of a vocabulary must be below {IDS}")
+    return vocabulary
+
+
 class MergeTree:
     """Byte-level BPE: merge the leftmost pair of lowest rank until no pair has one."""
 
@@ -58,7 +86,7 @@ class MergeTree:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        vocab, merges = fitting(spec["model"]["vocab"]), spec["model"]["merges"]
         characters = byte_characters()
         byte_of = {c: b for b, c in enumerate(characters)}
         self.byte_ids = [vocab[c] for c in characters]
@@ -74,8 +102,8 @@ class MergeTree:
             for rank, (left, right) in enumerate(merges)
         }
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.words = Memo(self._word)
-        self.chunks = Memo(self._chunk, CHUNKS_KEPT)
+        self.words = TextMemo(self._word)
+        self.chunks = TextMemo(self._chunk, CHUNKS_KEPT)
 
     def merge(self, ids: list[int]) -> list[int]:
         """``ids`` after all merges. The tree's root is the pair to merge next.
@@ -86,29 +114,33 @@ class MergeTree:
         pairs = len(ids) - 1
         if pairs < 1:
             return ids
-        ranked = self.merges.get
-        tree = [NONE] * pairs
-        tree += [ranked(a << 16 | b, NONE) + i for i, (a, b) in enumerate(pairwise(ids))]
+        ranked, bits, none = self.merges.get, POSITIONS, NONE
+        if pairs >= LONG:
+            key_of, bits, none = self.merges.get, WIDE, NONE << WIDE - POSITIONS
+            ranked = lambda pair, default: key << WIDE - POSITIONS if (key := key_of(pair)) else default
+        mask = (1 << bits) - 1
+        tree = [none] * pairs
+        tree += [ranked(a << 16 | b, none) + i for i, (a, b) in enumerate(pairwise(ids))]
         for node in range(pairs - 1, 0, -1):
             a, b = tree[2 * node], tree[2 * node + 1]
             tree[node] = a if a < b else b
         before, after = list(range(-1, pairs)), list(range(1, pairs + 2))
-        while (best := tree[1]) < NONE:
-            i = best & POSITION_MASK
+        while (best := tree[1]) < none:
+            i = best & mask
             j = after[i]
-            ids[i] = merged = best >> POSITIONS & ID_MASK
+            ids[i] = merged = best >> bits & ID_MASK
             ids[j] = -1
             k = after[i] = after[j]
             changed = []
             if k <= pairs:
                 before[k] = i
-                changed.append((i + pairs, ranked(merged << 16 | ids[k], NONE) + i))
-                changed.append((j + pairs, NONE))
+                changed.append((i + pairs, ranked(merged << 16 | ids[k], none) + i))
+                changed.append((j + pairs, none))
             else:
-                changed.append((i + pairs, NONE))
+                changed.append((i + pairs, none))
             h = before[i]
             if h >= 0:
-                changed.append((h + pairs, ranked(ids[h] << 16 | merged, NONE) + h))
+                changed.append((h + pairs, ranked(ids[h] << 16 | merged, none) + h))
             for node, key in changed:
                 tree[node] = key
                 while node > 1:
@@ -168,7 +200,7 @@ class MergeCount:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        vocab = spec["model"]["vocab"]
+        vocab = fitting(spec["model"]["vocab"])
         characters = byte_characters()
         self.inner = [vocab[c] for c in characters]
         self.last = [vocab[c + self.END] for c in characters]
@@ -178,24 +210,28 @@ class MergeCount:
         }
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.words = Memo(self._word)
-        self.chunks = Memo(self._chunk, CHUNKS_KEPT)
+        self.words = TextMemo(self._word)
+        self.chunks = TextMemo(self._chunk, CHUNKS_KEPT)
 
     def merges_of(self, symbols: list[int]) -> int:
         """Number of merges: pop the lowest-ranked pair, relink, push its new neighbours."""
-        ranked, end = self.merges.get, len(symbols)
+        ranked, end, bits = self.merges.get, len(symbols), POSITIONS
+        if end > LONG:
+            key_of, bits = self.merges.get, WIDE
+            ranked = lambda pair: key << WIDE - POSITIONS if (key := key_of(pair)) else None
+        mask = (1 << bits) - 1
         heap = [key + i for i, (a, b) in enumerate(pairwise(symbols)) if (key := ranked(a << 16 | b))]
         heapq.heapify(heap)
         pop, push = heapq.heappop, heapq.heappush
         before, after, done = list(range(-1, end - 1)), list(range(1, end + 1)), 0
         while heap:
             best = pop(heap)
-            i = best & POSITION_MASK
+            i = best & mask
             j = after[i]
             # Skipped if the pair was there when it was pushed, but no longer is.
             if symbols[i] < 0 or j >= end or ranked(symbols[i] << 16 | symbols[j]) != best - i:
                 continue
-            symbols[i] = merged = best >> POSITIONS & ID_MASK
+            symbols[i] = merged = best >> bits & ID_MASK
             symbols[j] = -1
             done += 1
             k = after[i] = after[j]

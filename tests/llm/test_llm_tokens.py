@@ -56,6 +56,33 @@ def test_memo_stays_bounded_and_right():
     assert len(memo) <= 10 and len(memo.older) <= 10 and len(made) == 101
 
 
+def test_text_memo_is_bounded_by_letters():
+    made = []
+    memo = tokens.TextMemo(lambda x: made.append(x) or len(x), 10)
+    words = [str(i) * 40 for i in range(10, 60)] + ["y" * (tokens.LETTERS_KEPT + 1)] * 3
+    for x in words * 2:
+        assert memo[x] == len(x)
+        kept = [*memo, *memo.older]
+        assert sum(map(len, kept)) <= 2 * 10 * tokens.MEAN_LETTERS and words[-1] not in kept
+    assert made.count(words[-1]) == 6
+
+
+def test_words_longer_than_narrow_positions(byte_library, word_library, monkeypatch):
+    """With few symbols counted as long, all but the shortest words take the wide keys; results stay equal."""
+    monkeypatch.setattr(tokens, "LONG", 3)
+    tree = tokens.MergeTree(tokens.vocabulary_path(bpe.VOCABULARY))
+    counter = tokens.MergeCount(tokens.vocabulary_path(token_counts.VOCABULARY))
+    for text in [*random_texts(1000), "x" * 5000, "ab" * 4000, "internationalisation of words", "=" * 900]:
+        assert np.frombuffer(tree.encode(text), "<u4").tolist() == library_ids(byte_library, text)
+        assert counter.count(text) == len(library_ids(word_library, text))
+
+
+def test_ids_that_keys_cannot_hold_are_refused():
+    assert tokens.fitting({"a": 0, "b": 65_535}) == {"a": 0, "b": 65_535}
+    with pytest.raises(ValueError, match="below 65536"):
+        tokens.fitting({"a": 65_536})
+
+
 def test_round_trip_of_odd_documents(spark, byte_library):
     got = [tuple(r) for r in bpe.round_trip(documents(spark)).collect()]
     want = []
