@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvigrid.llm import frames, minhash, packing, secret_scan, substrings, toxicity
+from pluvigrid.sources.files import remove
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -56,7 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Once a stage's result is written, its working tables and the result before it are deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = frames.stored(stage(spark, docs, sf_dir), name)
+        path = frames.shared_path(spark, name)
+        with frames.working_tables(spark):
+            docs = frames.stored(stage(spark, docs, sf_dir), name, path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

@@ -334,8 +334,10 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group, and all rows without words."""
-    rows = _labelled(docs, size, percent).where("any").groupBy("component", "node", "row")
-    rows = frames.stored(rows.agg(F.count(F.lit(1)).alias("copies")), "labelled")
+    path = frames.working_path(docs.sparkSession, "labelled")
+    with frames.working_tables(docs.sparkSession):  # the labels alone are read from here on
+        rows = _labelled(docs, size, percent).where("any").groupBy("component", "node", "row")
+        rows = frames.stored(rows.agg(F.count(F.lit(1)).alias("copies")), "labelled", path)
     # Rows that name their component have one id, or none and similar texts.
     named = rows.where("node = component")
     least = named.where(F.col("component") >= UNNAMED).groupBy("component").agg(F.min("row").alias("least"))

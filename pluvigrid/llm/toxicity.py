@@ -306,13 +306,15 @@ def _trained(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame | Non
     if not chosen.any():
         return nothing
     rows = reduced(rows, chosen)
-    sums = summed(distinct_sets(rows.where(~F.col("held_out")), toxic_ids), int(chosen.sum()))
-    weights, constant = fit(sums, np.append(counts[chosen], toxic_rows), any_rows, prior(labels))
+    with frames.working_tables(docs.sparkSession):  # the sets end with the fit
+        sums = summed(distinct_sets(rows.where(~F.col("held_out")), toxic_ids), int(chosen.sum()))
+        weights, constant = fit(sums, np.append(counts[chosen], toxic_rows), any_rows, prior(labels))
     return Model({int(f): float(w) for f, w in zip(found[chosen], weights)}, constant), rows
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return _trained(docs, labels)[0]
+    with frames.working_tables(docs.sparkSession):
+        return _trained(docs, labels)[0]
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
